@@ -144,5 +144,3 @@ def appended(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in kept] + list(columns.values()), names=kept + list(columns))
 
 
-def ragged(values, kind) -> pa.Array:
-    return pa.array(values, kind)

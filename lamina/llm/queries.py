@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.llm import quality_rules, url_filters
+from lamina.llm import packing, quality_rules, token_counts, token_files, url_filters
 from lamina.llm.common import read
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(run):
     QUERIES[run.__name__] = run
     return run
@@ -22,6 +28,27 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op6_token_files(spark, sf_dir):
+    path = token_files.folder(spark, "tokens")
+    token_files.write(read(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return token_files.read_back(spark, path)
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    separator = 50256  # the vocabulary's end-of-text id, which no ordinary text yields
+    path = token_files.folder(spark, "flat")
+    docs = read(spark, sf_dir, "documents")
+    token_counts.flat_blocks(docs, vocabulary("byte_bpe_50k.json"), separator).write.option("compression", "zstd").parquet(path)
+    return token_counts.scan(spark.read.parquet(path), separator).select("doc_id", "file", "document", "start", "n_tokens")
+
+
 @query
 def op9_url_filters(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
