@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.llm import packing, quality_rules, token_counts, token_files, url_filters
+from lamina.llm import decontamination, jaccard_join, packing, quality_rules, token_counts, token_files, toxicity, url_filters
 from lamina.llm.common import read
 
 QUERIES: dict = {}
@@ -28,6 +28,14 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.remainder() == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -49,7 +57,19 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.scan(spark.read.parquet(path), separator).select("doc_id", "file", "document", "start", "n_tokens")
 
 
+@query
+def op8_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op9_url_filters(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge(pages, url_filters.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op10_decontamination(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontamination.mark(docs, read(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated")
