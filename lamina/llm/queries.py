@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.llm import decontamination, jaccard_join, packing, quality_rules, token_counts, token_files, toxicity, url_filters
+from lamina.llm import decontamination, jaccard_join, packing, quality_rules, suffix_dedup, token_counts, token_files, toxicity, url_filters
 from lamina.llm.common import read
 
 QUERIES: dict = {}
@@ -28,6 +28,12 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    marked = suffix_dedup.mark(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op3_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
