@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.llm import decontamination, jaccard_join, packing, quality_rules, suffix_dedup, token_counts, token_files, toxicity, url_filters
+from lamina.llm import decontamination, jaccard_join, lm_scoring, packing, quality_rules, suffix_dedup, token_counts, token_files, toxicity, url_filters
 from lamina.llm.common import read
 
 QUERIES: dict = {}
@@ -42,6 +42,13 @@ def op3_toxicity(spark, sf_dir):
     return scored.select("doc_id", (toxicity.remainder() == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query
+def op4_lm_scoring(spark, sf_dir):
+    scored, model = lm_scoring.fit_and_score(read(spark, sf_dir, "documents"))
+    held = F.coalesce(lm_scoring.fold() == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
