@@ -133,9 +133,9 @@ def _lists(column, first: int, n: int) -> list[np.ndarray]:
     return out
 
 
-def _joined(column, first: int, n: int, kind: str) -> list[np.ndarray]:
-    """A column of lists of byte strings, each row's end to end."""
-    return [np.frombuffer(b"".join(v), kind) if v else np.zeros(0, kind) for v in column.slice(first, n).to_pylist()]
+def _values(column, first: int, n: int, kind: str) -> list[np.ndarray]:
+    """A binary column's rows as arrays; a null is empty."""
+    return [np.frombuffer(v.as_buffer(), kind) if v.is_valid else np.zeros(0, kind) for v in column.slice(first, n)]
 
 
 def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +207,49 @@ def _dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
+_BACK = "bucket int, names binary, counts binary, body binary"
+
+
+def _sent_back(name: np.ndarray, body: np.ndarray, buckets: int):
+    """Values with the documents they are for, a row for each bucket of documents."""
+    bucket = _dealt(name.view(np.uint64), buckets)
+    order = np.lexsort((name, bucket))
+    name, body = name[order], body[order]
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows: list[list] = [[], [], [], []]
+    for b in range(buckets):
+        part = slice(edges[b], edges[b + 1])
+        if edges[b + 1] > edges[b]:
+            used, count = np.unique(name[part], return_counts=True)
+            for column, value in zip(rows, (b, used.tobytes(), count.astype("<i4").tobytes(), body[part].tobytes()), strict=True):
+                column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "names", "counts", "body"])
+
+
+def _gathered(rows: DataFrame, buckets: int, width: int, into: tuple[str, str]) -> DataFrame:
+    """One row a document with all values sent to it, ``width`` bytes each."""
+
+    def run(batches):
+        names, bodies = [], []
+        for batch in batches:
+            for name, count, body in zip(batch.column("names"), batch.column("counts"), batch.column("body"), strict=True):
+                names.append(np.repeat(np.frombuffer(name.as_buffer(), np.int64), np.frombuffer(count.as_buffer(), "<i4")))
+                bodies.append(np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, width))
+        if not names:
+            return
+        name, body = np.concatenate(names), np.concatenate(bodies)
+        order = np.argsort(name, kind="stable")
+        name, body = name[order], body[order]
+        head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        ends = np.append(head[1:], len(name))
+        for low in range(0, len(head), 20_000):
+            some = slice(low, low + 20_000)
+            found = [body[a:b].tobytes() for a, b in zip(head[some].tolist(), ends[some].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(name[head[some]]), pa.array(found, pa.binary())], names=list(into))
+
+    return rows.repartition(buckets, "bucket").mapInArrow(run, f"{into[0]} long, {into[1]} binary")
+
+
 def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text and what is left of it: n_bytes, n_removed, n_spans, kept (bytes)."""
     spark = docs.sparkSession
@@ -280,19 +323,10 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
         head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         many = np.minimum.reduceat(name, head) < np.maximum.reduceat(name, head)
         keep = np.repeat(many, np.diff(np.append(head, len(code))))
-        code, name = code[keep], name[keep]
-        order = np.argsort(name, kind="stable")
-        code, name = code[order], name[order]
-        head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
-        ends = np.append(head[1:], len(name))
-        for low in range(0, len(head), 50_000):
-            some = slice(low, low + 50_000)
-            found = [code[a:b].tobytes() for a, b in zip(head[some].tolist(), ends[some].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(name[head[some]]), pa.array(found, pa.binary())], names=["met_id", "found"])
+        yield _sent_back(name[keep], code[keep], buckets)
 
     anchors = known.where("own is not null").mapInArrow(anchored, "bucket int, codes binary, names binary")
-    shared = anchors.repartition(buckets, "bucket").mapInArrow(met, "met_id long, found binary")
-    shared = shared.groupBy("met_id").agg(F.collect_list("found").alias("found"))
+    shared = _gathered(anchors.repartition(buckets, "bucket").mapInArrow(met, _BACK), buckets, 8, ("met_id", "found"))
     width = 2 * length - gram
 
     def segmented(batches):
@@ -321,7 +355,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
             for first, n, data, at in _texts(batch):
                 piece = _Piece(data, at, length, chunk)
                 row, begin, stop, least = piece.runs(piece.owned(_lists(batch.column("own"), first, n)), gram)
-                found = _joined(batch.column("found"), first, n, "<u8")
+                found = _values(batch.column("found"), first, n, "<u8")
                 hit = np.zeros(len(row), bool)
                 edges = np.searchsorted(row, np.arange(n + 1))
                 for r, values in enumerate(found):
@@ -352,7 +386,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
             return
         code, name, at, count, body = (np.concatenate(c) for c in columns)
         body = body.reshape(-1, width)
-        turns = max(1, body.nbytes // TRANSFORM)
+        turns, lost = max(1, body.nbytes // TRANSFORM), []
         turn = mixed(code + np.uint64(1)) % np.uint64(turns)
         order = np.argsort(turn, kind="stable")
         edges = np.searchsorted(turn[order], np.arange(turns + 1))
@@ -370,17 +404,14 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
             row, low = np.nonzero(edge == 1)
             high = np.nonzero(edge == -1)[1]
             if len(row):
-                who, where = name[part][row], at[part][row]
-                order_ = np.argsort(who, kind="stable")
-                who, pairs = who[order_], np.stack([where + low, where + high - 1], 1)[order_]
-                head = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-                ends = np.append(head[1:], len(who))
-                found = [pairs[a:b].tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(who[head]), pa.array(found, pa.binary())], names=["gone_id", "gone"])
+                where = at[part][row]
+                lost.append((name[part][row], np.stack([where + low, where + high - 1], 1)))
+        if lost:
+            yield _sent_back(np.concatenate([n for n, _ in lost]), np.concatenate([x for _, x in lost]), buckets)
 
     candidates = known.join(shared.hint("shuffle_hash"), known["doc_id"] == shared["met_id"]).drop("met_id")
     segments = candidates.mapInArrow(segmented, "bucket int, codes binary, names binary, at binary, lengths binary, bodies binary")
-    gone = segments.repartition(buckets, "bucket").mapInArrow(judged, "gone_id long, gone binary").groupBy("gone_id").agg(F.collect_list("gone").alias("gone"))
+    gone = _gathered(segments.repartition(buckets, "bucket").mapInArrow(judged, _BACK), buckets, 16, ("gone_id", "gone"))
 
     def cleaned(batches):
         for batch in batches:
@@ -391,7 +422,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
                 edge = np.zeros(len(data) + 1, np.int32)
                 np.add.at(edge, piece.begin[~mine], 1)
                 np.add.at(edge, piece.stop[~mine] - 1 + length, -1)
-                for row, pairs in enumerate(_joined(batch.column("gone"), first, n, "<i8")):
+                for row, pairs in enumerate(_values(batch.column("gone"), first, n, "<i8")):
                     if len(pairs):
                         pairs = pairs.reshape(-1, 2) + at[row]
                         np.add.at(edge, pairs[:, 0], 1)
