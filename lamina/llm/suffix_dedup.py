@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import appended, binary, mixed, partitions, slices
+from lamina.llm.common import binary, mixed, partitions, slices
 
 LENGTH, GRAM = 50, 24
 #: Mean bytes of a chunk (a power of two).
@@ -250,11 +250,16 @@ def _gathered(rows: DataFrame, buckets: int, width: int, into: tuple[str, str])
     return rows.repartition(buckets, "bucket").mapInArrow(run, f"{into[0]} long, {into[1]} binary")
 
 
-def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, text and what is left of it: n_bytes, n_removed, n_spans, kept (bytes)."""
+def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, carry: str | None = None, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and what is left of the text: kept (bytes).
+
+    ``carry`` names a column to pass along. With ``as_text`` kept is a string; of a character
+    that loses some of its bytes the others go too.
+    """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    carried = [carry] if carry else []
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried)
 
     def chunked(batches):
         for batch in batches:
@@ -435,12 +440,15 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
                     out[1].append(removed)
                     out[2].append(int(part[:1].sum()) + int((part[1:] & ~part[:-1]).sum()) if removed else 0)
                     out[3].append((data[a:b][~part] if removed else data[a:b]).tobytes())
-            kept = pa.array(out[3], pa.binary())
-            yield appended(pa.RecordBatch.from_arrays([batch.column("doc_id")], names=["doc_id"]), {"n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept": kept})
+            kept = pa.array([v.decode(errors="ignore") for v in out[3]], pa.string()) if as_text else pa.array(out[3], pa.binary())
+            own = {c: batch.column(c) for c in ("doc_id", *carried)}
+            figures = {n: pa.array(v, pa.int64()) for n, v in zip(("n_bytes", "n_removed", "n_spans"), out, strict=False)}
+            yield pa.RecordBatch.from_pydict(own | figures | {"kept": kept})
 
     last = known.join(gone.hint("shuffle_hash"), known["doc_id"] == gone["gone_id"], "left").drop("gone_id")
-    done = last.mapInArrow(cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = "string" if as_text else "binary"
+    passed = "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in carried)
+    done = last.mapInArrow(cleaned, f"doc_id long{passed}, n_bytes long, n_removed long, n_spans long, kept {kind}")
     none = F.lit(0).cast("long")
-    rest = base.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    rest = base.where("doc_id is null").select("doc_id", *carried, F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast(kind).alias("kept"))
     return done.unionByName(rest)
-
