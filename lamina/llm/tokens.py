@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import regex
 
-#: Distinct pieces kept at most by a worker; beyond it the cache starts anew.
-CACHE = 600_000
+#: Distinct pieces in either part of a worker's cache at most; beyond it that part starts anew.
+CACHE = 500_000
 #: Characters of texts encoded together, so that what is new in them stays small.
 TOGETHER = 1 << 20
 
@@ -80,7 +81,7 @@ class Encoder:
             self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes, or 1 for a last id
             for token, at in vocab.items():
                 self.width[at] = token.endswith(self.end) if self.end else len(token)
-        self.most, self.known = cache, {}
+        self.most, self.known, self.young = cache, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -114,31 +115,53 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """New pieces: their pre-tokens are looked up or encoded, then joined."""
-        known, whole, parts = self.known, [], {}
+        known, young, whole, parts = self.known, self.young, [], {}
         for p in pieces:
             if self.end and p and max(p) > "\u00ff":  # may change when it is normalised
                 whole.append(p)
             else:
                 parts[p] = self.pattern.findall(p.lower() if self.end else p)
-        new = list({t for tokens in parts.values() for t in tokens}.difference(known))
-        if new:
-            known.update(self._joined(new))
-        out = {p: known[tokens[0]] if len(tokens) == 1 else b"".join([known[t] for t in tokens]) for p, tokens in parts.items()}
+        needed = {t for tokens in parts.values() for t in tokens}
+        found = {t: known[t] for t in needed if t in known}
+        again = {t: young.pop(t) for t in needed if t in young}
+        known.update(again)
+        found.update(again)
+        if new := [t for t in needed if t not in found]:
+            fresh = self._joined(new)
+            young.update(fresh)
+            found.update(fresh)
+        out = {p: found[tokens[0]] if len(tokens) == 1 else b"".join([found[t] for t in tokens]) for p, tokens in parts.items()}
         return out | (self._marked(whole) if whole else {})
 
     def bytes_of_all(self, texts: list[str]) -> list[bytes]:
-        """``bytes_of`` for many texts, which share one run for their new pieces."""
+        """``bytes_of`` for many texts, which share one run for their new pieces.
+
+        What is met a second time moves to the lasting part of the cache; the rest, mostly never met
+        again, is dropped whenever there is too much of it.
+        """
         if self.cut is None:
             return [self.whole(t) if t else b"" for t in texts]
-        known = self.known
+        known, young = self.known, self.young
         cuts = [self.cut(t) if t else [] for t in texts]
-        new = set().union(*cuts).difference(known)
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = set().union(*cuts)
+        local = dict.fromkeys(chain.from_iterable(cuts))
+        again, new = [], []
+        for p in local:
+            if (found := known.get(p)) is not None:
+                local[p] = found
+            elif p in young:
+                again.append(p)
+            else:
+                new.append(p)
+        moved = {p: young.pop(p) for p in again}
+        known.update(moved)
+        local.update(moved)
         if new:
-            known.update(self._pieces(list(new)))
-        out = [b"".join([known[p] for p in parts]) for parts in cuts]
+            fresh = self._pieces(new)
+            young.update(fresh)
+            local.update(fresh)
+        out = [b"".join(map(local.__getitem__, parts)) for parts in cuts]
+        if len(young) > self.most:
+            young.clear()
         if len(known) > self.most:
             known.clear()
         return out
