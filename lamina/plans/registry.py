@@ -2,5 +2,448 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lamina.functions import hashing, paths
+from lamina.operators import align, history, integrity, intents, manifests, sync
+from lamina.plans import derived as d
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(run):
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return register
+
+
+def _sides(spark, sf_dir):
+    return [d.manifest(spark, sf_dir, side) for side in d.SIDES]
+
+
+_THREE = f"""WITH {d.SIDES_SQL}, three AS (SELECT coalesce(b.path, l.path, r.path) AS path, b.blob AS b_blob, l.blob AS l_blob, r.blob AS r_blob,
+    b.mode AS b_mode, l.mode AS l_mode, r.mode AS r_mode FROM base b FULL JOIN "left" l ON l.path = b.path FULL JOIN "right" r ON r.path = coalesce(b.path, l.path))"""
+_THREE = _THREE.replace("left AS (", '"left" AS (').replace("right AS (", '"right" AS (')
+_TWO = f'WITH base AS ({d.MANIFESTS_SQL["base"]}), side AS ({d.MANIFESTS_SQL["left"]})'
+_KIND = "l_mode IS NOT NULL AND r_mode IS NOT NULL AND (l_mode = 'symlink') <> (r_mode = 'symlink')"
+
+
+@query(f"{_THREE} SELECT path, {manifests.PRESENCE_SQL} AS outcome FROM three")
+def three_way_presence(spark, sf_dir):
+    rows = manifests.stacked(dict(zip("blr", _sides(spark, sf_dir), strict=True)))
+    return rows.select("path", manifests.presence(F.col("b_blob"), F.col("l_blob"), F.col("r_blob")).alias("outcome"))
+
+
+@query(f"{_THREE} SELECT path, {manifests.MODE_SQL} AS mode, {_KIND} AS kind_conflict FROM three")
+def three_way_mode(spark, sf_dir):
+    rows = manifests.stacked(dict(zip("blr", _sides(spark, sf_dir), strict=True)))
+    return rows.select("path", manifests.merged_mode(F.col("b_mode"), F.col("l_mode"), F.col("r_mode")).alias("mode"), manifests.kind_conflict(F.col("l_mode"), F.col("r_mode")).alias("kind_conflict"))
+
+
+_CHOICE = "CASE WHEN length(path) % 3 = 0 THEN 'ours' WHEN length(path) % 3 = 1 THEN 'theirs' END"
+
+
+@query(f"""{_THREE}, planned AS (SELECT *, CASE WHEN {_KIND} THEN 'kind_conflict' ELSE {manifests.PRESENCE_SQL} END AS outcome, {_CHOICE} AS choice FROM three)
+    SELECT path, CASE WHEN outcome IN ('content_merge', 'add_add', 'kind_conflict') AND choice IS NOT NULL THEN 'resolved_' || choice ELSE outcome END AS outcome,
+    CASE WHEN outcome IN ('content_merge', 'add_add', 'kind_conflict') THEN CASE choice WHEN 'ours' THEN l_blob WHEN 'theirs' THEN r_blob END
+    WHEN outcome IN {manifests.LEFT} THEN l_blob WHEN outcome IN {manifests.RIGHT} THEN r_blob END AS blob FROM planned""")
+def merge_resolved(spark, sf_dir):
+    plan = manifests.three_way(*_sides(spark, sf_dir))
+    third = F.length("path") % 3
+    choices = plan.select("path", F.when(third == 0, "ours").when(third == 1, "theirs").alias("choice")).where("choice is not null")
+    return manifests.resolve(plan, choices)
+
+
+_RENAMES = """, gone{n} AS (SELECT b.path, b.blob, row_number() OVER (PARTITION BY b.blob ORDER BY b.path) AS nth FROM base b ANTI JOIN {s} s ON s.path = b.path),
+    come{n} AS (SELECT s.path, s.blob, row_number() OVER (PARTITION BY s.blob ORDER BY s.path) AS nth FROM {s} s ANTI JOIN base b ON s.path = b.path),
+    ren{n} AS (SELECT g.path AS from_path, c.path AS to_path, g.blob FROM gone{n} g JOIN come{n} c ON g.blob = c.blob AND g.nth = c.nth)"""
+
+
+@query(f"""{_THREE}{_RENAMES.format(n="l", s='"left"')}{_RENAMES.format(n="r", s='"right"')},
+    lside AS (SELECT coalesce(from_path, path) AS path, s.blob, mode, to_path FROM "left" s LEFT JOIN renl ON to_path = path),
+    rside AS (SELECT coalesce(from_path, path) AS path, s.blob, mode, to_path FROM "right" s LEFT JOIN renr ON to_path = path),
+    plan AS (SELECT coalesce(b.path, l.path, r.path) AS path, b.blob AS b_blob, l.blob AS l_blob, r.blob AS r_blob, b.mode AS b_mode, l.mode AS l_mode, r.mode AS r_mode, l.to_path AS lt, r.to_path AS rt
+      FROM base b FULL JOIN lside l ON l.path = b.path FULL JOIN rside r ON r.path = coalesce(b.path, l.path))
+    SELECT path, coalesce(lt, rt, path) AS target, CASE WHEN lt IS NOT NULL AND rt IS NOT NULL AND lt <> rt THEN 'rename_conflict' WHEN {_KIND} THEN 'kind_conflict' ELSE {manifests.PRESENCE_SQL} END AS outcome, {manifests.MODE_SQL} AS mode FROM plan""")
+def merge_plan(spark, sf_dir):
+    return manifests.plan_three_way(*_sides(spark, sf_dir)).select("path", "target", "outcome", "mode")
+
+
+@query(f"""{_TWO} SELECT coalesce(b.path, s.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN s.path IS NULL THEN 'removed' WHEN b.blob <> s.blob THEN 'modified' ELSE 'mode' END AS change, b.blob AS old_blob, s.blob AS new_blob
+    FROM base b FULL JOIN side s ON s.path = b.path WHERE b.path IS NULL OR s.path IS NULL OR b.blob <> s.blob OR b.mode <> s.mode""")
+def manifest_diff(spark, sf_dir):
+    base, left, _ = _sides(spark, sf_dir)
+    return manifests.diff(base, left)
+
+
+@query(_TWO + _RENAMES.format(n="", s="side") + " SELECT from_path, to_path, blob FROM ren")
+def exact_renames(spark, sf_dir):
+    base, left, _ = _sides(spark, sf_dir)
+    return manifests.exact_renames(base, left)
+
+
+@query(_THREE + _RENAMES.format(n="l", s='"left"') + _RENAMES.format(n="r", s='"right"') + " SELECT l.from_path, l.to_path AS left_path, r.to_path AS right_path FROM renl l JOIN renr r ON l.from_path = r.from_path WHERE l.to_path <> r.to_path")
+def divergent_renames(spark, sf_dir):
+    base, left, right = _sides(spark, sf_dir)
+    ours = manifests.exact_renames(base, left).select("from_path", F.col("to_path").alias("left_path"))
+    theirs = manifests.exact_renames(base, right).select("from_path", F.col("to_path").alias("right_path"))
+    return ours.join(theirs, "from_path").where("left_path <> right_path")
+
+
+_STAGED = f"WITH head AS ({d.MANIFESTS_SQL['base']}), staging AS ({d.STAGING_SQL}), tree AS ({d.WORKING_SQL}), eff AS (SELECT coalesce(h.path, s.path) AS path, coalesce(s.blob, h.blob) AS blob, coalesce(s.mode, h.mode) AS mode FROM head h FULL JOIN staging s ON s.path = h.path WHERE NOT coalesce(s.deleted, false))"
+
+
+@query(f"{_STAGED} SELECT path, blob, mode FROM eff")
+def effective_index(spark, sf_dir):
+    return manifests.effective(d.manifest(spark, sf_dir, "base"), d.staging(spark, sf_dir))
+
+
+@query(f"""{_STAGED}, three AS (SELECT coalesce(h.path, e.path, w.path) AS path, h.blob AS hb, h.mode AS hm, e.blob AS eb, e.mode AS em, w.blob AS wb, w.mode AS wm
+    FROM head h FULL JOIN eff e ON e.path = h.path FULL JOIN tree w ON w.path = coalesce(h.path, e.path)),
+    said AS (SELECT path, CASE WHEN hb IS NULL AND eb IS NOT NULL THEN 'added' WHEN hb IS NOT NULL AND eb IS NULL THEN 'deleted' WHEN hb <> eb OR hm <> em THEN 'modified' END AS staged,
+    CASE WHEN eb IS NOT NULL AND wb IS NULL THEN 'deleted' WHEN eb <> wb OR em <> wm THEN 'modified' END AS unstaged, eb IS NULL AND wb IS NOT NULL AS untracked FROM three)
+    SELECT * FROM said WHERE staged IS NOT NULL OR unstaged IS NOT NULL OR untracked""")
+def status_two_column(spark, sf_dir):
+    return manifests.status(d.manifest(spark, sf_dir, "base"), d.staging(spark, sf_dir), d.working(spark, sf_dir))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS blob, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def blob_dedup(spark, sf_dir):
+    docs = d.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", hashing.text_hash(F.coalesce("text", F.lit(""))).alias("blob")).groupBy("blob").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS blob FROM documents")
+def blob_ids(spark, sf_dir):
+    return d.read(spark, sf_dir, "documents").select("doc_id", hashing.text_hash(F.coalesce("text", F.lit(""))).alias("blob"))
+
+
+def _manifest_ids(spark, sf_dir, side):
+    docs = d.manifest(spark, sf_dir, side)
+    number = F.regexp_extract("path", r"/(\d+)\.", 1).cast("long")
+    entry = F.struct(F.col("path").cast("binary").alias("p"), hashing.manifest_entry(F.col("path"), F.col("blob"), F.col("mode")).alias("e"))
+    return docs.groupBy(F.floor(number / 100).alias("state")).agg(hashing.manifest_hash(F.collect_list(entry)).alias("manifest"))
+
+
+def _manifest_sql(side: str) -> str:
+    return f"""SELECT (regexp_extract(path, '/([0-9]+)\\.', 1)::BIGINT // 100)::BIGINT AS state, sha256(unhex(string_agg(hex(encode(path)) || '00' || hex(encode(blob)) || CASE WHEN mode = 'regular' THEN '' ELSE '00' || hex(encode(mode)) END, '' ORDER BY encode(path)))) AS manifest
+    FROM ({d.MANIFESTS_SQL[side]}) GROUP BY 1"""
+
+
+@query(_manifest_sql("base"))
+def manifest_ids(spark, sf_dir):
+    """A hundred documents are one state's manifest."""
+    return _manifest_ids(spark, sf_dir, "base")
+
+
+@query(f"SELECT state, coalesce(a.manifest = b.manifest, false) AS unchanged FROM ({_manifest_sql('base')}) a FULL JOIN ({_manifest_sql('left')}) b USING (state)")
+def manifest_unchanged(spark, sf_dir):
+    return manifests.unchanged(_manifest_ids(spark, sf_dir, "base"), _manifest_ids(spark, sf_dir, "left"))
+
+
+_COMMITS = f"""WITH {d.EDGES_SQL}, named AS (SELECT child, list_sort(list(sha256(parent::VARCHAR))) AS parents FROM edges GROUP BY child)
+    SELECT event_id AS state, sha256(unhex(hex(encode(sha256(event_id::VARCHAR || coalesce(props, '')))) || '00' || coalesce(array_to_string(list_transform(parents, lambda p: hex(encode(p)) || '00'), ''), '')
+    || hex(encode(event_type)) || '00' || hex(encode(floor(epoch(ts))::BIGINT::VARCHAR)) || '00' || hex(encode('user' || user_id)) || '00' || hex(encode('user' || user_id || '@example.org')))) AS commit_id FROM events LEFT JOIN named ON child = event_id"""
+
+
+@query(_COMMITS)
+def commit_ids(spark, sf_dir):
+    events = d.read(spark, sf_dir, "events")
+    parents = d.commit_edges(spark, sf_dir).groupBy("child").agg(F.collect_list(hashing.text_hash(F.col("parent").cast("string"))).alias("parents"))
+    manifest = hashing.text_hash(F.concat(F.col("event_id").cast("string"), F.coalesce("props", F.lit(""))))
+    author = F.concat(F.lit("user"), F.col("user_id").cast("string"))
+    joined = events.join(parents, events["event_id"] == parents["child"], "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+    stamp = F.unix_timestamp("ts").cast("string")
+    return joined.select(F.col("event_id").alias("state"), hashing.commit_hash(manifest, F.col("parents"), F.col("event_type"), stamp, author, F.concat(author, F.lit("@example.org"))).alias("commit_id"))
+
+
+@query("""WITH words AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda line: list_transform(string_split(line, ' '), lambda w: sha256(encode('Token') || '\\x00'::BLOB || encode(w) || '\\x00'::BLOB))) AS w FROM documents),
+    lines AS (SELECT doc_id, list_transform(w, lambda x: sha256(encode('Statement') || '\\x00'::BLOB || '\\x00'::BLOB || unhex(array_to_string(x, '')))) AS l FROM words)
+    SELECT doc_id, len(l)::BIGINT AS n_children, sha256(encode('Block') || '\\x00'::BLOB || '\\x00'::BLOB || unhex(array_to_string(l, ''))) AS node FROM lines""")
+def merkle_node_ids(spark, sf_dir):
+    """Documents as trees of lines and words: three levels of node ids in one narrow projection."""
+    leaf = lambda w: hashing.node_hash(F.lit("Token"), w)
+    line = lambda x: hashing.node_hash(F.lit("Statement"), F.lit(""), F.transform(F.split(x, " "), leaf))
+    docs = d.read(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line).alias("lines"))
+    return docs.select("doc_id", F.size("lines").cast("long").alias("n_children"), hashing.node_hash(F.lit("Block"), F.lit(""), F.col("lines")).alias("node"))
+
+
+def _newest(spark, sf_dir, user: str):
+    return d.branches(spark, sf_dir).where(F.col("name") == user).select("state")
+
+
+_WALK = f"""WITH RECURSIVE {d.EDGES_SQL}, {d.BRANCHES_SQL}, """
+_CLOSURE = "{n}(state, depth) AS (SELECT state, 0 FROM branches WHERE name = '{tip}' UNION SELECT e.parent, c.depth + 1 FROM {n} c JOIN edges e ON e.child = c.state)"
+_FROM = "u1"
+_OTHER = "u2"
+
+
+@query(_WALK + _CLOSURE.format(n="c", tip=_FROM) + " SELECT state, min(depth)::INTEGER AS depth FROM c GROUP BY state HAVING min(depth) > 0")
+def ancestors(spark, sf_dir):
+    return history.ancestors_of(d.commit_edges(spark, sf_dir), _newest(spark, sf_dir, _FROM))
+
+
+@query()
+def log_topn(spark, sf_dir):
+    """The log's limit is its feature; ties in depth follow the walk's order, which SQL doesn't have."""
+    return history.log(d.commit_edges(spark, sf_dir), _newest(spark, sf_dir, _FROM), 50)
+
+
+@query(_WALK + _CLOSURE.format(n="a", tip=_FROM) + ", " + _CLOSURE.format(n="b", tip=_OTHER) + " SELECT state, (x.depth + y.depth)::INTEGER AS distance FROM (SELECT state, min(depth) AS depth FROM a GROUP BY state) x JOIN (SELECT state, min(depth) AS depth FROM b GROUP BY state) y USING (state) ORDER BY distance, state LIMIT 1")
+def merge_base(spark, sf_dir):
+    return history.merge_base(d.commit_edges(spark, sf_dir), _newest(spark, sf_dir, _FROM), _newest(spark, sf_dir, _OTHER))
+
+
+@query(_WALK + _CLOSURE.format(n="c", tip=_FROM) + " SELECT state, state IN (SELECT state FROM c) AS is_ancestor FROM branches")
+def is_ancestor(spark, sf_dir):
+    return history.is_ancestor(d.commit_edges(spark, sf_dir), _newest(spark, sf_dir, _FROM), d.branches(spark, sf_dir).select("state"))
+
+
+_CHAIN = f"WITH RECURSIVE {d.EDGES_SQL}, {d.BRANCHES_SQL}, chain(tip, state, distance) AS (SELECT state, state, 0::BIGINT FROM branches UNION ALL SELECT c.tip, e.parent, c.distance + 1 FROM chain c JOIN edges e ON e.child = c.state AND e.ord = 0)"
+
+
+@query(f"{_CHAIN} SELECT tip, state, distance FROM chain")
+def linear_chain(spark, sf_dir):
+    return history.linear_chain(d.commit_edges(spark, sf_dir), d.branches(spark, sf_dir).select("state"))
+
+
+@query(f"{_CHAIN}, ends AS (SELECT tip, max(distance) AS stop FROM chain GROUP BY tip) SELECT state, stop - distance AS step FROM chain JOIN ends USING (tip) WHERE distance < stop")
+def bisect_candidates(spark, sf_dir):
+    """Every branch is bisected from its first commit (good) to its tip (bad)."""
+    edges, tips = d.commit_edges(spark, sf_dir), d.branches(spark, sf_dir).select("state")
+    chain = history.linear_chain(edges, tips)
+    return history.bisect_candidates(edges, chain.groupBy("tip").agg(F.max_by("state", "distance").alias("state")).select("state"), tips)
+
+
+_REACH = _WALK + "c(state) AS (SELECT state FROM branches UNION SELECT e.parent FROM c JOIN edges e ON e.child = c.state)"
+
+
+@query(f"{_REACH} SELECT state FROM c")
+def reachable_states(spark, sf_dir):
+    return history.closure(d.commit_edges(spark, sf_dir), d.branches(spark, sf_dir)).select("state")
+
+
+@query(f"""{_REACH}, {d.BLOBS_SQL}, live AS (SELECT DISTINCT blob FROM blobs WHERE state IN (SELECT state FROM c)), sizes AS (SELECT blob, max(size) AS size FROM blobs GROUP BY blob)
+    SELECT 'state' AS kind, count(DISTINCT state) AS items, 0::BIGINT AS bytes FROM blobs WHERE state NOT IN (SELECT state FROM c)
+    UNION ALL SELECT 'blob', count(*), coalesce(sum(size), 0)::BIGINT FROM sizes WHERE blob NOT IN (SELECT blob FROM live)""")
+def gc_report(spark, sf_dir):
+    kept = d.state_blobs(spark, sf_dir)
+    states, blobs = integrity.reachable(d.commit_edges(spark, sf_dir), d.branches(spark, sf_dir), kept)
+    return integrity.gc_report(kept, states, blobs)
+
+
+_REFS = "allrefs AS (SELECT 'u' || user_id AS name, event_id + CASE WHEN user_id % 7 = 0 THEN 1000000000 ELSE 0 END AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1)"
+
+
+def _refs(spark, sf_dir):
+    """Every user's branch; those of users divisible by 7 point nowhere."""
+    last = d.read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("state"))
+    lost = F.when(F.col("user_id") % 7 == 0, F.lit(1000000000)).otherwise(F.lit(0))
+    return last.select(F.concat(F.lit("u"), "user_id").alias("name"), (F.col("state") + lost).alias("state"))
+
+
+@query(f"WITH {_REFS} SELECT name, state FROM allrefs WHERE state NOT IN (SELECT event_id FROM events)")
+def dangling_refs(spark, sf_dir):
+    return integrity.dangling_refs(_refs(spark, sf_dir), d.read(spark, sf_dir, "events").select(F.col("event_id").alias("state")))
+
+
+@query(f"""WITH {d.EDGES_SQL}, {_REFS}, {d.BLOBS_SQL}, held AS (SELECT event_id AS state FROM events WHERE event_id % 97 <> 5), there AS (SELECT DISTINCT blob FROM blobs WHERE blob NOT LIKE '00%')
+    SELECT 'dangling_ref' AS kind, name AS detail FROM allrefs WHERE state NOT IN (SELECT state FROM held)
+    UNION ALL SELECT DISTINCT 'missing_parent', parent::VARCHAR FROM edges WHERE parent NOT IN (SELECT state FROM held)
+    UNION ALL SELECT 'missing_manifest', state::VARCHAR FROM held WHERE state NOT IN (SELECT state FROM blobs)
+    UNION ALL SELECT DISTINCT 'missing_blob', blob FROM blobs WHERE blob NOT IN (SELECT blob FROM there)
+    UNION ALL SELECT DISTINCT 'orphaned_manifest', state::VARCHAR FROM blobs WHERE state NOT IN (SELECT state FROM held)""")
+def fsck_findings(spark, sf_dir):
+    """A store that lost some states and all blobs of one shard."""
+    states = d.read(spark, sf_dir, "events").where("event_id % 97 <> 5").select(F.col("event_id").alias("state"))
+    kept = d.state_blobs(spark, sf_dir)
+    there = kept.where("blob not like '00%'").select("blob").distinct()
+    return integrity.fsck(d.commit_edges(spark, sf_dir), states, kept, there, _refs(spark, sf_dir))
+
+
+@query(f"WITH {d.BLOBS_SQL} SELECT blob, lag(blob) OVER (PARTITION BY substr(blob, 1, 2) ORDER BY blob) AS base FROM (SELECT DISTINCT blob FROM blobs)")
+def delta_base(spark, sf_dir):
+    return integrity.delta_bases(d.state_blobs(spark, sf_dir))
+
+
+@query(f"WITH {d.BLOBS_SQL} SELECT substr(blob, 1, 2) AS shard, count(*) AS items, sum(size)::BIGINT AS bytes FROM (SELECT blob, max(size) AS size FROM blobs GROUP BY blob) GROUP BY 1")
+def repack_sizes(spark, sf_dir):
+    return integrity.repack_sizes(d.state_blobs(spark, sf_dir))
+
+
+@query(f"{_REACH.replace('c(state)', 'c(state)')}, d(state, depth) AS (SELECT state, 0 FROM branches UNION SELECT e.parent, d.depth + 1 FROM d JOIN edges e ON e.child = d.state) SELECT state, min(depth)::INTEGER AS depth FROM d WHERE state % 2 = 1 GROUP BY state")
+def missing_states(spark, sf_dir):
+    """A fetch into a store that holds every even state."""
+    held = d.read(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("state"))
+    return sync.missing_states(d.commit_edges(spark, sf_dir), d.branches(spark, sf_dir), held)
+
+
+@query(_WALK + "c(state) AS (SELECT state FROM branches WHERE state % 5 <> 0 UNION SELECT e.parent FROM c JOIN edges e ON e.child = c.state WHERE e.parent % 5 <> 0) SELECT state FROM c")
+def upload_set(spark, sf_dir):
+    """A push to a store that holds every fifth state."""
+    held = d.read(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("state"))
+    return sync.upload_set(d.commit_edges(spark, sf_dir), d.branches(spark, sf_dir), held)
+
+
+@query(f"WITH {d.EDGES_SQL}, held AS (SELECT event_id AS state FROM events WHERE event_id % 3 <> 0) SELECT DISTINCT child AS state FROM edges WHERE child IN (SELECT state FROM held) AND parent NOT IN (SELECT state FROM held)")
+def shallow_boundaries(spark, sf_dir):
+    held = d.read(spark, sf_dir, "events").where("event_id % 3 <> 0").select(F.col("event_id").alias("state"))
+    return sync.shallow_boundaries(d.commit_edges(spark, sf_dir), held)
+
+
+def _nodes(spark, sf_dir):
+    """Orders as parents: lines in order are the old children, in order of part the new ones; the key is what is shipped."""
+    lines = d.read(spark, sf_dir, "lineitem")
+    from pyspark.sql import Window as W
+
+    key = F.concat_ws("|", "l_returnflag", "l_linestatus")
+    new = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    own = [F.floor(F.col("l_orderkey") / 1000).alias("file"), F.col("l_orderkey").alias("parent")]
+    old_rows = lines.select(*own, F.lit("old").alias("side"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")).alias("pos"), key.alias("key"))
+    new_rows = lines.select(*own, F.lit("new").alias("side"), new.alias("pos"), F.when(F.col("l_partkey") % 7 == 0, F.concat(key, F.lit("*"))).otherwise(key).alias("key"))
+    return old_rows.unionByName(new_rows)
+
+
+_NODES = """nodes AS (SELECT l_orderkey // 1000 AS file, l_orderkey AS parent, 'old' AS side, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)::INTEGER AS pos, l_returnflag || '|' || l_linestatus AS key FROM lineitem
+    UNION ALL SELECT l_orderkey // 1000, l_orderkey, 'new', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate)::INTEGER, l_returnflag || '|' || l_linestatus || CASE WHEN l_partkey % 7 = 0 THEN '*' ELSE '' END FROM lineitem)"""
+
+
+@query(f"WITH {_NODES} SELECT file, parent, side, pos, key, (row_number() OVER w - 1)::INTEGER AS occurrence, CASE WHEN count(*) OVER (PARTITION BY file, side, parent, key) > 1 THEN (row_number() OVER w - 1)::INTEGER END AS duplicate FROM nodes WINDOW w AS (PARTITION BY file, side, parent, key ORDER BY pos)")
+def occurrence_index(spark, sf_dir):
+    return align.occurrence_index(_nodes(spark, sf_dir))
+
+
+@query(f"WITH {_NODES}, one AS (SELECT file, parent, side, key, min(pos) AS pos FROM nodes GROUP BY ALL HAVING count(*) = 1) SELECT o.file, o.parent, o.pos AS old_pos, n.pos AS new_pos FROM one o JOIN one n ON o.file = n.file AND o.parent = n.parent AND o.key = n.key AND o.side = 'old' AND n.side = 'new'")
+def unique_bijective_pairs(spark, sf_dir):
+    return align.unique_pairs(_nodes(spark, sf_dir))
+
+
+@query(f"WITH {_NODES}, n AS (SELECT *, row_number() OVER (PARTITION BY file, side, parent, key ORDER BY pos) AS nth FROM nodes) SELECT a.file, a.parent, a.pos AS old_pos, b.pos AS new_pos FROM n a JOIN n b ON a.file = b.file AND a.parent = b.parent AND a.key = b.key AND a.nth = b.nth AND a.side = 'old' AND b.side = 'new'")
+def in_order_pairs(spark, sf_dir):
+    return align.in_order_pairs(_nodes(spark, sf_dir))
+
+
+@query(f"WITH {_NODES}, l AS (SELECT file, parent, list(key ORDER BY pos) FILTER (side = 'old') AS a, list(key ORDER BY pos) FILTER (side = 'new') AS b FROM nodes GROUP BY file, parent) SELECT file, parent, CASE WHEN a = b THEN 'equal' ELSE 'reordered' END AS \"order\" FROM l WHERE list_sort(a) = list_sort(b)")
+def reordered_children(spark, sf_dir):
+    return align.reordered(_nodes(spark, sf_dir))
+
+
+@query(f"WITH {_NODES}, p AS (SELECT file, parent, side, sha256(string_agg(key, ',' ORDER BY pos)) AS fingerprint FROM nodes GROUP BY ALL), u AS (SELECT file, side, fingerprint, min(parent) AS parent FROM p GROUP BY ALL HAVING count(*) = 1) SELECT o.file, o.parent AS old_parent, n.parent AS new_parent FROM u o JOIN u n ON o.file = n.file AND o.fingerprint = n.fingerprint AND o.side = 'old' AND n.side = 'new'")
+def fingerprint_pairs(spark, sf_dir):
+    """Parents of a file whose children's fingerprint is unique on both sides."""
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"])
+    prints = _nodes(spark, sf_dir).groupBy("file", "side", "parent").agg(hashing.text_hash(F.array_join(keys, ",")).alias("key"))
+    nodes = prints.select("file", F.lit(0).alias("parent"), "side", F.col("parent").alias("pos"), "key")
+    return align.unique_pairs(nodes).select("file", F.col("old_pos").alias("old_parent"), F.col("new_pos").alias("new_parent"))
+
+
+def _lines(spark, sf_dir):
+    docs = d.read(spark, sf_dir, "documents")
+    old = F.coalesce("text", F.lit(""))
+    new = F.when(F.col("doc_id") % 4 == 0, F.concat(old, F.lit("\nadded line\nadded line"))).otherwise(F.regexp_replace(old, "^[^\n]*", "first line"))
+    split = lambda side, text: docs.select(F.col("doc_id").alias("file"), F.lit(side).alias("side"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
+    return split("old", old).unionByName(split("new", new))
+
+
+_LINES = """texts AS (SELECT doc_id, coalesce(text, '') AS a, CASE WHEN doc_id % 4 = 0 THEN coalesce(text, '') || chr(10) || 'added line' || chr(10) || 'added line' ELSE regexp_replace(coalesce(text, ''), '^[^\\n]*', 'first line') END AS b FROM documents),
+    split AS (SELECT doc_id AS file, 'old' AS side, string_split(a, chr(10)) AS l FROM texts UNION ALL SELECT doc_id, 'new', string_split(b, chr(10)) FROM texts),
+    lines AS (SELECT file, side, unnest(l) AS text, (unnest(range(len(l))))::INTEGER AS line FROM split)"""
+
+
+@query(f"WITH {_LINES} SELECT file, text, (count(*) FILTER (side = 'new') - count(*) FILTER (side = 'old'))::BIGINT AS n FROM lines GROUP BY file, text HAVING n > 0")
+def lines_added(spark, sf_dir):
+    return align.lines_added(_lines(spark, sf_dir))
+
+
+@query(f"WITH {_LINES} SELECT n.file, n.line FROM lines n WHERE n.side = 'new' AND NOT EXISTS (SELECT 1 FROM lines o WHERE o.side = 'old' AND o.file = n.file AND o.text = n.text)")
+def changed_lines(spark, sf_dir):
+    return align.changed_lines(_lines(spark, sf_dir))
+
+
+_OPS = ("rename_identifier", "edit_payload", "insert_subtree", "delete_subtree", "move_node", "move_subtree", "reorder_children", "set_trivia", "set_root_trailing_trivia")
+_KINDS = ("Statement", "Declaration", "Literal", "Comment", "Token", "Identifier")
+
+
+def _mutations(spark, sf_dir):
+    pick = lambda some, by: F.element_at(F.array(*[F.lit(x) for x in some]), (by % len(some) + 1).cast("int"))
+    events, by = d.read(spark, sf_dir, "events"), F.col("event_id")
+    rows = events.select(F.col("user_id").alias("file"), by.alias("seq"), pick(_OPS, by).alias("op"), pick(_KINDS, F.floor(by / 9)).alias("kind"), (by % 5 < 2).alias("at_start"), (by % 3).alias("site"))
+    return rows.withColumn("intent", intents.intent(F.col("op"), F.col("kind"), F.col("at_start")))
+
+
+_LIST = lambda some: "[" + ", ".join(f"'{x}'" for x in some) + "]"
+_MUTATIONS = f"mutations AS (SELECT *, {intents.INTENT_SQL} AS intent FROM (SELECT user_id AS file, event_id AS seq, ({_LIST(_OPS)})[event_id % {len(_OPS)} + 1] AS op, ({_LIST(_KINDS)})[event_id // 9 % {len(_KINDS)} + 1] AS kind, event_id % 5 < 2 AS at_start, event_id % 3 AS site FROM events))"
+
+
+@query(f"WITH {_MUTATIONS} SELECT file, intent, count(*) AS n FROM mutations GROUP BY file, intent")
+def intent_counts(spark, sf_dir):
+    return _mutations(spark, sf_dir).groupBy("file", "intent").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_MUTATIONS} SELECT file, min(seq) AS at, min(intent) AS intent, count(*) AS n FROM mutations GROUP BY file, CASE WHEN intent IN ('set_trivia', 'set_root_trailing_trivia') THEN 'f' ELSE seq::VARCHAR END")
+def compact_intents(spark, sf_dir):
+    return intents.compact(_mutations(spark, sf_dir))
+
+
+_ALWAYS = ", ".join(f"'{a}|{b}'" for a, b in sorted(intents.ALWAYS_DISJOINT))
+_PAY = "('rename_identifier', 'edit_literal', 'edit_payload')"
+
+
+@query(f"""WITH {_MUTATIONS}, n AS (SELECT *, lead(intent) OVER w AS other, lead(site) OVER w AS other_site FROM mutations WINDOW w AS (PARTITION BY file ORDER BY seq)),
+    x AS (SELECT seq, intent AS a, other AS b, site = other_site AS same FROM n WHERE other IS NOT NULL)
+    SELECT seq, a, b, a || '|' || b IN ({_ALWAYS}) OR (NOT same AND (a IN {_PAY} AND (b IN {_PAY} OR b = 'set_trivia') OR a = 'set_trivia' AND (b IN {_PAY} OR b = 'set_trivia') OR a = 'insert_subtree' AND b = 'insert_subtree' OR a = 'move_subtree' AND b = 'move_subtree'))
+    OR (same AND (a IN ('move_node', 'move_subtree') AND b IN {_PAY} OR a IN {_PAY} AND b IN ('move_node', 'move_subtree'))) AS disjoint FROM x""")
+def overlap_matrix(spark, sf_dir):
+    """Neighbouring mutations of a file against the disjointness rules."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("file").orderBy("seq")
+    rows = _mutations(spark, sf_dir).select("seq", F.col("intent").alias("a"), F.lead("intent").over(order).alias("b"), (F.col("site") == F.lead("site").over(order)).alias("same")).where("b is not null")
+    return rows.select("seq", "a", "b", intents.disjoint(F.col("a"), F.col("b"), F.col("same")).alias("disjoint"))
+
+
+_EXT = " ".join(paths.LANGUAGES.values()).split()
+
+
+def _named(spark, sf_dir):
+    extra = ["go.mod", "x/go.mod", "a.b/README", ".gitignore", "notes.md"]
+    suffix = F.element_at(F.array(*[F.lit(x) for x in [*["." + e for e in _EXT], *["/" + x for x in extra], ".RS", ""]]), (F.col("doc_id") % (len(_EXT) + len(extra) + 2) + 1).cast("int"))
+    return d.read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/f"), "doc_id", suffix).alias("path"))
+
+
+_NAMED = f"named AS (SELECT doc_id, source || '/f' || doc_id || ({_LIST([*['.' + e for e in _EXT], '/go.mod', '/x/go.mod', '/a.b/README', '/.gitignore', '/notes.md', '.RS', ''])})[doc_id % {len(_EXT) + 7} + 1] AS path FROM documents)"
+_LANG = "CASE " + "WHEN regexp_extract(path, '[^/]*$') = 'go.mod' THEN 'gomod' " + " ".join(f"WHEN string_split(path, '.')[-1] IN ({', '.join(repr(e) for e in v.split())}) THEN '{k}'" for k, v in paths.LANGUAGES.items()) + " END"
+
+
+@query(f"WITH {_NAMED} SELECT doc_id, path, {_LANG} AS language FROM named")
+def lang_of_path(spark, sf_dir):
+    return _named(spark, sf_dir).select("doc_id", "path", paths.language(F.col("path")).alias("language"))
+
+
+@query("SELECT doc_id, doc_id % 10 = 3 AS is_binary FROM documents")
+def is_binary(spark, sf_dir):
+    """A tenth of the contents gets a NUL byte or a broken character."""
+    body = F.when(F.col("doc_id") % 20 == 3, F.concat(F.col("text").cast("binary"), F.lit(b"a\x00b"))).when(F.col("doc_id") % 20 == 13, F.concat(F.col("text").cast("binary"), F.lit(b"\xc3("))).otherwise(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return d.read(spark, sf_dir, "documents").select("doc_id", paths.is_binary(F.coalesce(body, F.lit(b"\x00"))).alias("is_binary"))
+
+
+@query(f"""WITH {d.BRANCHES_SQL}, refs AS (SELECT 1 AS rank, name, state FROM branches UNION ALL SELECT 2, name, state + 1 FROM branches WHERE state % 3 <> 1 UNION ALL SELECT 2, 't' || name, state FROM branches UNION ALL SELECT 3, 'o' || name, state FROM branches UNION ALL SELECT 0, 'HEAD', min(state) FROM branches),
+    names AS (SELECT DISTINCT name FROM refs UNION ALL SELECT 'head'), met AS (SELECT n.name, r.state, row_number() OVER (PARTITION BY n.name ORDER BY r.rank, r.state) AS k FROM names n JOIN refs r ON r.name = n.name OR (r.rank = 0 AND upper(n.name) = r.name)) SELECT name, state FROM met WHERE k = 1""")
+def ref_priority(spark, sf_dir):
+    heads = d.branches(spark, sf_dir)
+    kind = lambda df, k: df.withColumn("kind", F.lit(k))
+    refs = kind(heads, "branch").unionByName(kind(heads.where("state % 3 <> 1").withColumn("state", F.col("state") + 1), "tag"))
+    refs = refs.unionByName(kind(heads.withColumn("name", F.concat(F.lit("t"), "name")), "tag")).unionByName(kind(heads.withColumn("name", F.concat(F.lit("o"), "name")), "remote"))
+    refs = refs.unionByName(kind(heads.agg(F.lit("HEAD").alias("name"), F.min("state").alias("state")), "head"))
+    names = refs.select("name").distinct().unionByName(spark.createDataFrame([("head",)], "name string"))
+    return history.resolve_ref(refs, names)
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' bytes' ELSE printf('%.1f KiB', n_chars / 1024.0) END AS size FROM documents WHERE n_chars < 1048576")
+def size_text(spark, sf_dir):
+    return d.read(spark, sf_dir, "documents").where("n_chars < 1048576").select("doc_id", paths.size_text(F.col("n_chars")).alias("size"))

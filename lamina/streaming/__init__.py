@@ -1 +1 @@
-
+"""Incremental views over an append-only commit feed."""
