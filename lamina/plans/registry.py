@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions import hashing, paths
-from lamina.operators import align, history, integrity, intents, manifests, sync
+from lamina.operators import align, history, integrity, intents, kernels, manifests, sync
 from lamina.plans import derived as d
 
 QUERIES: dict = {}
@@ -447,3 +447,70 @@ def ref_priority(spark, sf_dir):
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' bytes' ELSE printf('%.1f KiB', n_chars / 1024.0) END AS size FROM documents WHERE n_chars < 1048576")
 def size_text(spark, sf_dir):
     return d.read(spark, sf_dir, "documents").where("n_chars < 1048576").select("doc_id", paths.size_text(F.col("n_chars")).alias("size"))
+
+
+def _triples(spark, sf_dir):
+    """base, left and right texts of the documents that all sides have and change."""
+    docs = d.read(spark, sf_dir, "documents").where("doc_id % 11 <> 0 and doc_id % 13 <> 0")
+    text = F.coalesce("text", F.lit(""))
+    left = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ours\n"), text)).otherwise(F.regexp_replace(text, "^[^\n]*", "ours"))
+    right = F.when(F.col("doc_id") % 2 == 0, F.concat(text, F.lit("\ntheirs"))).otherwise(F.regexp_replace(text, "^[^\n]*", "theirs"))
+    return docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), text.alias("base"), left.alias("left"), right.alias("right"))
+
+
+def _sources(spark, sf_dir):
+    """Events as JSON and orders as small programs: path, old, new."""
+    events = d.read(spark, sf_dir, "events")
+    body = F.format_string('{\n  "type": "%s",\n  "user": %d,\n  "props": %s\n}\n', "event_type", "user_id", F.coalesce("props", F.lit("null")))
+    edited = F.when(F.col("event_id") % 2 == 0, F.regexp_replace(body, '"user": (\\d+)', '"user": $1,\n  "seen": true')).otherwise(F.regexp_replace(body, '"type": "', '"type": "x'))
+    json = events.select(F.format_string("e/%d.json", "event_id").alias("path"), body.alias("old"), edited.alias("new"))
+    orders = d.read(spark, sf_dir, "orders")
+    code = F.format_string("fn order_%d() {\n    let status = \"%s\";\n    let total = %d;\n    ship(status, total);\n}\n", "o_orderkey", "o_orderstatus", F.floor("o_totalprice"))
+    changed = F.when(F.col("o_orderkey") % 3 == 0, F.regexp_replace(code, "ship", "send")).when(F.col("o_orderkey") % 3 == 1, F.concat(code, F.lit("\nfn added() {\n}\n"))).otherwise(F.regexp_replace(code, "let total = \\d+", "let total = 0"))
+    return json.unionByName(orders.select(F.format_string("o/%d.rs", "o_orderkey").alias("path"), code.alias("old"), changed.alias("new")))
+
+
+@query()
+def text_diff(spark, sf_dir):
+    return kernels.text_diff(_triples(spark, sf_dir).select("path", F.col("base").alias("old"), F.col("left").alias("new")))
+
+
+@query()
+def text_merge(spark, sf_dir):
+    return kernels.text_merge(_triples(spark, sf_dir)).select("path", "clean", hashing.text_hash(F.coalesce("text", F.lit(""))).alias("blob"), "message")
+
+
+@query()
+def blame(spark, sf_dir):
+    """Documents of one source in order are the versions of a file."""
+    docs = d.read(spark, sf_dir, "documents")
+    number = F.floor(F.col("doc_id") / 4)
+    return kernels.blame(docs.select(F.concat(F.lit("f"), number).alias("path"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("state"), F.coalesce("text", F.lit("")).alias("text")))
+
+
+@query()
+def ast_diff(spark, sf_dir):
+    return kernels.structural_diff(_sources(spark, sf_dir)).select("path", "seq", "op", "intent", "node", "payload")
+
+
+@query()
+def ast_alignment(spark, sf_dir):
+    return kernels.alignment(_sources(spark, sf_dir))
+
+
+@query()
+def ast_merge(spark, sf_dir):
+    """The edited side against one that renames and reorders nothing but comments."""
+    rows = _sources(spark, sf_dir)
+    other = F.when(F.col("path").endswith(".rs"), F.concat(F.lit("// note\n"), F.col("old"))).otherwise(F.regexp_replace("old", '"props": ', '"props":  '))
+    return kernels.merge_files(rows.select("path", F.col("old").alias("base"), F.col("new").alias("left"), other.alias("right"))).select("path", "clean", hashing.text_hash(F.coalesce("text", F.lit(""))).alias("blob"), "message")
+
+
+@query("SELECT 'e/' || event_id || '.json' AS path, true AS parsed, true AS same FROM events UNION ALL SELECT 'o/' || o_orderkey || '.rs', true, true FROM orders")
+def json_roundtrip(spark, sf_dir):
+    return kernels.round_trip(_sources(spark, sf_dir).select("path", F.col("old").alias("text")))
+
+
+@query()
+def syntax_nodes(spark, sf_dir):
+    return kernels.syntax_nodes(_sources(spark, sf_dir).select("path", F.col("old").alias("text")))
