@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUL = F.lit(b"\x00")
+def nul() -> Column:
+    return F.lit(b"\x00")
+
+
 #: Id of the root state, which no content has.
 ROOT = "0" * 64
 
@@ -16,11 +19,11 @@ def text_hash(text: Column) -> Column:
 
 
 def node_hash(kind: Column, payload: Column, children: Column | None = None) -> Column:
-    """Id of a node: kind, NUL, payload, NUL, then the children's raw digests.
+    """Id of a node: kind, nul(), payload, nul(), then the children's raw digests.
 
     ``children``: an array of hex ids.
     """
-    parts = [kind.cast("binary"), NUL, payload.cast("binary"), NUL]
+    parts = [kind.cast("binary"), nul(), payload.cast("binary"), nul()]
     if children is not None:
         parts.append(F.unhex(F.array_join(children, "")))
     return F.sha2(F.concat(*parts), 256)
@@ -28,8 +31,8 @@ def node_hash(kind: Column, payload: Column, children: Column | None = None) ->
 
 def manifest_entry(path: Column, blob: Column, mode: Column) -> Column:
     """Bytes of one manifest entry, in hex; the mode counts only where it isn't regular."""
-    plain = F.concat(path.cast("binary"), NUL, blob.cast("binary"))
-    return F.hex(F.when(mode == "regular", plain).otherwise(F.concat(plain, NUL, mode.cast("binary"))))
+    plain = F.concat(path.cast("binary"), nul(), blob.cast("binary"))
+    return F.hex(F.when(mode == "regular", plain).otherwise(F.concat(plain, nul(), mode.cast("binary"))))
 
 
 def manifest_hash(entries: Column) -> Column:

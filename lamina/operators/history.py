@@ -26,9 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _walk(edges: pd.DataFrame, starts: list[int]) -> list[tuple[int, int, int]]:
+def _walk(edges: pd.DataFrame, starts: list) -> list[tuple]:
     """(state, depth, visit) in breadth-first order; parents in the order of ``ord``."""
-    parents: dict[int, list[int]] = {}
+    parents: dict = {}
     for child, parent in edges.sort_values(["child", "ord", "parent"])[["child", "parent"]].itertuples(index=False):
         parents.setdefault(child, []).append(parent)
     depth = dict.fromkeys(starts, 0)
@@ -53,15 +53,17 @@ def closure(edges: DataFrame, tips: DataFrame, stop: DataFrame | None = None, lo
         tips = tips.join(gone, tips["state"] == gone["__stop"], "left_anti")
     tips = tips.select("state").distinct()
     if edges.limit(local + 1).count() <= local:
+        kind = tips.schema["state"].dataType.simpleString()
         rows = edges.select("child", "parent", F.col("ord").cast("int").alias("ord"))
-        rows = rows.unionByName(tips.select(F.col("state").alias("child"), F.lit(None).cast("long").alias("parent"), F.lit(-1).alias("ord")))
+        rows = rows.unionByName(tips.select(F.col("state").alias("child"), F.lit(None).cast(kind).alias("parent"), F.lit(-1).alias("ord")))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             starts = sorted(pdf.loc[pdf["ord"] == -1, "child"].tolist())
-            found = _walk(pdf[pdf["ord"] >= 0].astype({"parent": "int64"}), starts)
+            rest = pdf[pdf["ord"] >= 0]
+            found = _walk(rest if kind == "string" else rest.astype({"parent": "int64"}), starts)
             return pd.DataFrame(found, columns=["state", "depth", "visit"])
 
-        return rows.groupBy(F.lit("all").alias("repository")).applyInPandas(run, "state long, depth int, visit long").select("state", "depth", "visit")
+        return rows.groupBy(F.lit("all").alias("repository")).applyInPandas(run, f"state {kind}, depth int, visit long").select("state", "depth", "visit")
     seen = cut(tips.withColumn("depth", F.lit(0)))
     front, depth = seen, 0
     while True:
