@@ -27,7 +27,7 @@ from lamina.llm.common import cut, partitions
 END = 2
 BITS = 16
 #: Tokens of one matrix at most (beyond it only a longer single document).
-SHARD = 1 << 21
+SHARD = 1 << 20
 _BLOCK = 512  # bits between two entries of a rank directory
 
 
@@ -43,12 +43,12 @@ class WaveletMatrix:
         now = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(bits - 1, -1, -1):
-            one = (now & (1 << level)) != 0
+            one = (now & now.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            low = now[~one]
+            low = np.flatnonzero(~one)
             zeros.append(len(low))
             if level:
-                now = np.concatenate([low, now[one]])
+                now = np.concatenate([now[low], now[np.flatnonzero(one)]])
         return cls(len(ids), bits, planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -58,8 +58,8 @@ class WaveletMatrix:
             at = self.bits - 1 - level
             one = np.unpackbits(self.planes[at], count=self.n, bitorder="little").view(bool)
             out = np.empty_like(now)
-            out[~one] = now[: self.zeros[at]]
-            out[one] = now[self.zeros[at] :] | now.dtype.type(1 << level)
+            out[np.flatnonzero(~one)] = now[: self.zeros[at]]
+            out[np.flatnonzero(one)] = now[self.zeros[at] :] | now.dtype.type(1 << level)
             now = out
         return now
 
@@ -170,7 +170,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, bits: int
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in FILE.split(", ")])
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.encoded((v.as_py() for v in batch.column("text")), vocabulary), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.encoded(batch.column("text"), vocabulary), strict=True):
                 if held and size + len(ids) // 4 >= shard:
                     yield flushed()
                 names.append(doc_id)

@@ -13,12 +13,14 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Distinct pieces in either part of a worker's cache at most; beyond it that part starts anew.
 CACHE = 500_000
-#: Characters of texts encoded together, so that what is new in them stays small.
-TOGETHER = 1 << 20
+#: Bytes of texts encoded together, so that what is new in them stays small.
+TOGETHER = 4 << 20
 
 
 def _cut_byte_level(text: str) -> list[str]:
@@ -115,57 +117,81 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """New pieces: their pre-tokens are looked up or encoded, then joined."""
-        known, young, whole, parts = self.known, self.young, [], {}
+        known, young, whole, parts, plain = self.known, self.young, [], {}, []
         for p in pieces:
-            if self.end and p and max(p) > "\u00ff":  # may change when it is normalised
+            if self.end and p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\u00ff"):
+                plain.append(p)  # one pre-token as it stands
+            elif self.end and p and max(p) > "\u00ff":  # may change when it is normalised
                 whole.append(p)
             else:
                 parts[p] = self.pattern.findall(p.lower() if self.end else p)
+        done = self._joined(plain) if plain else {}
         needed = {t for tokens in parts.values() for t in tokens}
         found = {t: known[t] for t in needed if t in known}
         again = {t: young.pop(t) for t in needed if t in young}
         known.update(again)
         found.update(again)
+        found.update({t: done[t] for t in needed if t in done})
         if new := [t for t in needed if t not in found]:
             fresh = self._joined(new)
             young.update(fresh)
             found.update(fresh)
         out = {p: found[tokens[0]] if len(tokens) == 1 else b"".join([found[t] for t in tokens]) for p, tokens in parts.items()}
-        return out | (self._marked(whole) if whole else {})
+        return done | out | (self._marked(whole) if whole else {})
 
-    def bytes_of_all(self, texts: list[str]) -> list[bytes]:
-        """``bytes_of`` for many texts, which share one run for their new pieces.
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, from the cache or by one run for all new ones.
 
         What is met a second time moves to the lasting part of the cache; the rest, mostly never met
         again, is dropped whenever there is too much of it.
         """
-        if self.cut is None:
-            return [self.whole(t) if t else b"" for t in texts]
         known, young = self.known, self.young
-        cuts = [self.cut(t) if t else [] for t in texts]
-        local = dict.fromkeys(chain.from_iterable(cuts))
-        again, new = [], []
-        for p in local:
-            if (found := known.get(p)) is not None:
-                local[p] = found
-            elif p in young:
-                again.append(p)
+        out = list(map(known.get, pieces))
+        lacking = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in lacking:
+            p = pieces[i]
+            if (ids := young.pop(p, None)) is not None:
+                known[p] = out[i] = ids
             else:
-                new.append(p)
-        moved = {p: young.pop(p) for p in again}
-        known.update(moved)
-        local.update(moved)
+                new.append(i)
         if new:
-            fresh = self._pieces(new)
+            fresh = self._pieces([pieces[i] for i in new])
             young.update(fresh)
-            local.update(fresh)
-        out = [b"".join(map(local.__getitem__, parts)) for parts in cuts]
+            for i in new:
+                out[i] = fresh[pieces[i]]
         if len(young) > self.most:
             young.clear()
         if len(known) > self.most:
             known.clear()
         return out
 
+    def bytes_of_all(self, texts: list[str]) -> list[bytes]:
+        """``bytes_of`` for many texts, which share one run for their new pieces."""
+        if self.cut is None:
+            return [self.whole(t) if t else b"" for t in texts]
+        cuts = [self.cut(t) if t else [] for t in texts]
+        names = list(dict.fromkeys(chain.from_iterable(cuts)))
+        local = dict(zip(names, self._looked_up(names), strict=True))
+        return [b"".join(map(local.__getitem__, parts)) for parts in cuts]
+
+    def bytes_of_column(self, texts: pa.Array) -> list[bytes]:
+        """``bytes_of_all`` for an Arrow column; texts cut at spaces are split and joined without Python strings."""
+        if self.cut is not _cut_spaced:
+            return self.bytes_of_all(texts.to_pylist())
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,!?;:])", r"\1 \2")  # where pre-tokens part anyway
+        lists = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        found = self._looked_up(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        at = words.indices.to_numpy(zero_copy_only=False)
+        each = size[at]
+        end = np.cumsum(each)
+        flat = pool[np.repeat(start[at] - end + each, each) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        edge = (4 * np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        return [flat[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+
     def bytes_of(self, text: str) -> bytes:
         return self.bytes_of_all([text])[0]
 
@@ -180,17 +206,17 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(texts, path: str):
-    """The ids of each text (null: none) as bytes, in order, a bounded run of texts at a time."""
-    worker, run, size = encoder(path), [], 0
-    for text in texts:
-        text = text or ""
-        run.append(text)
-        size += len(text)
-        if size >= TOGETHER:
-            yield from worker.bytes_of_all(run)
-            run, size = [], 0
-    yield from worker.bytes_of_all(run)
+def encoded(column: pa.Array, path: str):
+    """The ids of each text of a column (null: none) as bytes, in order, a bounded run of texts at a time."""
+    worker = encoder(path)
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    row = 0
+    while row < len(column):
+        base = size[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(size, base + TOGETHER, "right")))
+        yield from worker.bytes_of_column(column.slice(row, end - row))
+        row = end
 
 
 class _Ranked:
@@ -228,7 +254,7 @@ def arrays(texts, path: str):
         for text in texts:
             yield ranked.array(text or "")
     else:
-        for ids in encoded(texts, path):
+        for ids in encoded(pa.array(texts, pa.large_string()), path):
             yield np.frombuffer(ids, "<u4")
 
 
