@@ -260,7 +260,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = 1) -> Model:
                     used, moved = sums.setdefault(block, (np.zeros(b - a), np.zeros((b - a, table.shape[1]))))
                     at, n = np.frombuffer(at.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), np.float64)
                     used[at] += n
-                    moved[at] += np.frombuffer(x.as_buffer(), "<f4").reshape(len(at), -1) * n[:, None]
+                    moved[at] += np.frombuffer(x.as_buffer(), "<f4").reshape(len(at), table.shape[1]) * n[:, None]
             for block, (used, moved) in sums.items():
                 out = (moved / np.maximum(used, 1)[:, None]).astype("<f4")
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "moved"])
