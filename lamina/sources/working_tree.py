@@ -69,15 +69,28 @@ def changed_since(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:
-    """path, content, mode: contents by Spark's file reader, a symlink's content is its target."""
+    """path, content, mode: contents by Spark's file reader, a symlink's content is its target.
+
+    That reader passes over names that begin with a dot or an underscore; those are opened by the executors.
+    """
     stats = walk(root)
     links = [(p, bytearray(os.readlink(os.path.join(root, p)).encode()), m) for p, _, _, m in stats if m == "symlink"]
-    files = [(p, m) for p, _, _, m in stats if m != "symlink"]
+    hidden = [(p, m) for p, _, _, m in stats if m != "symlink" and any(x[0] in "._" for x in p.split("/"))]
+    files = [(p, m) for p, _, _, m in stats if m != "symlink" and (p, m) not in set(hidden)]
     out = spark.createDataFrame(links, "path string, content binary, mode string")
+    top = Path(root).resolve().as_posix()
+    if hidden:
+
+        def read(batches):
+            for pdf in batches:
+                pdf["content"] = [(Path(top) / p).read_bytes() for p in pdf["path"]]
+                yield pdf[["path", "content", "mode"]]
+
+        out = out.unionByName(spark.createDataFrame(hidden, "path string, mode string").mapInPandas(read, "path string, content binary, mode string"))
     if files:
-        base = Path(root).resolve().as_posix() + "/"
-        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-        named = read.select(F.expr(f"substring(url_decode(replace(regexp_replace(path, '^file:/+', '/'), '+', '%2B')), {len(base) + 1})").alias("path"), "content")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
+        plain = F.expr(f"substring(url_decode(replace(regexp_replace(path, '^file:/+', '/'), '+', '%2B')), {len(top) + 2})")
+        named = found.select(plain.alias("path"), "content")
         out = named.join(spark.createDataFrame(files, "path string, mode string"), "path").select("path", "content", "mode").unionByName(out)
     return out
 
