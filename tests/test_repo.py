@@ -143,7 +143,7 @@ def test_working_tree(spark, tmp_path):
     before = spark.createDataFrame(working_tree.walk(str(tmp_path)), working_tree.STAT)
     (tmp_path / "a b.txt").write_text("changed")
     assert [r["path"] for r in working_tree.changed_since(working_tree.scan(spark, str(tmp_path)), before).collect()] == ["a b.txt"]
-    out = tmp_path / "out"
+    out = tmp_path.parent / f"{tmp_path.name}-out"
     out.mkdir()
     (out / "old").write_text("x")
     assert working_tree.materialize(working_tree.load(spark, str(tmp_path)).where("path <> '.gitignore'"), str(out), ["old"]) == 3
