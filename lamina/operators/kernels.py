@@ -24,7 +24,10 @@ NODES = "path string, id string, kind string, payload string, children array<str
 
 
 def _mapped(rows: DataFrame, columns: tuple[str, ...], schema: str, kernel) -> DataFrame:
-    """``kernel(*row)`` yields result tuples; texts of null count as empty."""
+    """``kernel(*row)`` yields result tuples; texts of null count as empty.
+
+    Kernels take far longer than moving their rows, so these are first spread evenly.
+    """
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
@@ -32,7 +35,9 @@ def _mapped(rows: DataFrame, columns: tuple[str, ...], schema: str, kernel) -> D
             out = [r for row in pdf.itertuples(index=False) for r in kernel(*(x if isinstance(x, str) else "" for x in row))]
             yield pd.DataFrame(out, columns=names)
 
-    return rows.select(*columns).mapInPandas(run, schema)
+    spark = rows.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.select(*columns).repartition(spread, columns[0]).mapInPandas(run, schema)
 
 
 def text_diff(pairs: DataFrame) -> DataFrame:
@@ -80,7 +85,7 @@ def alignment(pairs: DataFrame) -> DataFrame:
     def kernel(path, old, new):
         files = parse_path(path, old), parse_path(path, new)
         if all(files):
-            for e in _diff.diff(*files)[1]:
+            for e in _diff.diff(*files, detailed=True)[1]:
                 yield path, e["old_id"], e["new_id"], e["kind"], e["method"], e["parent_old"], e["parent_new"]
 
     return _mapped(pairs, ("path", "old", "new"), ALIGNED, kernel)
