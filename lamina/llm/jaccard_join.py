@@ -111,21 +111,25 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of the component of each node of the edges (a, b).
 
     Alternates large-star and small-star contraction until the edges no longer change; each
-    round is written to the checkpoint folder, and nothing but two sums reaches the driver.
+    round is written to the checkpoint folder, and nothing but two sums reaches the driver. The
+    least neighbours are dealt anew before they meet the edges: both sides of the join are then
+    plain shuffles, of which Spark can split the part that holds the centre of a large star.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pieces = partitions(edges.sparkSession)
+    least = lambda some: some.groupBy("a").agg(F.min("b").alias("m"))
+    tied = lambda some: some.where("a <> b").distinct()
+    now = cut(tied(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     mark = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.unionByName(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small)
+        low = least(now)
+        far = now.join(low.withColumnRenamed("a", "b").repartition(pieces), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = tied(far.unionByName(low.withColumnRenamed("m", "b")))
+        low = least(large)
+        near = large.join(low.repartition(pieces), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(tied(near.unionByName(low.withColumnRenamed("m", "b"))))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == tuple(seen):
-            return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+            return least(now).select(F.col("a").alias("node"), F.col("m").alias("root"))
         mark = tuple(seen)
 
 
