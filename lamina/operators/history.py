@@ -12,6 +12,7 @@ from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Edges up to which one task may traverse a repository.
@@ -43,7 +44,10 @@ def _walk(edges: pd.DataFrame, starts: list) -> list[tuple]:
 
 
 def closure(edges: DataFrame, tips: DataFrame, stop: DataFrame | None = None, local: int = LOCAL_EDGES) -> DataFrame:
-    """state, depth of all states reachable from ``tips`` (state), tips at depth 0.
+    """state, depth, visit of all states reachable from ``tips`` (state), tips at depth 0.
+
+    ``visit`` is the place in the breadth-first queue, on either way: by depth, then the place of the
+    child that met the state first, then ``ord``, then id.
 
     ``stop`` (state): states that are neither returned nor walked through.
     """
@@ -64,21 +68,29 @@ def closure(edges: DataFrame, tips: DataFrame, stop: DataFrame | None = None, lo
             return pd.DataFrame(found, columns=["state", "depth", "visit"])
 
         return rows.groupBy(F.lit("all").alias("repository")).applyInPandas(run, f"state {kind}, depth int, visit long").select("state", "depth", "visit")
-    seen = cut(tips.withColumn("depth", F.lit(0)))
-    front, depth = seen, 0
+    seen = _placed(tips.withColumn("depth", F.lit(0)), ["state"], 0)
+    front, depth, n = seen, 0, seen.count()
     while True:
         depth += 1
-        step = front.join(edges, front["state"] == edges["child"]).select(F.col("parent").alias("state")).distinct()
-        front = cut(step.join(seen.select("state"), "state", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            return seen.withColumn("visit", F.row_number().over(_visit()).cast("long") - 1)
+        met = front.join(edges, front["state"] == edges["child"]).groupBy(F.col("parent").alias("state"))
+        step = met.agg(F.min(F.struct("visit", F.col("ord").cast("int").alias("ord"))).alias("by")).withColumn("depth", F.lit(depth))
+        front = _placed(step.join(seen.select("state"), "state", "left_anti"), ["by", "state"], n)
+        size = front.count()
+        if not size:
+            return seen.select("state", "depth", "visit")
+        n += size
         seen = cut(seen.unionByName(front))
 
 
-def _visit():
-    from pyspark.sql import Window as W
-
-    return W.orderBy("depth", "state")
+def _placed(rows: DataFrame, order: list[str], first: int) -> DataFrame:
+    """state, depth and visit: numbers from ``first`` on in the given order, which no single task needs to see."""
+    row = F.monotonically_increasing_id()
+    rows = cut(rows.orderBy(*order).select("state", "depth", row.alias("row")))
+    part = F.shiftright("row", 33).alias("part")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    begins = rows.groupBy(part).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    at = F.col("row").bitwiseAND((1 << 33) - 1) + F.col("begin") + first
+    return rows.withColumn("part", part).join(F.broadcast(begins), "part").select("state", "depth", at.alias("visit"))
 
 
 def log(edges: DataFrame, start: DataFrame, limit: int) -> DataFrame:
