@@ -77,7 +77,7 @@ def normalized(path: Column) -> Column:
 
 def size_text(n: Column) -> Column:
     kib, mib = F.lit(1024.0), F.lit(1024.0 * 1024.0)
-    return F.when(n < 1024, F.format_string("%d bytes", n)).when(n < 1024 * 1024, F.format_string("%.1f KiB", F.bround(n / kib, 1))).otherwise(F.format_string("%.1f MiB", F.bround(n / mib, 1)))
+    return F.when(n < 1024, F.format_string("%d bytes", n)).when(n < 1024 * 1024, F.format_string("%.1f KiB", F.bround(n / kib, 1))).when(n.isNotNull(), F.format_string("%.1f MiB", F.bround(n / mib, 1)))
 
 
 def query_parameters(query: Column) -> Column:

@@ -446,7 +446,7 @@ def ref_priority(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' bytes' ELSE printf('%.1f KiB', n_chars / 1024.0) END AS size FROM documents WHERE n_chars < 1048576")
 def size_text(spark, sf_dir):
-    return d.read(spark, sf_dir, "documents").where("n_chars < 1048576").select("doc_id", paths.size_text(F.col("n_chars")).alias("size"))
+    return d.read(spark, sf_dir, "documents").select("doc_id", paths.size_text(F.col("n_chars")).alias("size"))
 
 
 def _triples(spark, sf_dir):

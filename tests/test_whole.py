@@ -2,9 +2,8 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from lamina.operators import history
+from lamina.plans import registry
 
 
 def test_walks_of_both_sizes_visit_alike(spark):
@@ -18,3 +17,10 @@ def test_walks_of_both_sizes_visit_alike(spark):
     assert sorted(v for _, _, v in far) == list(range(len(far)))
     by_id = [s for _, s in sorted((d, s) for s, d, _ in near)]
     assert by_id != [s for s, _, _ in sorted(near, key=lambda r: r[2])]
+
+
+def test_sizes_of_all_documents(spark, tmp_path):
+    sizes = [(1, 1023), (2, 2560), (3, (1 << 20) - 1), (4, 1 << 20), (5, 5 << 20), (6, None)]
+    spark.createDataFrame(sizes, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in registry.QUERIES["size_text"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "1023 bytes"), (2, "2.5 KiB"), (3, "1024.0 KiB"), (4, "1.0 MiB"), (5, "5.0 MiB"), (6, None)}
