@@ -24,3 +24,11 @@ def test_sizes_of_all_documents(spark, tmp_path):
     spark.createDataFrame(sizes, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in registry.QUERIES["size_text"](spark, str(tmp_path)).collect()}
     assert got == {(1, "1023 bytes"), (2, "2.5 KiB"), (3, "1024.0 KiB"), (4, "1.0 MiB"), (5, "5.0 MiB"), (6, None)}
+
+
+def test_every_document_is_diffed_and_merged(spark, tmp_path):
+    texts = [(i, f"one {i}\ntwo\nthree", "s") for i in range(1, 144)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("text_diff", "text_merge"):
+        got = {r["path"] for r in registry.QUERIES[name](spark, str(tmp_path)).select("path").collect()}
+        assert got == {f"s/{i}.txt" for i, _, _ in texts}
