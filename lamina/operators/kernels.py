@@ -6,6 +6,9 @@ blobs are computed once and joined back.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+from os.path import splitext
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +82,44 @@ def structural_diff(pairs: DataFrame) -> DataFrame:
     return _mapped(pairs.where("not (old <=> new)"), ("path", "old", "new"), MUTATIONS, kernel)
 
 
+def _outline(root) -> str:
+    """Kinds of a tree's nodes without payloads and child order: equal where a diff neither inserts nor deletes."""
+    keys: dict[int, str] = {}
+    for node in reversed(list(root.walk())):
+        keys[id(node)] = blake2b("\0".join([node.kind, *sorted(keys[id(c)] for c in node.children)]).encode(), digest_size=16).hexdigest()
+    return keys[id(root)]
+
+
+def edited_renames(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """from_path, to_path of removed and added (path, text) of one extension that differ by edits and moves only.
+
+    A greedy walk of sorted removed paths over sorted added ones. Only files of one outline can pair,
+    so each outline is walked by itself; a structural diff decides.
+    """
+
+    def outlined(path, text):
+        if file := parse_path(path, text):
+            yield path, splitext(path)[1], _outline(file.root), text
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("path")
+        gone, come = (pdf[pdf["side"] == s] for s in ("removed", "added"))
+        out = []
+        if len(gone) and len(come):
+            free = {p: parse_path(p, t) for p, t in zip(come["path"], come["text"], strict=True)}
+            for path, text in zip(gone["path"], gone["text"], strict=True):
+                file = parse_path(path, text)
+                to = next((p for p, new in free.items() if not any(m.op in ("insert_subtree", "delete_subtree") for m in _diff.diff(file, new)[0])), None)
+                if to is not None:
+                    del free[to]
+                    out.append((path, to))
+        return pd.DataFrame(out, columns=["from_path", "to_path"])
+
+    schema = "path string, extension string, outline string, text string"
+    sides = [_mapped(df, ("path", "text"), schema, outlined).withColumn("side", F.lit(s)) for df, s in ((removed, "removed"), (added, "added"))]
+    return sides[0].unionByName(sides[1]).groupBy("extension", "outline").applyInPandas(run, "from_path string, to_path string")
+
+
 def alignment(pairs: DataFrame) -> DataFrame:
     """Which node of the old side became which of the new one, and by which pass."""
 

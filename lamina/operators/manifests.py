@@ -107,14 +107,14 @@ def three_way(base: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.withColumns({"blob": blob, "mode": merged_mode(F.col("b_mode"), F.col("l_mode"), F.col("r_mode"))})
 
 
-def plan_three_way(base: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def plan_three_way(base: DataFrame, left: DataFrame, right: DataFrame, renames=exact_renames) -> DataFrame:
     """Three-way plan with renames followed: ``path`` is the base's (or an added) path, ``target`` where the result goes.
 
-    Paths that both sides renamed to different places are ``rename_conflict``.
+    ``renames(old, new)`` gives from_path and to_path; blob ids alone show the exact ones. Paths that both sides renamed to different places are ``rename_conflict``.
     """
     moves = {}
     for name, side in (("l", left), ("r", right)):
-        moves[name] = exact_renames(base, side).select(F.col("from_path"), F.col("to_path"))
+        moves[name] = renames(base, side).select(F.col("from_path"), F.col("to_path"))
     back = {}
     for name, side in (("l", left), ("r", right)):
         named = side.join(moves[name], side["path"] == moves[name]["to_path"], "left")

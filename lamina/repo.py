@@ -334,7 +334,20 @@ class Repo:
         return manifests.diff(self.manifest(old), self.manifest(new))
 
     def renames(self, old: str, new: str) -> DataFrame:
-        return manifests.exact_renames(self.manifest(old), self.manifest(new))
+        """from_path, to_path, the new blob and kind: exact, or with_edits where a source file's structure is kept."""
+        return self._moves(self.manifest(old), self.manifest(new))
+
+    def _moves(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        exact = history.cut(manifests.exact_renames(old, new).withColumn("kind", F.lit("exact")))
+
+        def rest(side: DataFrame, other: DataFrame, end: str) -> DataFrame:
+            own = side.where("mode <> 'symlink'").join(other.select("path"), "path", "left_anti")
+            return history.cut(own.join(exact.select(F.col(end).alias("path")), "path", "left_anti").select("path", "blob"))
+
+        gone, come = rest(old, new, "from_path"), rest(new, old, "to_path")
+        read = [self.texts(rows, text="blob").where("text is not null").select("path", "text") for rows in (gone, come)]
+        edited = kernels.edited_renames(*read).join(come.withColumnRenamed("path", "to_path"), "to_path")
+        return exact.unionByName(history.cut(edited.select("from_path", "to_path", "blob", F.lit("with_edits").alias("kind"))))
 
     def texts(self, rows: DataFrame, **columns: str) -> DataFrame:
         """The texts of blob columns: ``texts(df, old='old_blob')`` adds ``old``."""
@@ -375,7 +388,7 @@ class Repo:
         return self._planned(sides, renames, resolutions or {})
 
     def _planned(self, sides: list[DataFrame], renames: bool, resolutions: dict[str, str]) -> tuple[DataFrame, list[tuple[str, str]]]:
-        rows = manifests.plan_three_way(*sides) if renames else manifests.three_way(*sides).withColumn("target", F.col("path"))
+        rows = manifests.plan_three_way(*sides, renames=self._moves) if renames else manifests.three_way(*sides).withColumn("target", F.col("path"))
         rows = history.cut(rows.select("path", "target", "outcome", "b_blob", "l_blob", "r_blob", "mode"))
         chosen = self.spark.createDataFrame(list(resolutions.items()), "path string, choice string")
         rows = rows.join(chosen, "path", "left")
@@ -387,6 +400,8 @@ class Repo:
         conflicts += [(r["target"], "binary contents differ") for r in inside.where("base is null or left is null or right is null").select("target").collect()]
         hard = ("add_add", "kind_conflict", "rename_conflict")
         conflicts += [(r["path"], r["outcome"]) for r in rows.where(F.col("outcome").isin(*hard) & open_).select("path", "outcome").collect()]
+        meet = rows.where(~F.col("outcome").startswith("remove")).groupBy("target").agg(F.count("*").alias("n"), F.max(open_).alias("open")).where("n > 1 and open")
+        conflicts += [(r["target"], "rename_conflict") for r in meet.collect()]
         conflicts += [(r["path"], "mode") for r in rows.where((F.col("mode") == "conflict") & open_ & ~F.col("outcome").startswith("remove")).select("path").collect()]
         written = self.write_blobs(merged.where("clean").join(rows.select(F.col("target").alias("path"), "mode"), "path").select("path", F.col("text").cast("binary").alias("content"), "mode"))
         blob = F.when(F.col("choice").isNotNull(), settled).when(F.col("outcome").isin(*manifests.LEFT), F.col("l_blob")).when(F.col("outcome").isin(*manifests.RIGHT), F.col("r_blob"))

@@ -2,8 +2,9 @@
 
 import random
 
-from lamina.operators import history
+from lamina.operators import history, kernels
 from lamina.plans import registry
+from lamina.repo import Repo
 
 
 def test_walks_of_both_sizes_visit_alike(spark):
@@ -32,3 +33,27 @@ def test_every_document_is_diffed_and_merged(spark, tmp_path):
     for name in ("text_diff", "text_merge"):
         got = {r["path"] for r in registry.QUERIES[name](spark, str(tmp_path)).select("path").collect()}
         assert got == {f"s/{i}.txt" for i, _, _ in texts}
+
+
+def test_only_edits_make_a_rename(spark):
+    rows = lambda files: spark.createDataFrame(list(files.items()), "path string, text string")
+    gone = rows({"a.py": "def f(a):\n    return a\n", "b.py": "x = 1\n", "c.rs": "fn f() { 1 }\n", "d.txt": "one\n"})
+    come = rows({"u.py": "def g(b):\n    return b\n", "v.rs": "fn g() { 2 }\n", "w.txt": "two\n", "x.py": "x = 1\ny = 2\n", "y.js": "x = 1\n"})
+    assert {tuple(r) for r in kernels.edited_renames(gone, come).collect()} == {("a.py", "u.py"), ("c.rs", "v.rs")}
+
+
+def test_a_merge_follows_a_rename_with_edits(spark, tmp_path):
+    def tree(**files):
+        return spark.createDataFrame([(f"{p}.py", bytearray(t.encode()), "regular") for p, t in files.items()], "path string, content binary, mode string")
+
+    repo = Repo.init(spark, str(tmp_path / "store"))
+    repo.set_identity("a", "a@example.org")
+    text = "def f(a):\n    return 1\n\n\ndef g(b):\n    return 2\n"
+    repo.commit("one", tree(a=text), "1")
+    repo.create_branch("side")
+    repo.commit("two", tree(a=text.replace("return 2", "return 4")), "2")
+    repo.checkout("side")
+    repo.commit("three", tree(c=text.replace("return 1", "return 3")), "3")
+    repo.merge("main")
+    got = {r["path"]: bytes(r["content"]).decode() for r in repo.files(repo.manifest("HEAD")).collect()}
+    assert got == {"c.py": text.replace("return 1", "return 3").replace("return 2", "return 4")}
