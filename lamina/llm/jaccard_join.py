@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join by MinHash bands and exact verification.
 
 A text is its set of five-word shingles (fewer words: one shingle of them all; none: no set and no
-links). Texts with equal sets are one class of copies and stand together from then on. A forest of
-sorted prefix tries over MinHash labels proposes candidates: matched prefixes are shortened from
-full depth until the expected recall at the threshold reaches the target, and the nodes of that depth
+links). Texts with equal sets are one class of copies and stand together from then on. Each of 20 trees
+labels a set by its first MinHashes; how many is the greatest depth at which the expected recall at the
+threshold reaches the target. This stands in for the descent of an LSH forest. Equal labels of a tree
 tie their members to the least of them. Connected candidates form clusters. Inside a cluster all
 pairs of different sets are verified exactly, block against block, on sparse incidence matrices, so
 neither pairs nor a whole large cluster ever meet in one task; what leaves a block pair is a sum of
