@@ -106,16 +106,17 @@ class Model:
         some = np.flatnonzero(n)
         if len(some):
             out[some, 1] = np.add.reduceat(ratio, first[some]) / n[some]
-            place = np.arange(len(ratio)) - np.repeat(first[:-1], n)
-            block = place // WINDOW + np.repeat(np.cumsum(np.append(0, -(-n // WINDOW)))[:-1], n)
-            means = np.bincount(block, np.maximum(ratio, 0)) / WINDOW
-            blocks = -(-n[some] // WINDOW)
-            heads = np.append(0, np.cumsum(blocks)[:-1])
-            out[some, 2] = np.maximum.reduceat(means, heads)
-            owner = np.repeat(np.arange(len(some)), blocks)
-            top = np.flatnonzero(means == out[some, 2][owner])
-            means[top[np.unique(owner[top], return_index=True)[1]]] = 0
-            out[some, 3] = np.maximum.reduceat(means, heads)
+            gain, end, owner = np.maximum(ratio, 0), np.repeat(first[1:], n), np.repeat(np.arange(len(some)), n[some])
+            for peak in (2, 3):
+                sums = gain.copy()  # of the window that begins at each token, cut at its text's end
+                for k in range(1, WINDOW):
+                    sums[:-k] += np.where(np.arange(k, len(gain)) < end[:-k], gain[k:], 0)
+                top = np.maximum.reduceat(sums, first[some])
+                out[some, peak] = top / WINDOW
+                at = np.flatnonzero(sums == top[owner])
+                best = at[np.unique(owner[at], return_index=True)[1]]
+                inside = best[:, None] + np.arange(WINDOW)
+                gain[inside[inside < end[best][:, None]]] = 0  # the second peak lies outside the first window
         return out
 
     def fit_curve(self, x: np.ndarray, labels: np.ndarray) -> None:
