@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -23,12 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and read it from there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where none is set (tests, a
-    laptop) a temporary one takes its place.
+    The folder is the cluster's ``spark.checkpoint.dir``; only where none is set and all runs on one
+    machine (tests, a laptop) a temporary one takes its place. Spark removes checkpoints that are no
+    longer used where ``spark.cleaner.referenceTracking.cleanCheckpoints`` says so.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lamina-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lamina-"))
     return df.checkpoint(eager=True)
 
 

@@ -64,7 +64,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     keys = given.select(url, "host", "path").distinct()
     tried = keys.select(url, F.explode(both).alias("x")).select(F.col(url).alias("__url"), digest(F.col("x.h"), F.col("x.p")).alias("__digest"))
     tried = tried.withColumn("__short", F.conv(F.substring("__digest", 1, 8), 16, 10).cast("long"))
-    met = tried.join(rules, (F.col("__short") == F.col("short")) & (F.col("__digest") == F.col("digest")))
+    # digests are of one length, so a prefix is the whole; as no equality it stays out of the join's keys
+    met = tried.join(rules, (F.col("__short") == F.col("short")) & F.startswith("__digest", "digest"))
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict").alias("v"))
     best = met.groupBy("__url").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), rank).alias("__best"))
     return given.join(best, given[url] == F.col("__url"), "left").select(*[given[c] for c in own], given["host"], given["path"], F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))
