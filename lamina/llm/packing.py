@@ -81,7 +81,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for doc_id, found in zip(ids, tokens.arrays((v.as_py() for v in batch.column("text")), vocabulary), strict=True):
+            for doc_id, found in zip(ids, tokens.arrays(batch.column("text"), vocabulary), strict=True):
                 whole = np.append(found, np.uint32(end)).astype("<u4")
                 first = len(whole) % size or size
                 flat, cuts = whole.tobytes(), [0, *range(first, len(whole) + 1, size)]

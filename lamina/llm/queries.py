@@ -63,11 +63,9 @@ def op6_token_files(spark, sf_dir):
 
 @query
 def op7_token_counts(spark, sf_dir):
-    separator = 50256  # the vocabulary's end-of-text id, which no ordinary text yields
     path = token_files.folder(spark, "flat")
-    docs = read(spark, sf_dir, "documents")
-    token_counts.flat_blocks(docs, vocabulary("byte_bpe_50k.json"), separator).write.option("compression", "zstd").parquet(path)
-    return token_counts.scan(spark.read.parquet(path), separator).select("doc_id", "file", "document", "start", "n_tokens")
+    names = token_counts.write_flat(read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_counts.counted(spark, path, names).select("doc_id", "file", "document", "start", "n_tokens")
 
 
 @query

@@ -63,7 +63,8 @@ def _parts(ids: np.ndarray, names: list[str], starts: list[int], ends: list[int]
 class Encoder:
     """``bytes_of(text)``: the ids of a text as little-endian unsigned 32-bit integers.
 
-    Strings of special tokens inside a text are ordinary text.
+    They are those of the library's own ``encode(text, add_special_tokens=False)``: a special token's
+    string inside a text is its id. Texts with such a string are encoded whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -72,8 +73,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.plain, self.parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
         marks = [t for t in spec.get("added_tokens", []) if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.mark = max(marks, key=lambda t: t["id"]) if marks else None
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -90,11 +90,9 @@ class Encoder:
 
     def _marked(self, pieces: list[str]) -> dict[str, bytes]:
         """Each piece's ids, from one run over all of them with a special token in between."""
-        odd = {p for p in pieces if any(s in p for s in self.special)}
-        out = {p: self.whole(p) for p in odd}
-        pieces = [p for p in pieces if p not in odd]
+        out = {}
         if pieces:
-            ids = np.array(self.parted.encode_batch_fast([self.mark["content"].join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([self.mark["content"].join(pieces)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == self.mark["id"])
             out |= _parts(ids, pieces, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)])
         return out
@@ -170,6 +168,10 @@ class Encoder:
         """``bytes_of`` for many texts, which share one run for their new pieces."""
         if self.cut is None:
             return [self.whole(t) if t else b"" for t in texts]
+        if odd := {t for t in texts if t and any(s in t for s in self.special)}:
+            alone = {t: self.whole(t) for t in odd}
+            rest = iter(self.bytes_of_all([t for t in texts if t not in odd]))
+            return [alone[t] if t in odd else next(rest) for t in texts]
         cuts = [self.cut(t) if t else [] for t in texts]
         names = list(dict.fromkeys(chain.from_iterable(cuts)))
         local = dict(zip(names, self._looked_up(names), strict=True))
@@ -177,7 +179,7 @@ class Encoder:
 
     def bytes_of_column(self, texts: pa.Array) -> list[bytes]:
         """``bytes_of_all`` for an Arrow column; texts cut at spaces are split and joined without Python strings."""
-        if self.cut is not _cut_spaced:
+        if self.cut is not _cut_spaced or any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
             return self.bytes_of_all(texts.to_pylist())
         apart = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,!?;:])", r"\1 \2")  # where pre-tokens part anyway
         lists = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
@@ -219,43 +221,7 @@ def encoded(column: pa.Array, path: str):
         row = end
 
 
-class _Ranked:
-    """The byte-level kind through tiktoken, whose ranks are the ids of the same vocabulary file.
-
-    Only where ids follow the order of merges, which makes both libraries agree id by id.
-    """
-
-    def __init__(self, path: str, spec: dict):
-        import tiktoken
-
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in token): at for token, at in spec["model"]["vocab"].items() if token not in special}
-        self.encoding = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-
-    @staticmethod
-    def fits(spec: dict) -> bool:
-        model = spec["model"]
-        made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
-        return _kind(spec)[0] is _cut_byte_level and made == sorted(made) and not model.get("ignore_merges") and not model.get("dropout")
-
-    def array(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False) if text else np.zeros(0, "<u4")
-
-
-def arrays(texts, path: str):
-    """The ids of each text (null: none) as arrays of unsigned 32-bit integers, in order."""
-    if path not in _RANKED:
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        _RANKED[path] = _Ranked(path, spec) if _Ranked.fits(spec) else None
-    if ranked := _RANKED[path]:
-        for text in texts:
-            yield ranked.array(text or "")
-    else:
-        for ids in encoded(pa.array(texts, pa.large_string()), path):
-            yield np.frombuffer(ids, "<u4")
-
-
-_RANKED: dict = {}
+def arrays(column: pa.Array, path: str):
+    """``encoded``, each as an array of unsigned 32-bit integers."""
+    for ids in encoded(column, path):
+        yield np.frombuffer(ids, "<u4")

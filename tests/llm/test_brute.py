@@ -37,6 +37,8 @@ TEXTS = [
     (16, "tie tie tie tie"),
     (17, "line\r\nwith <|endoftext|> 'll and  double   spaces\t.\n\n\nend "),
     (18, "one two three four"),
+    (20, "hello <|endoftext|> world<|startoftext|>!"),
+    (21, "<|ENDOFTEXT|> <|endoftext|><|endoftext|>"),
     (19, "one two three four"),
     (9, "ééé ñandú Straße " + PASSAGE + " 漢字 ünï"),
 ]
@@ -98,6 +100,13 @@ def test_url_filters(spark):
     assert url_filters.judge(pages.where("false"), url_filters.rule_table(spark)).count() == 0
 
 
+def test_urls_meet_rules_on_short_hashes_only(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
+    plan = url_filters.judge(pages, url_filters.rule_table(spark))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line and "short" in line]
+    assert joins and all(re.search(r"\[__short#\d+L\], \[short#\d+L\]", line) for line in joins)
+
+
 def brute_dedup(texts: dict) -> dict:
     first, out = {}, {}
     for i in sorted(texts):
@@ -280,8 +289,6 @@ def test_lm_beats_base_on_held_out(spark, data):
 @pytest.fixture(scope="module")
 def ids_of():
     engines = {p: Tokenizer.from_file(p) for p in (BYTE_BPE, WORD_BPE)}
-    for engine in engines.values():
-        engine.encode_special_tokens = True
     return lambda text, path, end: [*engines[path].encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -332,32 +339,54 @@ def test_token_files(spark, docs, empty, ids_of):
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 9, 700, 3000):
+    for n in (0, 1, 9, 700, 3000, 200_000):
         ids = (rng.zipf(1.4, n) % 500).astype(np.uint32)
-        matrix = token_files.WaveletMatrix.from_bytes(token_files.WaveletMatrix.build(ids, 9).to_bytes())
+        matrix = token_files.WaveletMatrix(token_files.WaveletMatrix.build(ids, 9))
         assert (matrix.decode() == ids).all()
-        for at in range(0, n, 41):
-            assert matrix.access(at) == ids[at]
+        some = list(range(0, n, 1 + n // 70))
+        assert (matrix.access_all(some) == ids[some]).all() and all(matrix.access(p) == ids[p] for p in some[:5])
         for token in {0, 1, 499, *ids[:3].tolist()}:
             places = np.flatnonzero(ids == token).tolist()
-            assert matrix.occurrences(token) == places and matrix.count(token) == len(places)
+            assert matrix.count(token) == len(places)
+            assert n > 3000 or matrix.occurrences(token) == places
             assert matrix.rank(token, n // 2) == sum(p < n // 2 for p in places)
             assert matrix.select(token, len(places)) == -1
 
 
+def test_lookups_unpack_few_chunks():
+    ids = (np.random.default_rng(1).zipf(1.4, 1 << 20) % 500).astype(np.uint32)
+    data = token_files.WaveletMatrix.build(ids, 16)
+    chunks = token_files.WaveletMatrix(data).chunks * 16
+    for look in (lambda m: m.access(700_000), lambda m: m.rank(3, 500_000), lambda m: m.select(1, 1000)):
+        matrix = token_files.WaveletMatrix(data)
+        look(matrix)
+        assert matrix.unpacked <= 3 * 16 < chunks
+
+
+def test_ids_that_do_not_fit_are_errors():
+    for ids, bits in (([5, 70000], 16), ([5, 512], 9)):
+        with pytest.raises(ValueError):
+            token_files.WaveletMatrix.build(np.array(ids), bits)
+    assert token_files.bits_for(WORD_BPE) == 16
+
+
 @pytest.mark.parametrize("block", [3, 50, token_counts.BLOCK])
-def test_token_counts(docs, empty, ids_of, block):
-    blocks = token_counts.flat_blocks(docs, BYTE_BPE, 50256, block)
-    got = Counter((r["doc_id"], r["n_tokens"], r["ended"]) for r in token_counts.scan(blocks, 50256).collect())
+def test_token_counts(spark, docs, empty, ids_of, block):
+    path = token_files.folder(spark, "flat")
+    names = token_counts.write_flat(docs, path, BYTE_BPE)
+    got = Counter((r["doc_id"], r["n_tokens"], r["ended"]) for r in token_counts.counted(spark, path, names, block=block).collect())
     assert got == Counter((i, len(ids_of(t, BYTE_BPE, 0)) - 1, True) for i, t in [*TEXTS, NULL_ID])
-    assert token_counts.scan(token_counts.flat_blocks(empty, BYTE_BPE, 50256), 50256).count() == 0
+    none = token_files.folder(spark, "none")
+    assert token_counts.counted(spark, none, token_counts.write_flat(empty, none, BYTE_BPE)).count() == 0
 
 
-def test_scan_of_an_open_file(spark):
-    blocks = [[5, 9], [9, 7], [7, 7], [3]]
-    table = spark.createDataFrame([(0, i, bytearray(np.array(b, "<u2").tobytes()), []) for i, b in enumerate(blocks)], token_counts.FLAT)
-    got = sorted((r["start"], r["n_tokens"], r["ended"]) for r in token_counts.scan(table, 9).collect())
-    assert got == [(0, 1, True), (2, 0, True), (3, 4, False)]
+@pytest.mark.parametrize("run_of", [1, 2, 4096])
+def test_scan_of_foreign_files(spark, tmp_path, run_of):
+    for name, ids in (("a", [5, 9, 9, 7, 7, 7, 3]), ("b", [9]), ("c", []), ("d", [1, 2])):
+        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
+    found = token_counts.scan(token_counts.flat_files(spark, str(tmp_path)), 9, block=2, run_of=run_of)
+    got = sorted((r["file"][-1], r["document"], r["start"], r["n_tokens"], r["ended"]) for r in found.collect())
+    assert got == [("a", 0, 0, 1, True), ("a", 1, 2, 0, True), ("a", 2, 3, 4, False), ("b", 0, 0, 0, True), ("d", 0, 0, 2, False)]
 
 
 def test_cached_pieces_are_the_whole_text(ids_of, spark, data):
@@ -367,4 +396,4 @@ def test_cached_pieces_are_the_whole_text(ids_of, spark, data):
         want = [flat(ids_of(t, path, 0)[:-1]) for t in some]
         assert worker.bytes_of_all([t or "" for t in some]) == want
         assert worker.bytes_of_column(pa.array([t or "" for t in some], pa.large_string())) == want
-    assert [a.tobytes() for a in tokens.arrays(some, BYTE_BPE)] == [flat(ids_of(t, BYTE_BPE, 0)[:-1]) for t in some]
+    assert [a.tobytes() for a in tokens.arrays(pa.array(some), BYTE_BPE)] == [flat(ids_of(t, BYTE_BPE, 0)[:-1]) for t in some]
