@@ -1,16 +1,22 @@
-"""N-gram Jaccard join by MinHash bands and exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest and exact verification.
 
 A text is its set of five-word shingles (fewer words: one shingle of them all; none: no set and no
-links). Texts with equal sets are one class of copies and stand together from then on. Each of 20 trees
-labels a set by its first MinHashes; how many is the greatest depth at which the expected recall at the
-threshold reaches the target. This stands in for the descent of an LSH forest. Equal labels of a tree
-tie their members to the least of them. Connected candidates form clusters. Inside a cluster all
-pairs of different sets are verified exactly, block against block, on sparse incidence matrices, so
-neither pairs nor a whole large cluster ever meet in one task; what leaves a block pair is a sum of
-links per member and a spanning edge.
-
-Equal rows are copies; rows with a null doc_id are left out of the result's classes of others and
-stand alone. Ties: a class is named by its least doc_id.
+links). Texts with equal sets are copies and stand together from then on. Each of ``TREES`` trees sorts the
+sets by a signature of ``DEPTH`` MinHashes, so that a prefix of it is a node of a trie. The descent
+starts from whole signatures. A member that meets ``f`` others at some depth stops there when the
+links it may still lack, those of its ``f`` candidates and one more at the very threshold, are within the target recall;
+any other shortens its prefix by one, down to the depth at which a lone pair at the threshold is found with
+the target recall. Large families stop early and so tie nothing loosely; lone pairs go all the way.
+
+Members of a node that some member still searches are tied. Connected ties form clusters, inside which
+pairs of different sets are verified exactly, block against block, on sparse incidence matrices. Blocks of
+large clusters hold sets of like size, and blocks whose sizes rule a link out never meet. Neither pairs
+nor a whole large cluster ever meet in one task; what leaves a block pair is a sum of links per member
+and a spanning edge.
+
+Every row is a document: repeated rows are copies of each other. Rows with a null doc_id have no class and
+no links. Rows of one doc_id with different texts are told apart. A class is named by its least doc_id.
+Only doc_id and the text are read of the input.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +34,31 @@ from lamina.llm.common import SPACED, binary, cut, gram_hashes, mixed, partition
 SHINGLE, THRESHOLD = 5, 0.8
 #: Trees of the forest, their full depth, and the recall wanted at the threshold.
 TREES, DEPTH, RECALL = 20, 10, 0.995
-#: Members of a block of a cluster.
-BLOCK = 1024
+#: Members of a block of a cluster, and shingles of one, at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+#: Rows of large clusters up to which their table may be broadcast.
+BROADCAST_CLUSTERS = 50_000
+#: Bits of a MinHash below the least depth.
+_STEP = 16
+
+
+def found_at(depth: int, trees: int, threshold: float) -> float:
+    """Chance that a pair at the threshold shares a prefix of ``depth`` in some tree."""
+    return 1 - (1 - threshold**depth) ** trees
 
 
 def depth_for(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """Shorten the matched prefix until ``trees`` tries reach the recall at the threshold."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    """The depth down to which a member without candidates shortens its prefix."""
+    while depth > 1 and found_at(depth, trees, threshold) < recall:
         depth -= 1
     return depth
 
 
+def enough(depth: int, trees: int, threshold: float, recall: float) -> float:
+    """Candidates with which a member stops at a depth: one more at the threshold may be missed."""
+    return (1 - found_at(depth, trees, threshold)) / (1 - recall) - 1
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, end to end, and where each text's begin."""
     start, stop, first = spans(data, offsets, SPACED)
@@ -70,62 +91,99 @@ def _sums(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return total[begin[1:]] - total[begin[:-1]]
 
 
-SKETCH = "doc_id long, s1 long, s2 long, n int, labels array<long>"
+SKETCH = "rid long, doc_id long, mark long, s1 long, s2 long, n int, labels array<long>, tails array<long>"
 
 
-def sketches(docs: DataFrame, text: str, trees: int, depth: int) -> DataFrame:
-    """doc_id, two hashes of the shingle set, its size and a label for each tree."""
+def sketches(docs: DataFrame, text: str, trees: int, depth: int, floor: int) -> DataFrame:
+    """Of each row: a number, doc_id, a hash of the text, two of the shingle set, its size, and its
+    signature: for each tree a label of the first ``floor`` MinHashes and the ``depth - floor`` after them."""
+    if depth - floor > 64 // _STEP:
+        raise ValueError(f"at most {64 // _STEP} MinHashes lie below the least depth")
     seeds = _seeds(trees * depth)
     odd, add = (seeds | np.uint64(1)).astype(np.uint32), (seeds >> np.uint64(32)).astype(np.uint32)
 
+    def signed(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        out = np.zeros((2 * trees, len(begin) - 1), np.uint64)
+        some = np.flatnonzero(np.diff(begin))
+        if len(some):
+            folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+            for tree in range(trees):
+                for level in range(depth):
+                    k = tree * depth + level
+                    x = folded * odd[k]
+                    x ^= x >> np.uint32(15)
+                    x *= np.uint32(0x2C1B3C6D)
+                    x += add[k]
+                    least = np.minimum.reduceat(x, begin[some])
+                    if level < floor:
+                        out[tree, some] = mixed(out[tree, some] + least)
+                    else:
+                        out[trees + tree, some] |= (mixed(least.astype(np.uint64)) & np.uint64((1 << _STEP) - 1)) << np.uint64(_STEP * (level - floor))
+        return out
+
     def run(batches):
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, offsets = binary(batch.column("text"))
             parts = []
             for _, piece, at in slices(data, offsets, 1 << 18):
                 hashes, begin = shingles(piece, at)
-                some = np.flatnonzero(np.diff(begin))
-                labels = np.zeros((trees, len(at) - 1), np.uint64)
-                if len(some):
-                    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
-                    for tree in range(trees):
-                        label = np.zeros(len(some), np.uint64)
-                        for level in range(depth):
-                            k = tree * depth + level
-                            x = folded * odd[k]
-                            x ^= x >> np.uint32(15)
-                            x *= np.uint32(0x2C1B3C6D)
-                            x += add[k]
-                            label = mixed(label + np.minimum.reduceat(x, begin[some]))
-                        labels[tree, some] = label
-                parts.append((_sums(mixed(hashes), begin), _sums(mixed(hashes + np.uint64(0x9E37)), begin), np.diff(begin), labels))
+                parts.append((_sums(mixed(hashes), begin), _sums(mixed(hashes + np.uint64(0x9E37)), begin), np.diff(begin), signed(hashes, begin)))
             s1, s2, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(3))
-            flat = np.ascontiguousarray(np.concatenate([p[3] for p in parts], 1).T).view(np.int64).ravel() if parts else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, trees, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n, pa.int32()), lists], names=["doc_id", "s1", "s2", "n", "labels"])
+            whole = np.concatenate([p[3] for p in parts], 1) if parts else np.zeros((2 * trees, 0), np.uint64)
+            edges = pa.array(np.arange(0, batch.num_rows * trees + 1, trees, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(np.ascontiguousarray(part.T).view(np.int64).ravel())) for part in (whole[:trees], whole[trees:])]
+            rid = pa.array(np.arange(number, number + batch.num_rows))
+            number += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rid, batch.column("doc_id"), batch.column("mark"), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n, pa.int32()), *lists], names=[f.split()[0] for f in SKETCH.split(", ")])
+
+    body = F.col(text).cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(body).alias("mark"), body.alias("text")).mapInArrow(run, SKETCH)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(run, SKETCH)
+
+def _contracted(batches):
+    """Edges (a, b) of a task with a forest of the same components in their place."""
+    held, size = [], 0
+
+    def sent():
+        ids, place = np.unique(np.concatenate(held, 1), return_inverse=True)
+        root = ids[_roots(len(ids), place.reshape(2, -1))]
+        some = root != ids
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(root[some])], names=["a", "b"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
+        size += batch.num_rows
+        if size >= 2_000_000:
+            yield sent()
+            held, size = [], 0
+    if size:
+        yield sent()
+
+
+def _spread(small: DataFrame) -> DataFrame:
+    """``small``, whose keys are unique, dealt anew: both sides of a join with it are then plain
+    shuffles, of which Spark can split the part that holds a common key."""
+    return small.repartition(partitions(small.sparkSession))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of the component of each node of the edges (a, b).
 
-    Alternates large-star and small-star contraction until the edges no longer change; each
-    round is written to the checkpoint folder, and nothing but two sums reaches the driver. The
-    least neighbours are dealt anew before they meet the edges: both sides of the join are then
-    plain shuffles, of which Spark can split the part that holds the centre of a large star.
+    Tasks contract what they hold; then large-star and small-star contraction alternate until the
+    edges no longer change. Each round is written to the checkpoint folder, and nothing but two
+    sums reaches the driver.
     """
-    pieces = partitions(edges.sparkSession)
     least = lambda some: some.groupBy("a").agg(F.min("b").alias("m"))
     tied = lambda some: some.where("a <> b").distinct()
-    now = cut(tied(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+    now = cut(tied(edges.select("a", "b").mapInArrow(_contracted, "a long, b long")))
     mark = None
     while True:
         low = least(now)
-        far = now.join(low.withColumnRenamed("a", "b").repartition(pieces), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        far = now.join(_spread(low.withColumnRenamed("a", "b")), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         large = tied(far.unionByName(low.withColumnRenamed("m", "b")))
         low = least(large)
-        near = large.join(low.repartition(pieces), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        near = large.join(_spread(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(tied(near.unionByName(low.withColumnRenamed("m", "b"))))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == tuple(seen):
@@ -133,6 +191,26 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(seen)
 
 
+def candidates(signed: DataFrame, trees: int, depth: int, floor: int, threshold: float, recall: float) -> DataFrame:
+    """Ties (a, b) between members (rep, labels, tails) that share a node some member still searches."""
+    each = signed.select("rep", F.posexplode(F.arrays_zip("labels", "tails")).alias("tree", "x")).select("rep", "tree", F.col("x.labels").alias("label"), F.col("x.tails").alias("tail"))
+    shared = each.groupBy("tree", "label").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    met = cut(each.join(_spread(shared), ["tree", "label"]))  # whoever is alone at the least depth is alone below it
+    prefix = lambda d: F.lit(0).cast("long") if d == floor else F.col("tail").bitwiseAND(F.lit((1 << _STEP * (d - floor)) - 1 if d - floor < 64 // _STEP else -1).cast("long"))
+    node = ["tree", "label", "depth", "prefix"]
+    levels = met.select("rep", "tree", "label", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(d).alias("prefix")) for d in range(floor, depth + 1)])).alias("x")).select("rep", "tree", "label", "x.*")
+    sizes = levels.groupBy(*node).agg(F.count("*").alias("size")).where("size > 1")
+    known = cut(levels.join(_spread(sizes), node))
+    found = known.groupBy("rep").agg(*[(F.coalesce(F.max(F.when(F.col("depth") == d, F.col("size"))), F.lit(1)) - 1).alias(f"f{d}") for d in range(floor, depth + 1)])
+    stop = F.lit(floor)
+    for d in range(floor + 1, depth + 1):
+        stop = F.when(F.col(f"f{d}") >= enough(d, trees, threshold, recall), F.lit(d)).otherwise(stop)
+    stops = found.select("rep", stop.alias("stop"))
+    searching = known.join(stops, "rep").select("rep", *node, (F.col("depth") >= F.col("stop")).alias("live"))
+    leads = searching.groupBy(*node).agg(F.min(F.when(F.col("live"), F.col("rep"))).alias("lead")).where("lead is not null")
+    return known.join(_spread(leads), node).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+
+
 def _grouped(batches, keys: tuple[str, ...]):
     """Runs of equal keys of sorted batches, as lists of tables."""
     held, key = [], None
@@ -200,6 +278,7 @@ def _verified(batches, ninth: tuple[int, int]):
     for (_, x, y), table in _grouped(batches, ("cluster", "x", "y")):
         names = table.column("rep").to_numpy()
         order = np.lexsort((names, table.column("block").to_numpy()))
+        order = order[np.append(True, names[order][1:] != names[order][:-1])]  # a set found in two rows of its doc_id
         names, block, weight = names[order], table.column("block").to_numpy()[order], table.column("copies").to_numpy()[order]
         column = table.column("shingles").combine_chunks()
         sets = [np.frombuffer(column[i].as_buffer(), np.uint64) for i in order.tolist()]
@@ -226,46 +305,86 @@ def _verified(batches, ninth: tuple[int, int]):
         yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some]), pa.array(lead[root][some])], names=["rep", "links", "lead"])
 
 
-def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links of every document (once a doc_id).
+def _blocked(members: DataFrame, threshold: float, block: int, most: int) -> DataFrame:
+    """``members`` (cluster, rep, n, ...) with ``block``, and ``others``: the blocks of the cluster it meets.
 
-    ``class_id``: the least doc_id of the documents that links join, directly or in steps;
-    ``n_links``: other documents whose sets are similar by ``threshold`` or more, copies among them.
+    A cluster that fits one block is one. Of any other, sets are dealt by size class first, of which only
+    neighbours can link, then by hash.
+    """
+    spread = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    large = cut(spread.where((F.col("size") > block) | (F.col("total") > most)).select("cluster"))
+    one = F.array(F.lit(0).cast("long"))
+    count = large.count()
+    if not count:
+        return members.select("*", F.lit(0).cast("long").alias("block"), one.alias("others"))
+    large = F.broadcast(large) if count <= BROADCAST_CLUSTERS else _spread(large)
+    scale = math.log(1 / threshold) * 1.0001 if threshold < 1 else 1e-9
+    classed = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / scale))
+    sizes = classed.join(large, "cluster", "left_semi").groupBy("cluster", "class").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / most)).alias("blocks"))
+    sizes = cut(sizes)
+    beside = lambda step, name: sizes.select("cluster", (F.col("class") + step).alias("class"), F.col("blocks").alias(name))
+    sizes = sizes.join(beside(1, "below"), ["cluster", "class"], "left").join(beside(-1, "above"), ["cluster", "class"], "left")
+    sizes = F.broadcast(sizes) if count <= BROADCAST_CLUSTERS // 100 else _spread(sizes)
+    number = lambda group, k: F.shiftleft(group.cast("long"), 32) + k
+    blocks = lambda group, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: number(group, k))).otherwise(F.array().cast("array<long>"))
+    group = F.col("class")
+    met = classed.join(sizes, ["cluster", "class"], "left")
+    own = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(number(group, F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    others = F.concat(blocks(group, F.col("blocks")), blocks(group - 1, F.coalesce("below", F.lit(0))), blocks(group + 1, F.coalesce("above", F.lit(0))))
+    return met.select(*members.columns, own.alias("block"), F.when(F.col("blocks").isNull(), one).otherwise(others).alias("others"))
+
+
+def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, class_id, n_links, kept, mark of every row.
+
+    ``class_id``: the least doc_id of the rows that links join, directly or in steps; ``n_links``: other
+    rows whose sets are similar by ``threshold`` or more, copies among them; ``kept``: one row of each class,
+    of its least doc_id (every row without a doc_id is); ``mark``: xxhash64 of the text.
     """
     spark = docs.sparkSession
-    base = cut(sketches(docs, text, trees, depth_for(trees, depth, threshold, recall)).where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
-    classes = base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = cut(classes)
-    labelled = base.join(reps.select(F.col("rep").alias("doc_id"), "rep"), "doc_id").select("rep", F.posexplode("labels").alias("tree", "label"))
-    leads = labelled.groupBy("tree", "label").agg(F.min("rep").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    edges = labelled.join(leads, ["tree", "label"]).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    roots = components(edges)
+    floor = max(depth_for(trees, depth, threshold, recall), depth - 64 // _STEP)
+    base = cut(sketches(docs, text, trees, depth, floor))
+    named = base.where("doc_id is not null")
+    key = ["s1", "s2", "n"]
+    reps = cut(named.where("n > 0").groupBy(*key).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    signed = base.select("rid", "labels", "tails").join(reps.select(F.col("rep").alias("rid"), "rep"), "rid")
+    roots = components(candidates(signed, trees, depth, floor, threshold, recall))
     ties = roots.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    members = cut(ties.unionByName(ties.select(F.col("cluster").alias("rep"), "cluster").distinct()))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    known = members.join(sizes, "cluster").join(reps.select("rep", "copies", "n"), "rep")
-    known = known.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    known = known.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = ties.unionByName(ties.select(F.col("cluster").alias("rep"), "cluster").distinct())
+    members = cut(members.join(reps, "rep").select("cluster", "rep", "n", "copies", "first", "s1", "s2"))
 
     def sets(batches):
         for batch in batches:
             data, offsets = binary(batch.column("text"))
-            found = []
-            for _, piece, at in slices(data, offsets):
+            found, same = [], []
+            for row, piece, at in slices(data, offsets):
                 hashes, begin = shingles(piece, at)
                 found += [hashes[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
-            keep = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in keep], pa.array(found, pa.binary())], names=[*keep, "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    held = texts.join(known.select("rep", "cluster", "blocks", "block", "copies"), "rep").dropDuplicates(["rep"])
-    held = held.mapInArrow(sets, "rep long, cluster long, blocks int, block int, copies long, shingles binary")
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "copies", "shingles")
+                s1, s2 = _sums(mixed(hashes), begin).view(np.int64), _sums(mixed(hashes + np.uint64(0x9E37)), begin).view(np.int64)
+                want = [batch.column(batch.schema.get_field_index(k)).to_numpy()[row : row + len(s1)] for k in ("s1", "s2")]
+                same.append((s1 == want[0]) & (s2 == want[1]))
+            if not found:
+                continue
+            keep = [k for k in batch.schema.names if k not in ("text", "s1", "s2")]
+            made = pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keep], pa.array(found, pa.binary())], names=[*keep, "shingles"])
+            yield made.filter(pa.array(np.concatenate(same)))
+
+    blocked = _blocked(members, threshold, block, block_shingles)
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col(text).cast("string").alias("text"))
+    held = texts.join(blocked.drop("n"), "first").drop("first")
+    held = held.select("cluster", "rep", "copies", "block", "others", "s1", "s2", "text").mapInArrow(sets, "cluster long, rep long, copies long, block long, others array<long>, shingles binary")
+    dealt = held.select("*", F.explode("others").alias("other")).select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "copies", "shingles")
     dealt = dealt.repartition(partitions(spark), "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     part = round(threshold * 1000)
     found = cut(dealt.mapInArrow(lambda batches: _verified(batches, (part, 1000)), "rep long, links long, lead long"))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     final = components(found.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-    named = reps.join(linked, "rep", "left").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    named = named.select("s1", "s2", "n", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return base.join(named, ["s1", "s2", "n"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    placed = reps.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = placed.groupBy("root").agg(F.min("first").alias("class_id"))
+    placed = placed.join(_spread(least), "root").select(*key, "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    judged = named.drop("labels", "tails").join(placed, key, "left")
+    alone = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "mark")
+    judged = cut(judged.select("rid", "root", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "mark"))
+    heads = judged.where("doc_id = class_id and root is not null").groupBy("root").agg(F.min("rid").alias("head"))
+    kept = judged.join(heads.select(F.col("head").alias("rid"), F.lit(True).alias("leads")), "rid", "left")
+    return kept.select("doc_id", "class_id", "n_links", (F.col("root").isNull() | F.col("leads").isNotNull()).alias("kept"), "mark").unionByName(alone)

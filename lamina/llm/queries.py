@@ -70,7 +70,7 @@ def op7_token_counts(spark, sf_dir):
 
 @query
 def op8_ngram_jaccard_join(spark, sf_dir):
-    return jaccard_join.join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.join(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
 @query

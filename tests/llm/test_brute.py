@@ -158,14 +158,15 @@ def shingles(text):
     return frozenset([tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] if words else [])
 
 
-def brute_join(texts: dict) -> dict:
-    sets = {i: shingles(t) for i, t in texts.items()}
+def brute_join(rows: list) -> list:
+    """(doc_id, class_id, n_links, kept rows of the class) of each row."""
+    sets = [shingles(t or "") for _, t in rows]
     inverted = defaultdict(list)
-    for i, s in sets.items():
-        for gram in s:
+    for i, s in enumerate(sets):
+        for gram in s if rows[i][0] is not None else ():
             inverted[gram].append(i)
     common = Counter((i, j) for some in inverted.values() for i in some for j in some if i < j)
-    root, links = {i: i for i in sets}, Counter()
+    root, links = list(range(len(rows))), Counter()
 
     def find(x):
         while root[x] != x:
@@ -173,19 +174,78 @@ def brute_join(texts: dict) -> dict:
         return x
 
     for (i, j), n in common.items():
-        if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+        if 10 * n >= 8 * (len(sets[i]) + len(sets[j]) - n):
             links.update((i, j))
             a, b = sorted((find(i), find(j)))
             root[b] = a
-    return {i: (find(i), links[i]) for i in sets}
+    least = defaultdict(list)
+    for i, (name, _) in enumerate(rows):
+        least[find(i)].append(name)
+    return [(name, None if name is None else min(least[find(i)]), links[i]) for i, (name, _) in enumerate(rows)]
+
+
+def joined(docs, **options):
+    """The join's rows, of which each class keeps one that bears its name."""
+    rows = jaccard_join.join(docs, **options).collect()
+    for name, n in Counter(r["class_id"] for r in rows if r["kept"] and r["doc_id"] is not None).items():
+        assert n == 1 or any(r["class_id"] == name and not r["n_links"] for r in rows), name
+    assert all(r["doc_id"] == r["class_id"] for r in rows if r["kept"])
+    return Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows)
 
 
 def test_jaccard_join(docs, empty, spark, data):
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(docs).collect()}
-    assert got == brute_join({i: t or "" for i, t in TEXTS})
+    assert joined(docs) == Counter(brute_join([*TEXTS, NULL_ID]))
     assert jaccard_join.join(empty).count() == 0
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(spark.read.parquet(f"{data}/documents.parquet"), block=3).collect()}
-    assert got == brute_join(texts_of(spark, data))
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+    for options in ({}, {"block": 3}, {"block_shingles": 500}):
+        assert joined(table, **options) == Counter(brute_join(rows))
+
+
+def test_join_of_odd_rows(spark):
+    rows = [(None, LONG), (1, LONG), (2, LONG), (2, LONG), (2, PASSAGE), (3, PASSAGE + " more"), (3, "of its own"), (None, None), (4, None), (5, "漢 " * 700_000)]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(some) == Counter(brute_join(rows))
+    kept = Counter(r["class_id"] for r in jaccard_join.join(some).collect() if r["kept"])
+    assert kept == Counter({1: 1, 2: 1, 3: 1, 4: 1, 5: 1, None: 2})
+
+
+def planted(seed: int, words: int, swaps: int) -> tuple[str, str]:
+    """Two texts of ``words`` different words, of which ``swaps``, spread evenly, differ."""
+    first = [f"w{seed}x{k}" for k in range(words)]
+    other = list(first)
+    for k in range(swaps):
+        other[(2 * k + 1) * words // (2 * swaps)] += "y"
+    return " ".join(first), " ".join(other)
+
+
+def test_recall_near_the_threshold(spark):
+    """Lone pairs of a similarity of 0.80 to 0.85: nine in ten are found at least."""
+    rows, shapes = [], [(words, swaps) for words in range(90, 400) for swaps in range(1, 9) if 0.8 <= jaccard(*planted(0, words, swaps)) <= 0.85]
+    for seed in range(1500):
+        rows += [(2 * seed + k, t) for k, t in enumerate(planted(seed, *shapes[seed * 7 % len(shapes)]))]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1 and doc_id <> class_id").count()
+    print("recall from 0.80 to 0.85:", got / 1500)
+    assert got >= 0.98 * 1500
+
+
+def jaccard(left: str, right: str) -> float:
+    a, b = shingles(left), shingles(right)
+    return len(a & b) / len(a | b)
+
+
+def test_members_with_many_candidates_stop_early(spark):
+    """A family of like texts is tied at whole signatures, where a text of half their shingles is not."""
+    depth, trees = jaccard_join.DEPTH, jaccard_join.TREES
+    needs = [jaccard_join.enough(d, trees, 0.8, 0.995) for d in range(6, depth + 1)]
+    assert needs[0] <= 0 < needs[1] and needs == sorted(needs)
+    body = [f"f{k}" for k in range(200)]
+    family = [(i, " ".join([*body, f"end{i}"])) for i in range(60)]
+    some = spark.createDataFrame([*family, (99, " ".join(body[:40]))], "doc_id long, text string")
+    signed = jaccard_join.sketches(some, "text", trees, depth, 6).withColumnRenamed("rid", "rep")
+    roots = jaccard_join.components(jaccard_join.candidates(signed, trees, depth, 6, 0.8, 0.995))
+    assert roots.select("root").distinct().count() == 1 and 59 <= roots.count() <= 60
+    assert joined(some)[99, 99, 0] == 1
 
 
 def test_forest_depth_reaches_recall():
