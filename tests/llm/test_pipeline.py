@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
+from lamina.llm import decontamination
 from lamina.llm.common import read
 
 WORDS = "amber birch cedar dune ember fjord grove heath inlet jetty knoll ledge marsh north ocean".split()
@@ -54,6 +55,22 @@ def test_stages_take_effect(spark, folder):
     assert {r["doc_id"] for r in packed} == set(kept["benchmark_decontamination"])
 
 
+def test_what_is_left_has_no_benchmark_passage(spark, data):
+    docs, items = read(spark, data, "documents"), read(spark, data, "benchmark")
+    left = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs, data)
+    assert decontamination.mark(left, items).where("n_hit > 0").count() == 0
+    clean = decontamination.mark(docs, items).where("n_hit = 0").count()
+    assert left.count() == clean < docs.count()
+
+
+def test_near_duplicates_of_odd_rows(spark, folder):
+    text = prose(1, 60)
+    rows = [(1, text), (1, text), (2, text), (2, prose(2, 60)), (None, text), (None, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, folder)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect()) == sorted([("1", text), ("2", prose(2, 60)), ("None", text), ("None", ""), ("3", "")])
+
+
 def test_extra_columns_pass(spark, folder):
     docs = read(spark, folder, "documents").selectExpr("*", "doc_id % 3 as n_words", "'x' as kept", "array(1) as own", "1.5 as score")
     for name, stage in corpus_pipeline.STAGES[:-1]:
