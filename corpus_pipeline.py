@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import decontamination, jaccard_join, packing, suffix_dedup, token_files, toxicity
-from lamina.llm.common import read
+from lamina.llm.common import cut, read
 from lamina.llm.queries import vocabulary
 
 
@@ -22,10 +22,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the least doc_id stays; a null doc_id is no class."""
-    classes = jaccard_join.join(docs.select("doc_id", "text"))
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """Of each class of similar rows one stays, of the least doc_id; rows without a doc_id stay."""
+    classes = cut(jaccard_join.join(docs.select("doc_id", "text")).where("doc_id is not null"))
+    texts = classes.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
+    same = lambda found: (docs["doc_id"] == found["__id"]) & (F.xxhash64(docs["text"]) == found["__mark"])
+    gone = texts.where(~F.col("__kept"))
+    left = docs.join(gone, same(gone), "left_anti")
+    twice = texts.where("__kept and __rows > 1")  # a document given more than once under its own id
+    if not twice.head(1):
+        return left
+    return left.join(twice, same(twice), "left_anti").unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
