@@ -9,9 +9,10 @@ any other shortens its prefix by one, down to the depth at which a lone pair at
 the target recall. Large families stop early and so tie nothing loosely; lone pairs go all the way.
 
 Members of a node that some member still searches are tied. Connected ties form clusters, inside which
-pairs of different sets are verified exactly, block against block, on sparse incidence matrices. Blocks of
-large clusters hold sets of like size, and blocks whose sizes rule a link out never meet. Neither pairs
-nor a whole large cluster ever meet in one task; what leaves a block pair is a sum of links per member
+pairs of different sets are verified exactly, block against block, on sparse incidence matrices. In large
+clusters each set is compared with a pivot first: Jaccard distance is a metric, so most pairs of a
+family of near copies are decided by the two distances and are counted without being compared. Neither
+pairs nor a whole large cluster ever meet in one task; what leaves a block pair is a sum of links per member
 and a spanning edge.
 
 Every row is a document: repeated rows are copies of each other. Rows with a null doc_id have no class and
@@ -305,33 +306,80 @@ def _verified(batches, ninth: tuple[int, int]):
         yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some]), pa.array(lead[root][some])], names=["rep", "links", "lead"])
 
 
-def _blocked(members: DataFrame, threshold: float, block: int, most: int) -> DataFrame:
-    """``members`` (cluster, rep, n, ...) with ``block``, and ``others``: the blocks of the cluster it meets.
+def _with_sets(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
+    """``rows`` (first, s1, s2, ...) with the shingles of their sets, read from the texts of ``first``."""
+    passed = [f for f in rows.schema.fields if f.name not in ("first", "s1", "s2")]
 
-    A cluster that fits one block is one. Of any other, sets are dealt by size class first, of which only
-    neighbours can link, then by hash.
+    def run(batches):
+        for batch in batches:
+            get = lambda name, b=batch: b.column(b.schema.get_field_index(name))
+            data, offsets = binary(get("text"))
+            found, same = [], []
+            for row, piece, at in slices(data, offsets):
+                hashes, begin = shingles(piece, at)
+                found += [hashes[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
+                sums = _sums(mixed(hashes), begin).view(np.int64), _sums(mixed(hashes + np.uint64(0x9E37)), begin).view(np.int64)
+                want = [get(k).to_numpy()[row : row + len(begin) - 1] for k in ("s1", "s2")]
+                same.append((sums[0] == want[0]) & (sums[1] == want[1]))
+            if found:
+                made = pa.RecordBatch.from_arrays([*[get(f.name) for f in passed], pa.array(found, pa.binary())], names=[*[f.name for f in passed], "shingles"])
+                yield made.filter(pa.array(np.concatenate(same)))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col(text).cast("string").alias("text"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in passed) + "shingles binary"
+    return texts.join(rows, "first").select(*[f.name for f in passed], "s1", "s2", "text").mapInArrow(run, schema)
+
+
+def _rings(batches, step: float):
+    """Which ring around its cluster's pivot each set lies in, by Jaccard distance in steps."""
+    for batch in batches:
+        at = []
+        for mine, pivot in zip(batch.column("shingles"), batch.column("pivot"), strict=True):
+            mine, pivot = (np.frombuffer(v.as_buffer(), np.uint64) for v in (mine, pivot))
+            both = len(np.intersect1d(mine, pivot, assume_unique=True))
+            at.append(max(0, math.ceil((1 - both / (len(mine) + len(pivot) - both)) / step + 1e-6) - 1))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(at, pa.int32())], names=["rep", "ring"])
+
+
+def _blocked(docs: DataFrame, text: str, members: DataFrame, threshold: float, block: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``members`` with ``block``, and ``others``: the blocks of their cluster they are compared with; and
+    (rep, links, lead) of links that need no comparison.
+
+    A cluster that fits one block is one. In any other, each set is compared with a pivot first. Jaccard
+    distance is a metric, so two sets near the pivot are linked for certain and two at very different
+    distances are not, nor are two of very different sizes; only blocks of other sets meet.
     """
     spread = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     large = cut(spread.where((F.col("size") > block) | (F.col("total") > most)).select("cluster"))
-    one = F.array(F.lit(0).cast("long"))
-    count = large.count()
+    count, none = large.count(), F.lit(0).cast("long")
+    one = members.select("*", none.alias("block"), F.array(none).alias("others"))
     if not count:
-        return members.select("*", F.lit(0).cast("long").alias("block"), one.alias("others"))
+        return one, None
     large = F.broadcast(large) if count <= BROADCAST_CLUSTERS else _spread(large)
+    inside = cut(members.join(large, "cluster", "left_semi"))
+    pivots = inside.where("rep = cluster")
+    heavy = pivots.agg(F.sum("n")).first()[0] > most
+    pivots = _with_sets(docs, text, pivots.select("first", "s1", "s2", "cluster")).dropDuplicates(["cluster"]).withColumnRenamed("shingles", "pivot")
+    pivots = _spread(pivots) if heavy else F.broadcast(pivots)
+    step = max((1 - threshold) / 4, 1e-6)  # four rings reach as far as a link
+    apart = _with_sets(docs, text, inside.select("first", "s1", "s2", "cluster", "rep")).join(pivots, "cluster").select("rep", "shingles", "pivot")
+    rings = cut(apart.mapInArrow(lambda batches: _rings(batches, step), "rep long, ring int").dropDuplicates(["rep"]))
     scale = math.log(1 / threshold) * 1.0001 if threshold < 1 else 1e-9
-    classed = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / scale))
-    sizes = classed.join(large, "cluster", "left_semi").groupBy("cluster", "class").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / most)).alias("blocks"))
-    sizes = cut(sizes)
-    beside = lambda step, name: sizes.select("cluster", (F.col("class") + step).alias("class"), F.col("blocks").alias(name))
-    sizes = sizes.join(beside(1, "below"), ["cluster", "class"], "left").join(beside(-1, "above"), ["cluster", "class"], "left")
-    sizes = F.broadcast(sizes) if count <= BROADCAST_CLUSTERS // 100 else _spread(sizes)
-    number = lambda group, k: F.shiftleft(group.cast("long"), 32) + k
-    blocks = lambda group, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: number(group, k))).otherwise(F.array().cast("array<long>"))
-    group = F.col("class")
-    met = classed.join(sizes, ["cluster", "class"], "left")
-    own = F.when(F.col("blocks").isNull(), F.lit(0).cast("long")).otherwise(number(group, F.pmod(F.xxhash64("rep"), F.col("blocks"))))
-    others = F.concat(blocks(group, F.col("blocks")), blocks(group - 1, F.coalesce("below", F.lit(0))), blocks(group + 1, F.coalesce("above", F.lit(0))))
-    return met.select(*members.columns, own.alias("block"), F.when(F.col("blocks").isNull(), one).otherwise(others).alias("others"))
+    classed = inside.join(rings, "rep").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / scale))
+    group = ["cluster", "ring", "class"]
+    groups = cut(classed.groupBy(*group).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / most)).alias("blocks"), F.sum("copies").alias("weight")))
+    code = F.shiftleft((F.col("ring2") * 4096 + F.col("class2")).cast("long"), 32)
+    beside = groups.select("cluster", F.col("ring").alias("ring2"), F.col("class").alias("class2"), "weight", F.transform(F.sequence(none, F.col("blocks") - 1), lambda k: code + k).alias("codes"))
+    certain = F.col("ring") + F.col("ring2") + 2 <= 4
+    near = ~certain & (F.abs(F.col("ring") - F.col("ring2")) <= 5) & (F.abs(F.col("class") - F.col("class2")) <= 1)
+    met = groups.select(*group, "blocks").join(beside, "cluster").groupBy(*group, "blocks")
+    met = met.agg(F.flatten(F.collect_list(F.when(near, F.col("codes")))).alias("others"), F.coalesce(F.sum(F.when(certain, F.col("weight"))), none).alias("sure"))
+    met = F.broadcast(met) if count <= BROADCAST_CLUSTERS // 500 else _spread(met)
+    placed = classed.join(met, group)
+    own = F.shiftleft((F.col("ring") * 4096 + F.col("class")).cast("long"), 32) + F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    split = placed.where(F.size("others") > 0).select(*members.columns, own.alias("block"), "others")
+    sure = placed.where("ring < 4").select("rep", (F.col("sure") - F.when(F.col("ring") < 2, F.col("copies")).otherwise(0)).alias("links"), F.col("cluster").alias("lead"))
+    return one.join(large, "cluster", "left_anti").unionByName(split), sure
 
 
 def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -353,30 +401,13 @@ def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, tree
     members = ties.unionByName(ties.select(F.col("cluster").alias("rep"), "cluster").distinct())
     members = cut(members.join(reps, "rep").select("cluster", "rep", "n", "copies", "first", "s1", "s2"))
 
-    def sets(batches):
-        for batch in batches:
-            data, offsets = binary(batch.column("text"))
-            found, same = [], []
-            for row, piece, at in slices(data, offsets):
-                hashes, begin = shingles(piece, at)
-                found += [hashes[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
-                s1, s2 = _sums(mixed(hashes), begin).view(np.int64), _sums(mixed(hashes + np.uint64(0x9E37)), begin).view(np.int64)
-                want = [batch.column(batch.schema.get_field_index(k)).to_numpy()[row : row + len(s1)] for k in ("s1", "s2")]
-                same.append((s1 == want[0]) & (s2 == want[1]))
-            if not found:
-                continue
-            keep = [k for k in batch.schema.names if k not in ("text", "s1", "s2")]
-            made = pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keep], pa.array(found, pa.binary())], names=[*keep, "shingles"])
-            yield made.filter(pa.array(np.concatenate(same)))
-
-    blocked = _blocked(members, threshold, block, block_shingles)
-    texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col(text).cast("string").alias("text"))
-    held = texts.join(blocked.drop("n"), "first").drop("first")
-    held = held.select("cluster", "rep", "copies", "block", "others", "s1", "s2", "text").mapInArrow(sets, "cluster long, rep long, copies long, block long, others array<long>, shingles binary")
+    blocked, sure = _blocked(docs, text, members, threshold, block, block_shingles)
+    held = _with_sets(docs, text, blocked.select("first", "s1", "s2", "cluster", "rep", "copies", "block", "others"))
     dealt = held.select("*", F.explode("others").alias("other")).select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "copies", "shingles")
     dealt = dealt.repartition(partitions(spark), "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     part = round(threshold * 1000)
-    found = cut(dealt.mapInArrow(lambda batches: _verified(batches, (part, 1000)), "rep long, links long, lead long"))
+    found = dealt.mapInArrow(lambda batches: _verified(batches, (part, 1000)), "rep long, links long, lead long")
+    found = cut(found if sure is None else found.unionByName(sure))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     final = components(found.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
     placed = reps.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -1,6 +1,7 @@
 """Operators against plain Python on small hostile tables and on the smallest supplied data."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -210,6 +211,23 @@ def test_join_of_odd_rows(spark):
     assert kept == Counter({1: 1, 2: 1, 3: 1, 4: 1, 5: 1, None: 2})
 
 
+def test_a_large_family_of_near_copies(spark):
+    """Links decided by distances to a pivot are those of comparing all pairs."""
+    rng = random.Random(5)
+    body = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(body[: rng.choice((120, 120, 110, 95))])
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 4, 5, 6))):
+            words[rng.randrange(len(words))] = f"own{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(brute_join(rows))
+    for block in (8, 40):
+        assert joined(some, block=block) == want
+    assert len({n for _, _, n in want}) > 20
+
+
 def planted(seed: int, words: int, swaps: int) -> tuple[str, str]:
     """Two texts of ``words`` different words, of which ``swaps``, spread evenly, differ."""
     first = [f"w{seed}x{k}" for k in range(words)]
