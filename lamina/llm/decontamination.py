@@ -1,13 +1,14 @@
 """Benchmark decontamination by winnowing.
 
-Every window of 13 words keeps its least 5-gram hash as a fingerprint, on the test side as on the
-training side, so a shared span of 13 words always shares one. Fingerprints meet, then a hit is
-extended word by word both ways and confirmed on the bytes; an extension of 13 words or more marks
-its words. Items of fewer words are one window each, met by their own length's gram hash.
-
-The test items come to the executors in blocks of at most ``ITEM_WORDS`` words (a longer item is a
-block), each scanned against all documents; nothing of the documents is shuffled. Null and empty
-texts have no words and no hits; equal item ids count once; equal rows are judged alike.
+Every window of ``WINDOW`` words keeps its least ``GRAM``-gram hash as a fingerprint, on the test side as on
+the training side, so a shared span of that length always shares one; where some test item is shorter, both
+sides winnow by its length. Fingerprints of texts and of items meet in an equi-join, whose test side is
+broadcast under a checked number of rows and shuffled beyond it. Each hit is then extended over the words of
+the text and of the item: windows that agree in all bytes are merged into spans, whose words are marked.
+
+Texts go by a hash until then; where two share one, each is held against the items of both. Null and empty
+texts have no words and no hits; items without words are none; equal item ids count once (no id: the empty one);
+equal rows are judged alike. Nothing of texts or items reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import LETTERED, LOWER, appended, binary, gram_hashes, slices, spans, word_hashes
+from lamina.llm.common import LETTERED, LOWER, appended, binary, cut, gram_hashes, slices, spans, word_hashes
 
 #: Words of a window, and of a fingerprint.
 WINDOW, GRAM = 13, 5
-#: Words of test items that one scan carries.
-ITEM_WORDS = 2_000_000
+#: Rows of a fingerprint table, and bytes of item texts, that may be broadcast.
+PRINTS, HELD = 1_000_000, 32 << 20
 
 
 def fingerprints(grams: np.ndarray, width: int) -> np.ndarray:
@@ -38,104 +39,75 @@ def fingerprints(grams: np.ndarray, width: int) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
-class Items:
-    """Test items, as looked up by the scan of a document."""
-
-    def __init__(self, rows: list[tuple], window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram, self.width = window, gram, window - gram + 1
-        self.names, self.words = [], []
-        marks: list[tuple[int, int, int]] = []
-        short: dict[int, list[tuple[int, int]]] = {}
-        for name, text in rows:
-            data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            start, stop, _ = spans(data, np.array([0, len(data)]), LETTERED)
-            if not len(start):
-                continue
-            item, raw = len(self.names), data.tobytes()
-            self.names.append(str(name))
-            self.words.append([raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
-            hashes = word_hashes(data, start, stop)
-            if len(start) < window:
-                short.setdefault(len(start), []).append((int(gram_hashes(hashes, len(start))[0]), item))
-            else:
+def _hashed(data: np.ndarray, offsets: np.ndarray):
+    """Lower-cased bytes, words as (start, end), their hashes, and each text's first word."""
+    data = LOWER[data]
+    start, stop, first = spans(data, offsets, LETTERED)
+    return data, start, stop, word_hashes(data, start, stop), first
+
+
+def prints(texts: DataFrame, span: int, gram: int) -> DataFrame:
+    """(key, print) of all texts (key, text): distinct fingerprints for each run of a text."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = binary(batch.column("text"))
+            keys = batch.column("key").to_numpy()
+            for row, piece, at in slices(data, offsets):
+                _, _, _, hashes, first = _hashed(piece, at)
                 grams = gram_hashes(hashes, gram)
-                marks += [(int(grams[p]), item, int(p)) for p in fingerprints(grams, self.width)]
-        marks.sort()
-        self.hash = np.array([m[0] for m in marks], np.uint64)
-        self.item, self.place = np.array([m[1] for m in marks], np.int64), np.array([m[2] for m in marks], np.int64)
-        self.short = {n: (np.array([h for h, _ in sorted(s)], np.uint64), np.array([i for _, i in sorted(s)], np.int64)) for n, s in short.items()}
+                places = fingerprints(grams, span - gram + 1)
+                owner = np.searchsorted(first, places, "right") - 1
+                inside = places + gram <= first[owner + 1] if len(places) else np.zeros(0, bool)
+                found, owner = grams[places[inside]], owner[inside]
+                order = np.lexsort((found, owner))
+                found, owner = found[order], owner[order]
+                new = np.ones(len(found), bool)
+                new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row + owner[new]]), pa.array(found[new].view(np.int64))], names=["key", "print"])
+
+    return texts.select("key", "text").mapInArrow(run, "key long, print long")
+
+
+def least_words(texts: DataFrame) -> int:
+    """Words of the shortest text that has any; 0 where none has."""
+
+    def run(batches):
+        least = 0
+        for batch in batches:
+            for _, piece, at in slices(*binary(batch.column("text"))):
+                n = np.diff(spans(LOWER[piece], at, LETTERED)[2])
+                if (n > 0).any():
+                    least = min(least or int(n.max()), int(n[n > 0].min()))
+        if least:
+            yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64())], names=["n"])
+
+    return texts.select("text").mapInArrow(run, "n long").agg(F.min("n")).first()[0] or 0
+
+
+class Pairs:
+    """A text's words, to be held against one item after the other."""
+
+    def __init__(self, text: bytes):
+        self.words, self.hashes = self.split(text)
 
     @staticmethod
-    def _met(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low = np.searchsorted(table, hashes)
-        hit = np.flatnonzero(table[np.minimum(low, len(table) - 1)] == hashes)
-        return hit, low[hit]
-
-    def scan(self, data: np.ndarray, offsets: np.ndarray):
-        """For each document: its number of words, marked (first, after last) word spans, items."""
-        data = LOWER[data]
-        start, stop, first = spans(data, offsets, LETTERED)
-        hashes = word_hashes(data, start, stop)
-        raw: list[bytes] = []
-        rows = len(offsets) - 1
-        marked: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
-        items: list[set[int]] = [set() for _ in range(rows)]
-
-        def word(i: int) -> bytes:
-            if not raw:
-                raw.append(data.tobytes())
-            return raw[0][start[i] : stop[i]]
-
-        grams = gram_hashes(hashes, self.gram)
-        places = fingerprints(grams, self.width) if len(self.hash) else np.zeros(0, np.int64)
-        done: dict[tuple[int, int], int] = {}  # (item, diagonal): word up to which it is settled
-        for p, k in zip(*(x.tolist() for x in self._met(self.hash, grams[places])), strict=True):
-            at, value = int(places[p]), self.hash[k]
-            row = int(np.searchsorted(first, at, "right")) - 1
-            low, high = int(first[row]), int(first[row + 1])
-            if at + self.gram > high:
-                continue
-            while k < len(self.hash) and self.hash[k] == value:
-                item, q = int(self.item[k]), int(self.place[k])
-                k += 1
-                if done.get((item, at - q), -1) > at:
-                    continue
-                words = self.words[item]
-                a, b = at, at
-                while b < high and b - at + q < len(words) and word(b) == words[b - at + q]:
-                    b += 1
-                while b > a >= low + 1 and q - (at - a) > 0 and word(a - 1) == words[q - (at - a) - 1]:
-                    a -= 1
-                done[item, at - q] = max(b, at + 1)
-                if b - a >= self.window:
-                    marked[row].append((a - low, b - low))
-                    items[row].add(item)
-        for n, (table, owner) in self.short.items():
-            own = gram_hashes(hashes, n)
-            for at, k in zip(*(x.tolist() for x in self._met(table, own)), strict=True):
-                row = int(np.searchsorted(first, at, "right")) - 1
-                if at + n > first[row + 1]:
-                    continue
-                value = table[k]
-                while k < len(table) and table[k] == value:
-                    item = int(owner[k])
-                    k += 1
-                    if all(word(at + i) == w for i, w in enumerate(self.words[item])):
-                        marked[row].append((at - int(first[row]), at - int(first[row]) + n))
-                        items[row].add(item)
-        for row in range(rows):
-            yield int(first[row + 1] - first[row]), marked[row], [self.names[i] for i in items[row]]
-
-
-def _blocks(items: DataFrame, item_id: str, text: str, most: int):
-    """The items in blocks of bounded size, each collected by itself."""
-    sized = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("text"))
-    words = sized.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-int(words) // (2 * most)))  # a word and its gap are two characters at least
-    for block in range(n):
-        yield sized.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == block).collect()
+    def split(text: bytes) -> tuple[list[bytes], np.ndarray]:
+        flat = np.frombuffer(text, np.uint8)
+        data, start, stop, hashes, _ = _hashed(flat, np.array([0, len(flat)]))
+        raw = data.tobytes()
+        return [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], hashes
+
+    def spans(self, item: tuple[list[bytes], np.ndarray], window: int) -> list[tuple[int, int]]:
+        """Spans (first, after last) of the text's words inside windows of the item."""
+        words, hashes = item
+        n = min(window, len(words))
+        if not n or n > len(self.words):
+            return []
+        theirs = gram_hashes(hashes, n)
+        places = np.flatnonzero(np.isin(gram_hashes(self.hashes, n), theirs)).tolist()
+        known = {tuple(words[i : i + n]) for i in range(len(theirs))} if places else set()
+        return _union([(p, p + n) for p in places if tuple(self.words[p : p + n]) in known])
 
 
 def _union(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -148,7 +120,21 @@ def _union(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = ITEM_WORDS) -> DataFrame:
+def candidates(docs: DataFrame, items: DataFrame, window: int, gram: int, most: int) -> DataFrame | None:
+    """(key, items) of texts that share a fingerprint with items, ``items`` as structs of name and text."""
+    items = items.withColumn("key", F.xxhash64("name", "text"))
+    span = min(window, least_words(items))
+    if not span:
+        return None
+    gram = min(gram, span)
+    theirs = cut(prints(items, span, gram).distinct()).select(F.col("key").alias("item"), "print")
+    theirs = F.broadcast(theirs) if theirs.count() <= most else theirs
+    met = prints(docs, span, gram).join(theirs, "print").select("key", "item").distinct()
+    named = items.select(F.col("key").alias("item"), F.struct("name", "text").alias("it"))
+    return cut(met.join(named, "item").groupBy("key").agg(F.collect_set("it").alias("items")))
+
+
+def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = PRINTS, held: int = HELD) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (word places), ``n_hit``, ``hit_items`` and ``contaminated``.
 
     Contaminated: one word in 20 or more is hit. Columns of the input with these names give way.
@@ -157,25 +143,42 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.int64(), pa.list_(pa.string()), pa.bool_()]
     own = [f for f in docs.schema.fields if f.name not in added]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own], *[f"{k} {v}" for k, v in added.items()]])
-    out = docs
-    for number, rows in enumerate(_blocks(items, item_id, item_text, most)):
-        table = Items([tuple(r) for r in rows])
-
-        def run(batches, table=table, later=number > 0):
-            for batch in batches:
-                data, offsets = binary(batch.column(batch.schema.get_field_index(text)))
-                found = [x for _, piece, at in slices(data, offsets) for x in table.scan(piece, at)]
-                if later:
-                    spans_ = [[(s["first"], s["last"]) for s in v] for v in batch.column("hit_spans").to_pylist()]
-                    named = batch.column("hit_items").to_pylist()
-                    found = [(n, m + s, i + k) for (n, m, i), s, k in zip(found, spans_, named, strict=True)]
-                rows = []
-                for n, marks, names in found:
-                    joined = _union(marks)
-                    hit = sum(b - a for a, b in joined)
-                    rows.append((n, [{"first": a, "last": b} for a, b in joined], hit, sorted(set(names)), hit > 0 and 20 * hit >= n))
-                columns = zip(*rows, strict=True) if rows else [[]] * 5
-                yield appended(batch, {k: pa.array(list(c), kind) for (k, c), kind in zip(zip(added, columns, strict=True), kinds, strict=True)})
-
-        out = out.mapInArrow(run, schema)
-    return out
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    tests = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
+    met = candidates(docs.select(F.xxhash64(body).alias("key"), body.alias("text")), tests, window, gram, most)
+    keyed = docs.select(*[f.name for f in own], F.xxhash64(body).alias("__key"))
+    if met is None:
+        keyed = keyed.withColumn("__items", F.lit(None).cast("array<struct<name:string,text:string>>"))
+    else:
+        met = met.select(F.col("key").alias("__key"), F.col("items").alias("__items"))
+        size = met.agg(F.coalesce(F.sum(F.aggregate("__items", F.lit(64).cast("long"), lambda n, x: n + 64 + F.length(x["text"]))), F.lit(0))).first()[0]
+        keyed = keyed.join(F.broadcast(met) if size <= held else met, "__key", "left")
+
+    def run(batches):
+        split: dict[str, tuple] = {}
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            data, offsets = binary(column)
+            counted = [np.diff(spans(LOWER[piece], at, LETTERED)[2]) for _, piece, at in slices(data, offsets)]
+            n = np.concatenate(counted) if counted else np.zeros(0, np.int64)
+            rows: list[tuple] = []
+            for row, those in enumerate(batch.column(batch.schema.get_field_index("__items"))):
+                marks, names = [], set()
+                if those.is_valid:
+                    pairs = Pairs(data[offsets[row] : offsets[row + 1]].tobytes())
+                    for item in those.as_py():
+                        if item["text"] not in split:
+                            if len(split) > 10_000:
+                                split.clear()
+                            split[item["text"]] = Pairs.split(item["text"].encode())
+                        if found := pairs.spans(split[item["text"]], window):
+                            marks += found
+                            names.add(item["name"])
+                joined = _union(marks)
+                hit = sum(b - a for a, b in joined)
+                rows.append((int(n[row]), [{"first": a, "last": b} for a, b in joined], hit, sorted(names), hit > 0 and 20 * hit >= n[row]))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            arrays = {k: pa.array(list(c), kind) for (k, c), kind in zip(zip(added, columns, strict=True), kinds, strict=True)}
+            yield appended(batch.select([f.name for f in own]), arrays)
+
+    return keyed.mapInArrow(run, schema)

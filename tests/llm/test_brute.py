@@ -286,11 +286,13 @@ def brute_marks(text, items):
     return len(words), len(hit), sorted(met), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("most", [decontamination.ITEM_WORDS, 60])
-def test_decontamination(spark, docs, empty, most):
-    items = {1: PASSAGE.upper(), 2: "Two Three", 3: None, 4: "", 5: LONG, 10: "x", 11: "漢字 ünï", 12: " ".join(["tie"] * 3)}
+@pytest.mark.parametrize("least", [0, 5])
+@pytest.mark.parametrize("most", [decontamination.PRINTS, 0])
+def test_decontamination(spark, docs, empty, most, least):
+    items = {1: PASSAGE.upper(), 2: "Two Three", 3: None, 4: "", 5: LONG, 10: "x", 11: "漢字 ünï", 12: " ".join(["tie"] * 3), 13: None, 14: "w " * 2}
+    items = {k: v for k, v in items.items() if len((v or "").split()) >= least}
     table = spark.createDataFrame([*items.items(), (1, PASSAGE.upper())], "item_id long, text string")
-    rows = decontamination.mark(docs, table, most=most).collect()
+    rows = decontamination.mark(docs, table, most=most, held=most).collect()
     assert len(rows) == len(TEXTS) + 1
     for r in rows:
         assert (r["n_words"], r["n_hit"], r["hit_items"], r["contaminated"]) == brute_marks(r["text"] or "", items)
