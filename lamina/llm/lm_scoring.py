@@ -1,40 +1,49 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
 Words (A-Z lower-cased) and one end per text are the tokens. All training tokens are counted; the
-``HEAD`` most frequent are known to every executor, the rest is looked up by shuffle. The most
-frequent words form classes of ``MEMBERS``; the other head words form classes by the size of their
-counts, and all remaining words, with those never seen, the last class. A token's probability is
+``HEAD`` most frequent are known to every executor, the rest is looked up by shuffle. All head words, by
+falling count, form ``WIDE - 1`` classes of like mass, and each class ``WIDE`` parts of like mass; all remaining words, with those
+never seen, are the last class. A token's probability is
 
-    P(class | history) * P(token | class, history)
+    P(class | history) * P(part | class, history) * share of the token in its part
 
-The first factor is a softmax over classes, the second one over the members of a frequent class; in
-the other classes it is the token's share of the add-one counts, so that all probabilities,
-one unseen word among them, sum to one. The features are hashed n-grams and skips of the last three
-tokens: each alone, and the last two together.
+The first two factors are softmaxes, the last is a share of add-one counts (a frequent word is a part
+by itself), so all probabilities, one unseen word among them, sum to one. The features are n-grams and skips of the last
+three tokens, whichever words they are: each alone, the last two and the last and the third last together. Each template
+hashes whole words into a weight table of its own, for parts together with the class.
 
-Training starts from the counts (bias terms) and takes gradient updates in all partitions at once
-over every training token; row by row, the partitions' steps are averaged by how often they met the
-row's feature. Scoring runs in sparse numpy batches. Words are told apart by 64-bit hashes.
+Training starts from the counts (bias terms) and takes gradient updates in many trainers at once
+over every training token; row by row, the trainers' steps are averaged by how often they met the
+row's features, in a tree. Scoring runs in sparse numpy batches. Words are told apart by 64-bit hashes.
 
 Null and empty texts are one end. Equal rows get equal scores; a row with a null doc_id is scored
-and counted as trained on (its fold is null, not 2).
+and counted as trained on (its fold is null, not 2). Only doc_id and text are read of the input.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import LOWER, SPACED, binary, cut, mixed, partitions, slices, spans, word_hashes
 
-#: Head words; frequent words, and members of each of their classes; classes by count.
-HEAD, FREQUENT, MEMBERS, SIZES = 1 << 19, 512, 32, 12
-#: Rows for hashed pairs; tokens of a gradient step; step size.
-PAIRS, BATCH, RATE = 1 << 13, 1 << 15, 0.5
+#: Head words; classes, and parts of each.
+HEAD, WIDE = 1 << 19, 32
+#: Bits of a template's row number, for class weights and for part weights.
+CLASS_BITS, PART_BITS = 14, 15
+#: Templates as the places before the token that they join, for classes and for parts.
+CLASS_TEMPLATES, PART_TEMPLATES = ((1,), (2,), (3,), (1, 2), (1, 3)), ((1,), (2,), (1, 2))
+#: Tokens of a gradient step; step size.
+BATCH, RATE = 1 << 14, 0.5
+#: Partitions of the input that one trainer takes, and trainers' steps that are summed at once.
+TAKEN, FAN_IN = 8, 32
 #: Tokens that a task gathers before it sends counts or questions on.
 FLUSH = 4_000_000
+#: Distinct rare words of a bucket, about.
+RARE_WORDS = 1_000_000
 #: Hash that stands for the end of a text.
 END = np.uint64(0x5EEDE4D0F7E87001)
 
@@ -73,8 +82,20 @@ class _Table:
         return out
 
 
+def _split(mass: np.ndarray, parts: int) -> np.ndarray:
+    """Number of the part (of at most ``parts``, of like mass, in order) of each of some items."""
+    before = np.cumsum(mass) - mass
+    raw = np.minimum((before / max(mass.sum(), 1e-300) * parts).astype(np.int64), parts - 1)
+    return np.unique(raw, return_inverse=True)[1]
+
+
+def _logs(logit: np.ndarray) -> np.ndarray:
+    logit -= logit.max(1, keepdims=True)
+    return logit - np.log(np.exp(logit).sum(1, keepdims=True))
+
+
 class Model:
-    """The vocabulary's head with its classes, and the weights.
+    """The vocabulary's head with its classes and parts, and the weights.
 
     ``head``: (hash, count) of head words; ``total``, ``kinds``: all training tokens and distinct ones.
     """
@@ -83,98 +104,103 @@ class Model:
         hashes = np.array([h for h, _ in head], np.int64).view(np.uint64)
         counts = np.array([c for _, c in head], np.int64)
         order = np.lexsort((hashes, -counts))
-        rank = np.empty(len(head), np.int64)
-        rank[order] = np.arange(len(head))
+        mass = counts[order] + 1.0
+        cls, part = _split(mass, WIDE - 1), np.zeros(len(order), np.int64)
+        edges = np.searchsorted(cls, np.arange(WIDE))
+        for low, high in zip(edges, edges[1:], strict=False):
+            part[low:high] = _split(mass[low:high], WIDE)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
         by_hash = np.argsort(hashes)
-        self.table, self.count, rank = _Table(hashes[by_hash]), counts[by_hash], rank[by_hash]
+        place = back[by_hash]
+        self.table, self.count, self.cls, self.part = _Table(hashes[by_hash]), counts[by_hash], cls[place], part[place]
         self.total, self.kinds = total, kinds
-        frequent = min(FREQUENT, len(head))
-        self.groups = -(-frequent // MEMBERS)
-        size = np.minimum(np.log2(np.maximum(self.count, 1)).astype(np.int64), SIZES - 1)
-        self.cls = np.where(rank < frequent, rank // MEMBERS, self.groups + size)
-        self.classes = self.groups + SIZES + 1
-        self.member = np.where(rank < frequent, rank % MEMBERS, -1)
-        self.context = np.where(rank < frequent, rank, FREQUENT + size)  # as a feature
-        self.contexts = FREQUENT + SIZES + 2  # and rare words, and what stands before a text
         rare = (total - int(counts.sum())) + (kinds - len(head)) + 1  # add-one counts of the last class
-        mass = np.bincount(self.cls, self.count + 1, self.classes).astype(float)
-        mass[-1] = rare
-        self.share = np.log((self.count + 1) / mass[self.cls])  # of a word in its class
         self.rare = float(np.log(rare))
-        with np.errstate(divide="ignore"):
-            self.bias = np.log(mass / mass.sum()).astype(np.float32)
-        inside = np.full((self.groups, MEMBERS), -np.inf, np.float32)
-        some = self.member >= 0
-        inside[self.cls[some], self.member[some]] = self.share[some]
-        self.inside = inside
-        rows = 3 * self.contexts + PAIRS
-        self.weights = np.zeros((rows, self.classes), np.float32)
-        self.members = np.zeros((self.contexts * max(self.groups, 1) + PAIRS, MEMBERS), np.float32)
+        parts = np.bincount(self.cls * WIDE + self.part, self.count + 1, WIDE * WIDE).reshape(WIDE, WIDE)
+        self.share = np.log((self.count + 1) / parts[self.cls, self.part])  # of a word in its part
+        masses = parts.sum(1)
+        masses[-1] = rare
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.bias = np.log(masses / masses.sum()).astype(np.float32)
+            self.inside = np.where(parts > 0, np.log(parts / parts.sum(1, keepdims=True)), -np.inf).astype(np.float32)
+        self.weights = np.zeros((len(CLASS_TEMPLATES) << CLASS_BITS, WIDE), np.float32)
+        self.members = np.zeros((len(PART_TEMPLATES) << PART_BITS, WIDE), np.float32)
 
     def look(self, hashes: np.ndarray, first: np.ndarray):
-        """Place in the head (or -1), class, and the rows of the four class features of each token."""
+        """Place in the head (or -1), class, and the feature hashes of each token."""
         at = self.table.find(hashes)
-        known = at >= 0
-        cls = np.where(known, self.cls[at], self.classes - 1)
-        context = np.where(known, self.context[at], FREQUENT + SIZES)
+        cls = np.where(at >= 0, self.cls[at], WIDE - 1) if len(self.count) else np.full(len(hashes), WIDE - 1)
         place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
-        before = [np.where(place >= k, np.concatenate([np.zeros(k, np.int64), context])[: len(context)], self.contexts - 1) for k in (1, 2, 3)]
-        pair = (mixed((before[0] * self.contexts + before[1]).astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
-        rows = [before[k] + k * self.contexts for k in range(3)] + [3 * self.contexts + pair]
-        return at, cls, rows, before[0], pair
+        known = mixed(hashes)
+        before = {k: np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), known])[: len(known)], np.uint64(0)) for k in (1, 2, 3)}
+        features = {}
+        for template in {*CLASS_TEMPLATES, *PART_TEMPLATES}:
+            h = np.full(len(hashes), sum(template) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
+            for k in template:
+                h = mixed(h ^ before[k])
+            features[template] = h
+        return at, cls, features
+
+    def class_rows(self, features: dict, b) -> list[np.ndarray]:
+        """Rows of a batch in each template's table; tables follow each other."""
+        return [(features[t][b] >> np.uint64(64 - CLASS_BITS)).astype(np.uint16) for t in CLASS_TEMPLATES]
+
+    def part_rows(self, features: dict, b, cls: np.ndarray) -> list[np.ndarray]:
+        own = cls.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return [(mixed(features[t][b] + own) >> np.uint64(64 - PART_BITS)).astype(np.uint16) for t in PART_TEMPLATES]
 
     def class_logs(self, rows: list[np.ndarray]) -> np.ndarray:
-        logit = self.bias + sum(self.weights[r] for r in rows)
-        logit -= logit.max(1, keepdims=True)
-        return logit - np.log(np.exp(logit).sum(1, keepdims=True))
-
-    def member_rows(self, cls: np.ndarray, last: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
-        hashed = (mixed((pair * self.groups + cls).astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
-        return [last * self.groups + cls, self.contexts * self.groups + hashed]
+        logit = np.repeat(self.bias[None, :], len(rows[0]), 0)
+        for i, row in enumerate(rows):
+            logit += self.weights[i << CLASS_BITS : (i + 1) << CLASS_BITS][row]
+        return _logs(logit)
 
-    def member_logs(self, cls: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        logit = self.inside[cls] + sum(self.members[r] for r in rows)
-        logit -= logit.max(1, keepdims=True)
-        return logit - np.log(np.exp(logit).sum(1, keepdims=True))
+    def part_logs(self, cls: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        logit = self.inside[cls]
+        for i, row in enumerate(rows):
+            logit += self.members[i << PART_BITS : (i + 1) << PART_BITS][row]
+        return _logs(logit)
 
     def logs(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head and natural log of the probability; of a rare token, without ``log(c + 1)``."""
-        at, cls, rows, last, pair = self.look(hashes, first)
-        out = np.empty(len(hashes))
+        at, cls, features = self.look(hashes, first)
+        out = np.where(at >= 0, self.share[at], -self.rare) if len(self.count) else np.full(len(hashes), -self.rare)
         for low in range(0, len(hashes), BATCH):
             b = slice(low, low + BATCH)
-            logs = self.class_logs([r[b] for r in rows])
-            out[b] = logs[np.arange(len(logs)), cls[b]]
-        out += np.where(at >= 0, self.share[at], -self.rare)
-        some = np.flatnonzero(cls < self.groups)
+            logs = self.class_logs(self.class_rows(features, b))
+            out[b] += logs[np.arange(len(logs)), cls[b]]
+        some = np.flatnonzero(at >= 0)
         for low in range(0, len(some), BATCH):
             b = some[low : low + BATCH]
-            logs = self.member_logs(cls[b], self.member_rows(cls[b], last[b], pair[b]))
-            out[b] += logs[np.arange(len(b)), self.member[at[b]]] - self.share[at[b]]
+            logs = self.part_logs(cls[b], self.part_rows(features, b, cls[b]))
+            out[b] += logs[np.arange(len(b)), self.part[at[b]]]
         return at, out
 
-    def step(self, at, cls, rows, last, pair, met: tuple[np.ndarray, np.ndarray]) -> None:
+    def step(self, at: np.ndarray, cls: np.ndarray, features: dict, b: slice, met: tuple[np.ndarray, np.ndarray]) -> None:
         """One gradient update on a batch; ``met`` counts the use of each row of both weight tables."""
 
-        def update(weights: np.ndarray, parts: list[np.ndarray], slope: np.ndarray, used: np.ndarray) -> None:
-            for row in parts:
-                order = np.argsort(row, kind="stable")
+        def update(weights: np.ndarray, parts: list[np.ndarray], bits: int, slope: np.ndarray, used: np.ndarray) -> None:
+            for i, row in enumerate(parts):
+                own, count = weights[i << bits : (i + 1) << bits], used[i << bits : (i + 1) << bits]
+                order = np.argsort(row, kind="stable")  # by counting, as rows are 16-bit
                 ordered = row[order]
                 head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
                 n = np.diff(np.append(head, len(row)))
                 touched = ordered[head]
-                used[touched] += n
-                weights[touched] -= RATE * np.add.reduceat(slope[order], head) / np.sqrt(used[touched] * (n + 8.0))[:, None].astype(np.float32)
+                count[touched] += n
+                own[touched] -= np.add.reduceat(slope[order], head) * (RATE / np.sqrt(count[touched] * (n + 8.0)))[:, None].astype(np.float32)
 
+        rows = self.class_rows(features, b)
         slope = np.exp(self.class_logs(rows))
-        slope[np.arange(len(cls)), cls] -= 1
-        update(self.weights, rows, slope, met[0])
-        some = np.flatnonzero(cls < self.groups)
+        slope[np.arange(len(slope)), cls[b]] -= 1
+        update(self.weights, rows, CLASS_BITS, slope, met[0])
+        some = np.flatnonzero(at[b] >= 0) + b.start
         if len(some):
-            parts = self.member_rows(cls[some], last[some], pair[some])
-            slope = np.exp(self.member_logs(cls[some], parts))
-            slope[np.arange(len(some)), self.member[at[some]]] -= 1
-            update(self.members, parts, slope, met[1])
+            rows = self.part_rows(features, some, cls[some])
+            slope = np.exp(self.part_logs(cls[some], rows))
+            slope[np.arange(len(some)), self.part[at[some]]] -= 1
+            update(self.members, rows, PART_BITS, slope, met[1])
 
 
 def fold(doc_id: str = "doc_id", folds: int = 7):
@@ -211,21 +237,47 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _blocks(x: np.ndarray, n: int):
-    """A table's rows in blocks: (number, first row, after last row)."""
-    step = -(-len(x) // n)
-    return [(i, a, min(a + step, len(x))) for i, a in enumerate(range(0, len(x), step))]
+STEPS = "block int, part int, at binary, used binary, moved binary"
+_PIECES = 8
+
 
+def _summed(batches, tables: tuple[tuple[int, int], ...], fan_in: int):
+    """Sums of steps, weighted by use, for each block of rows and each part of the trainers."""
+    sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        columns = [batch.column(c) for c in ("at", "used", "moved")]
+        for row, (block, part) in enumerate(zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), strict=True)):
+            rows, width = tables[block // _PIECES]
+            at, used, moved = (np.frombuffer(c[row].as_buffer(), kind) for c, kind in zip(columns, ("<i4", "<f4", "<f4"), strict=True))
+            total = sums.setdefault((block, part // fan_in), (np.zeros(rows // _PIECES, np.float32), np.zeros((rows // _PIECES, width), np.float32)))
+            total[0][at] += used
+            total[1][at] += moved.reshape(-1, width)
+    for (block, part), (used, moved) in sums.items():
+        at = np.flatnonzero(used)
+        yield _step(block, part, at, used[at], moved[at])
 
-def train(docs: DataFrame, counts: DataFrame, rounds: int = 1) -> Model:
-    """Fit on all of ``docs``; the driver sees the head and weights of fixed size."""
+
+def _step(block: int, part: int, at: np.ndarray, used: np.ndarray, moved: np.ndarray) -> pa.RecordBatch:
+    values = (block, part, at.astype("<i4").tobytes(), used.astype("<f4").tobytes(), moved.astype("<f4").tobytes())
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[f.split()[0] for f in STEPS.split(", ")])
+
+
+def train(docs: DataFrame, counts: DataFrame, rounds: int = 1, taken: int = TAKEN, fan_in: int = FAN_IN) -> Model:
+    """Fit on all of ``docs``; the driver sees the head and weights of fixed size.
+
+    A trainer takes ``taken`` partitions, as far as that leaves work for all cores. Its steps are added
+    up in a tree, ``fan_in`` trainers at a time, so no task reads more however many trainers there are.
+    """
     spark = docs.sparkSession
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds")).first()
     head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
     model = Model(list(zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)), int(sums["total"]), int(sums["kinds"]))
-    if not model.groups:
+    if not len(model.count):
         return model
-    pieces = 24
+    texts = docs.select("text")
+    trainers = max(1, min(texts.rdd.getNumPartitions(), max(spark.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // taken))))
+    tables = tuple(x.shape for x in (model.weights, model.members))
     for _ in range(rounds):
         handed = spark.sparkContext.broadcast(model)  # of fixed size
 
@@ -237,44 +289,35 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = 1) -> Model:
             met = np.zeros(len(own.weights)), np.zeros(len(own.members))
             for batch in batches:
                 for _, hashes, first in _each(batch):
-                    at, cls, rows, last, pair = own.look(hashes, first)
+                    at, cls, features = own.look(hashes, first)
                     for low in range(0, len(hashes), BATCH):
-                        b = slice(low, low + BATCH)
-                        own.step(at[b], cls[b], [r[b] for r in rows], last[b], pair[b], met)
-            if not met[0].any():
-                return
+                        own.step(at, cls, features, slice(low, min(low + BATCH, len(hashes))), met)
             for kind, now, was, used in ((0, own.weights, handed.value.weights, met[0]), (1, own.members, handed.value.members, met[1])):
-                for i, a, b in _blocks(now, pieces):
-                    some = np.flatnonzero(used[a:b])
-                    moved = (now[a:b] - was[a:b])[some]
-                    columns = [pa.array([v], t) for v, t in ((kind * pieces + i, pa.int32()), (some.astype("<i4").tobytes(), pa.binary()), (used[a:b][some].tobytes(), pa.binary()), (moved.astype("<f4").tobytes(), pa.binary()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["block", "at", "used", "moved"])
-
-        def mean(batches, handed=handed):
-            tables = handed.value.weights, handed.value.members
-            sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for block, at, n, x in zip(batch.column("block").to_pylist(), batch.column("at"), batch.column("used"), batch.column("moved"), strict=True):
-                    table = tables[block // pieces]
-                    _, a, b = _blocks(table, pieces)[block % pieces]
-                    used, moved = sums.setdefault(block, (np.zeros(b - a), np.zeros((b - a, table.shape[1]))))
-                    at, n = np.frombuffer(at.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), np.float64)
-                    used[at] += n
-                    moved[at] += np.frombuffer(x.as_buffer(), "<f4").reshape(len(at), table.shape[1]) * n[:, None]
-            for block, (used, moved) in sums.items():
-                out = (moved / np.maximum(used, 1)[:, None]).astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "moved"])
-
-        steps = docs.select("text").mapInArrow(run, "block int, at binary, used binary, moved binary")
-        for row in steps.repartition(2 * pieces, "block").mapInArrow(mean, "block int, moved binary").collect():
-            table = (model.weights, model.members)[row["block"] // pieces]
-            _, a, b = _blocks(table, pieces)[row["block"] % pieces]
-            table[a:b] += np.frombuffer(row["moved"], "<f4").reshape(b - a, -1)
+                size = len(now) // _PIECES
+                for i in range(_PIECES):
+                    a, b = i * size, (i + 1) * size
+                    at = np.flatnonzero(used[a:b])
+                    if len(at):
+                        yield _step(kind * _PIECES + i, TaskContext.get().partitionId(), at, used[a:b][at], (now[a:b] - was[a:b])[at] * used[a:b][at, None])
+
+        steps = texts.coalesce(trainers).mapInArrow(run, STEPS)
+        left = trainers
+        while True:
+            groups = -(-left // fan_in)
+            dealt = steps.repartition(min(2 * _PIECES * groups, partitions(spark)), "block", F.floor(F.col("part") / fan_in))
+            steps = dealt.mapInArrow(lambda batches: _summed(batches, tables, fan_in), STEPS)
+            left = groups
+            if groups == 1:
+                break
+        for row in steps.toLocalIterator():
+            table = (model.weights, model.members)[row["block"] // _PIECES]
+            at, used, moved = (np.frombuffer(row[c], kind) for c, kind in (("at", "<i4"), ("used", "<f4"), ("moved", "<f4")))
+            table[row["block"] % _PIECES * (len(table) // _PIECES) + at] += moved.reshape(-1, table.shape[1]) / used[:, None]
     return model
 
 
-SCORED = "kind int, bucket int, key long, doc_id long, n_tokens long, n_known long, base double, score double, words binary, owners binary, keys binary"
-_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+SCORED = "kind int, bucket int, key long, doc_id long, n_tokens long, n_known long, base double, score double, words binary, owners binary, keys binary, names binary"
+_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * 4)
 _NAMES = [f.split()[0] for f in SCORED.split(", ")]
 
 
@@ -286,50 +329,50 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10) of every row.
 
     A row's head tokens are scored where it is read. Its rare tokens go by bucket of their hash to
-    their counts, and what they add comes back by the row's key.
+    their counts, and what they add comes back by doc_id and a hash of the text. Counts come first in a bucket,
+    so that questions stream past them.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = max(partitions(spark), model.kinds // RARE_WORDS)
     handed = spark.sparkContext.broadcast(model)
     ten, below = np.log(10), float(np.log10(model.total + model.kinds + 1))
 
     def run(batches):
         model = handed.value
-        words, owners, keys, size = [], [], [], 0
+        words, owners, keys, ids, size = [], [], [], [], 0
 
         def sent():
-            nonlocal words, owners, keys, size
-            word, owner, key = np.concatenate(words), np.concatenate(owners), np.concatenate(keys)
+            nonlocal words, owners, keys, ids, size
+            word, owner, key, name = np.concatenate(words), np.concatenate(owners), np.concatenate(keys), np.concatenate(ids, 1)
             bucket = (mixed(word) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows: list[list] = [[], [], [], []]
-            for b in range(buckets):
+            rows: list[list] = [[] for _ in range(5)]
+            for b in np.unique(bucket).tolist():
                 part = order[edges[b] : edges[b + 1]]
-                if len(part):
-                    used, local = np.unique(owner[part], return_inverse=True)
-                    for column, value in zip(rows, (b, word[part].tobytes(), local.astype("<i4").tobytes(), key[used].tobytes()), strict=True):
-                        column.append(value)
-            words, owners, keys, size = [], [], [], 0
+                used, local = np.unique(owner[part], return_inverse=True)
+                for column, value in zip(rows, (b, word[part].tobytes(), local.astype("<i4").tobytes(), key[used].tobytes(), name[:, used].tobytes()), strict=True):
+                    column.append(value)
+            words, owners, keys, ids, size = [], [], [], [], 0
             n = len(rows[0])
-            return _rows(n, kind=pa.array([1] * n, pa.int32()), bucket=pa.array(rows[0], pa.int32()), words=pa.array(rows[1], pa.binary()), owners=pa.array(rows[2], pa.binary()), keys=pa.array(rows[3], pa.binary()))
+            return _rows(n, kind=pa.array([1] * n, pa.int32()), bucket=pa.array(rows[0], pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in zip(("words", "owners", "keys", "names"), rows[1:], strict=True)})
 
         total = 0
         for batch in batches:
             names = batch.column("doc_id")
-            number = np.array([v or 0 for v in names.to_pylist()], np.int64).view(np.uint64)
+            number = np.stack([names.fill_null(0).to_numpy(), names.is_valid().cast(pa.int64()).to_numpy()])
             for row, hashes, first in _each(batch):
                 at, logs = model.logs(hashes, first)
                 known = at >= 0
                 n = len(first) - 1
                 head = first[:-1]
-                base = np.add.reduceat(np.where(known, np.log10(model.count[at] + 1.0), 0.0) - below, head)
+                base = np.add.reduceat((np.where(known, np.log10(model.count[at] + 1.0), 0.0) if len(model.count) else np.zeros(len(at))) - below, head)
                 place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(head, np.diff(first)).astype(np.uint64)
-                key = mixed(mixed(number[row : row + n]) + np.add.reduceat(mixed(hashes + mixed(place + np.uint64(1))), head)).view(np.int64)
+                key = mixed(np.add.reduceat(mixed(hashes + mixed(place + np.uint64(1))), head)).view(np.int64)
                 yield _rows(
                     n,
                     kind=pa.array(np.zeros(n, np.int32)),
-                    bucket=pa.array((key.view(np.uint64) % np.uint64(buckets)).astype(np.int32)),
+                    bucket=pa.array((mixed(key.view(np.uint64) + number[0, row : row + n].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)),
                     key=pa.array(key),
                     doc_id=names.slice(row, n),
                     n_tokens=pa.array(np.diff(first)),
@@ -340,6 +383,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 words.append(hashes[~known])
                 owners.append(np.repeat(np.arange(total, total + n), np.diff(first))[~known])
                 keys.append(key)
+                ids.append(number[:, row : row + n])
                 total += n
                 size += len(words[-1])
                 if size >= FLUSH // 2:
@@ -362,37 +406,40 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             yield _rows(len(some), kind=pa.array([2] * len(some), pa.int32()), bucket=pa.array(some, pa.int32()), words=pa.array([word[p].tobytes() for p in parts], pa.binary()), owners=pa.array([n[p].tobytes() for p in parts], pa.binary()))
 
     def met(batches):
-        asked, words, n = [], [], []
+        words, n, at, table, count = [], [], None, None, None
         for batch in batches:
-            kind = batch.column("kind").to_numpy()
+            kind, bucket = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
             plain = np.flatnonzero(kind == 0)
             if len(plain):
                 out = batch.take(pa.array(plain))
                 yield pa.RecordBatch.from_arrays([out.column("key"), out.column("doc_id"), pa.array(np.ones(len(plain), np.int64)), *[out.column(c) for c in ("n_tokens", "n_known", "base", "score")]], names=PARTS)
             for row in np.flatnonzero(kind).tolist():
-                body = [batch.column(c)[row] for c in ("words", "owners", "keys")]
+                if bucket[row] != at:
+                    words, n, at, table = [], [], int(bucket[row]), None
+                body = [batch.column(c)[row] for c in ("words", "owners", "keys", "names")]
                 if kind[row] == 2:
                     words.append(np.frombuffer(body[0].as_buffer(), np.uint64))
                     n.append(np.frombuffer(body[1].as_buffer(), np.int64))
-                else:
-                    asked.append([np.frombuffer(v.as_buffer(), t) for v, t in zip(body, (np.uint64, "<i4", np.int64), strict=True)])
-        word, n = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (words, n))
-        order = np.argsort(word)
-        word, n = word[order], n[order].astype(np.int64)
-        table = _Table(word)
-        for hashes, owner, key in asked:
-            at = table.find(hashes)
-            more = np.log10(np.where(at >= 0, n[at] if len(n) else 0, 0) + 1.0)
-            gain = np.bincount(owner, more, len(key))
-            seen = np.bincount(owner[at >= 0], minlength=len(key))
-            some = np.flatnonzero(seen)
-            none = pa.array(np.zeros(len(some), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.nulls(len(some), pa.int64()), none, none, pa.array(seen[some].astype(np.int64)), pa.array(gain[some]), pa.array(gain[some])], names=PARTS)
+                    continue
+                if table is None:
+                    word = np.concatenate(words) if words else np.zeros(0, np.uint64)
+                    order = np.argsort(word)
+                    table, count = _Table(word[order]), np.concatenate(n)[order] if n else np.zeros(1, np.int64)
+                    words, n = [], []
+                hashes, owner, key, name = (np.frombuffer(v.as_buffer(), t) for v, t in zip(body, (np.uint64, "<i4", np.int64, np.int64), strict=True))
+                place, name = table.find(hashes), name.reshape(2, -1)
+                more = np.log10(np.where(place >= 0, count[place], 0) + 1.0)
+                gain = np.bincount(owner, more, len(key))
+                seen = np.bincount(owner[place >= 0], minlength=len(key))
+                some = np.flatnonzero(seen)
+                none = pa.array(np.zeros(len(some), np.int64))
+                named = pa.array(name[0, some], mask=name[1, some] == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), named, none, none, pa.array(seen[some].astype(np.int64)), pa.array(gain[some]), pa.array(gain[some])], names=PARTS)
 
     asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED)
     known = counts.mapInArrow(packed, SCORED)
-    parts = asked.unionByName(known).repartition(buckets, "bucket").mapInArrow(met, "key long, doc_id long, copies long, n_tokens long, n_known long, base double, score double")
-    summed = parts.groupBy("key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")])
+    parts = asked.unionByName(known).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("kind")).mapInArrow(met, "key long, doc_id long, copies long, n_tokens long, n_known long, base double, score double")
+    summed = parts.groupBy("doc_id", "key").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")])
     each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     whole = lambda c: (F.col(c) / F.col("copies")).cast("long").alias(c)
     return each.select("doc_id", whole("n_tokens"), whole("n_known"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))

@@ -14,6 +14,8 @@ from tokenizers import Tokenizer
 
 from lamina.llm import decontamination, jaccard_join, lm_scoring, packing, quality_rules, suffix_dedup, token_counts, token_files, tokens, toxicity, url_filters
 
+from lamina.llm.common import mixed, word_hashes
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -339,6 +341,80 @@ def test_lm_scores(docs, empty):
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in words))
         assert r["score"] < 0
     assert lm_scoring.fit_and_score(empty)[0].count() == 0
+    for r in rows:  # the model, token by token
+        texts = {t for i, t in [*TEXTS, NULL_ID] if i == r["doc_id"]}
+        assert any(r["score"] == pytest.approx(plain_score(model, t, count), rel=1e-5) for t in texts)
+
+
+def scalar_hash(word: str) -> int:
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+
+def plain_score(model, text, count) -> float:
+    """log10 of a text's probability with dictionaries and plain loops."""
+    wrap = (1 << 64) - 1
+    mix = lambda x: int(mixed(np.array([x & wrap], np.uint64))[0])
+    rank = {int(h): k for k, h in enumerate(model.table.keys)}
+    words = [*WORD.findall((text or "").translate(LOWER)), None]
+    hashes = [int(lm_scoring.END) if w is None else scalar_hash(w) for w in words]
+    total = 0.0
+
+    def softmax(logit):
+        top = max(logit)
+        return [x - top - math.log(sum(math.exp(y - top) for y in logit)) for x in logit]
+
+    for i, h in enumerate(hashes):
+        feature = {}
+        for template in {*lm_scoring.CLASS_TEMPLATES, *lm_scoring.PART_TEMPLATES}:
+            f = sum(template) * 0x9E3779B97F4A7C15 & wrap
+            for k in template:
+                f = mix(f ^ (mix(hashes[i - k]) if i >= k else 0))
+            feature[template] = f
+        at = rank.get(h)
+        cls = model.cls[at] if at is not None else lm_scoring.WIDE - 1
+        logit = [float(x) for x in model.bias]
+        for n, t in enumerate(lm_scoring.CLASS_TEMPLATES):
+            row = model.weights[(n << lm_scoring.CLASS_BITS) + (feature[t] >> (64 - lm_scoring.CLASS_BITS))]
+            logit = [a + float(b) for a, b in zip(logit, row, strict=True)]
+        total += softmax(logit)[cls]
+        if at is None:
+            total += math.log(count[words[i]] + 1) - model.rare
+            continue
+        logit = [float(x) for x in model.inside[cls]]
+        for n, t in enumerate(lm_scoring.PART_TEMPLATES):
+            row = mix(feature[t] + int(cls) * 0xC2B2AE3D27D4EB4F) >> (64 - lm_scoring.PART_BITS)
+            logit = [a + float(b) for a, b in zip(logit, model.members[(n << lm_scoring.PART_BITS) + row], strict=True)]
+        total += softmax(logit)[model.part[at]] + model.share[at]
+    return total / math.log(10)
+
+
+def test_lm_rows_of_one_id(spark):
+    """Rows are told apart by doc_id and text: equal ids, no id and equal texts each keep their own."""
+    rows = [(0, "a b c"), (None, "a b c"), (3, "a b c"), (3, "a b c"), (3, "d e"), (None, None), (0, None), (8, "long " * 500_000)]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in lm_scoring.fit_and_score(some)[0].collect())
+    assert got == Counter((i, len((t or "").split()) + 1) for i, t in rows)
+
+
+def test_rare_words_come_back(spark, docs, monkeypatch):
+    """With a head of two words, all others go by way of the buckets; counts stay exact."""
+    whole = {(r["doc_id"], r["n_tokens"]): r["base_score"] for r in lm_scoring.fit_and_score(docs)[0].collect()}
+    monkeypatch.setattr(lm_scoring, "HEAD", 2)
+    monkeypatch.setattr(lm_scoring, "RARE_WORDS", 3)
+    scored, model = lm_scoring.fit_and_score(docs)
+    rows = scored.collect()
+    assert len(model.count) == 2 and len(rows) == len(TEXTS) + 1
+    for r in rows:
+        assert r["base_score"] == pytest.approx(whole[r["doc_id"], r["n_tokens"]]) and r["score"] < 0
+
+
+def test_trainers_are_summed_in_a_tree(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").repartition(7)
+    counts = lm_scoring.counted(docs)
+    flat, tree = (lm_scoring.train(docs, counts, taken=1, fan_in=k) for k in (32, 2))
+    assert np.allclose(flat.weights, tree.weights, atol=1e-4) and np.allclose(flat.members, tree.members, atol=1e-4)
+    assert np.abs(flat.weights).max() > 0.01
 
 
 def test_lm_is_a_distribution():
@@ -363,7 +439,9 @@ def test_lm_beats_base_on_held_out(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     held = {r["doc_id"] for r in docs.where(lm_scoring.fold() == 2).select("doc_id").collect()}
     rows = [r for r in lm_scoring.fit_and_score(docs)[0].collect() if r["doc_id"] in held]
-    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    gain = sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows)
+    print("log10 a held-out token over the base:", gain)
+    assert gain > 0
 
 
 @pytest.fixture(scope="module")
