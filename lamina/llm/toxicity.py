@@ -24,21 +24,34 @@ from lamina.llm.common import LETTERED, LOWER, appended, binary, cut, gram_hashe
 SAMPLE_DOCS = 3000
 #: Ordinary texts for each toxic one, so that a word's absence from them means something.
 ORDINARY = 3
-#: Discount (rarer counts go to the shared step whole), bytes of a stem, tokens of the short window,
-#: bound of one token's ratio.
+#: Counts up to which an expression rests on the shared step alone (if in both classes), bytes of a stem,
+#: tokens of the short window, bound of one token's ratio.
 RARE, STEM, WINDOW, BOUND = 3, 5, 4, 6.0
 THRESHOLD = 0.7
 
 
+def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 1, 2 and more, from how many expressions occur once to four times."""
+    n1, n2, n3, n4 = (float(n) for n in counts_of_counts)
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    taken = [k - (k + 1) * y * (b / a) if a and b else y for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return np.clip(taken, 0.1, [0.95, 1.9, 2.85])
+
+
+def taken_off(counts: np.ndarray, discount: np.ndarray) -> np.ndarray:
+    return np.where(counts > 0, discount[np.clip(counts, 1, 3).astype(np.int64) - 1], 0.0)
+
+
 class Model:
     """Two classes (ordinary, toxic) over the expressions that are not rare in both, and the logistic curve.
 
     ``words``: word, stem, both spreads; ``stems``: stem, both spreads, spread of its words;
     ``pairs``: word before, word, both counts, both totals of the word before; ``sums``: for each class the
-    spread of all words, its discounted part, and the same of stems; all as 64-bit integers.
+    spread of all words, that of the words left out, and the same of stems; all as 64-bit integers.
+    ``off``: discounts by class, for words, stems and pairs.
     """
 
-    def __init__(self, words: np.ndarray, stems: np.ndarray, pairs: np.ndarray, sums: np.ndarray):
+    def __init__(self, words: np.ndarray, stems: np.ndarray, pairs: np.ndarray, sums: np.ndarray, off: np.ndarray):
         words, stems = (x[np.argsort(x[:, 0].view(np.uint64))] for x in (words, stems))
         self.words, self.stems = (np.ascontiguousarray(x[:, 0]).view(np.uint64) for x in (words, stems))
         stem_of, _ = self._at(self.stems, np.ascontiguousarray(words[:, 1]).view(np.uint64))
@@ -50,13 +63,15 @@ class Model:
         inside = stems[:, 3] + 1.0
         self.single, self.new, self.extra, self.back = [], [], [], []
         for c in (0, 1):
-            total, freed, stem_total, stem_freed = (float(v) for v in sums[c])
-            rest, low = (freed / total if total else 1.0), (stem_freed / stem_total if stem_total else 1.0)
-            stem = np.maximum(stems[:, 1 + c] - RARE, 0) / max(stem_total, 1) + low * stems[:, 3] / known
-            own = np.maximum(words[:, 2 + c] - RARE, 0) / max(total, 1)
+            total, left, stem_total, stem_left = (float(v) for v in sums[c])
+            word_off, stem_off, pair_off = (taken_off(x, d) for x, d in zip((words[:, 2 + c], stems[:, 1 + c], pairs[:, 2 + c]), off[c], strict=True))
+            rest = (word_off.sum() + left) / total if total else 1.0
+            low = (stem_off.sum() + stem_left) / stem_total if stem_total else 1.0
+            stem = (stems[:, 1 + c] - stem_off) / max(stem_total, 1) + low * stems[:, 3] / known
+            own = (words[:, 2 + c] - word_off) / max(total, 1)
             self.single.append(own + rest * stem[stem_of] * all_words / inside[stem_of] if len(stem) else own)
             self.new.append(np.append(rest * stem / inside, rest * low / known))
-            extra = np.maximum(pairs[:, 2 + c] - RARE, 0) / np.maximum(pairs[:, 4 + c], 1)
+            extra = (pairs[:, 2 + c] - pair_off) / np.maximum(pairs[:, 4 + c], 1)
             self.extra.append(extra[order])
             self.back.append(1 - np.bincount(np.searchsorted(self.heads, head), extra, len(self.heads)))
         self.weights = np.zeros(4)
@@ -170,16 +185,24 @@ def _counted(sample: DataFrame) -> Model:
         got = df.select(*[F.col(c).cast("long") for c in columns]).toArrow()
         return np.stack([got.column(c).to_numpy() for c in columns], 1).astype(np.int64)
 
-    def sums(df: DataFrame) -> list[list[int]]:
-        row = df.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(f"s{i}{c}") for c in (0, 1) for i, x in enumerate((F.col(f"n{c}"), F.least(F.col(f"n{c}"), F.lit(RARE))))]).first()
-        return [[row[f"s0{c}"], row[f"s1{c}"]] for c in (0, 1)]
+    def sums(df: DataFrame) -> tuple[list[list[int]], np.ndarray]:
+        """For each class: all counts, those of rows left out, and discounts."""
+        total = lambda value: F.coalesce(F.sum(value), F.lit(0)).cast("long")
+        wanted = []
+        for c in (0, 1):
+            n = F.col(f"n{c}")
+            wanted += [total(n), total(F.when(some, 0).otherwise(n)), *[total((n == k).cast("long")) for k in (1, 2, 3, 4)]]
+        row = list(df.agg(*[w.alias(f"s{i}") for i, w in enumerate(wanted)]).first())
+        return [row[0:2], row[6:8]], np.array([discounts(np.array(row[2:6])), discounts(np.array(row[8:12]))])
 
-    spread = np.array([a + b for a, b in zip(sums(words), sums(stems), strict=True)], np.int64)
+    (word_sums, word_off), (stem_sums, stem_off), (_, pair_off) = sums(words), sums(stems), sums(pairs)
+    spread = np.array([a + b for a, b in zip(word_sums, stem_sums, strict=True)], np.int64)
     return Model(
         table(words.where(some), "word", "stem", "n0", "n1"),
         table(stems.where(some), "stem", "n0", "n1", "inside"),
         table(pairs.where(some).join(totals, "before"), "before", "word", "n0", "n1", "t0", "t1"),
         spread,
+        np.stack([word_off, stem_off, pair_off], 1),
     )
 
 

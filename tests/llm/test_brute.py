@@ -326,6 +326,81 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(some, untaught).where("score between 0 and 1").count() == 400
 
 
+def plain_ratios(sample: list[tuple[int, str]], text: str) -> list[float]:
+    """Log-likelihood ratios of a text's words by Kneser-Ney models kept in dictionaries."""
+    word_of = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word_of.findall(t.translate(LOWER))
+    stem = lambda w: w.encode()[: toxicity.STEM]
+    tables = [[defaultdict(int) for _ in range(3)] for _ in (0, 1)]  # spreads of words, of stems, counts of pairs
+    totals = [Counter(), Counter()]
+    seen = [set(), set()]
+    for c, t in sample:
+        before = None
+        for w in split(t):
+            if (before, w) not in seen[c]:
+                seen[c].add((before, w))
+                tables[c][0][w] += 1
+            if before is not None:
+                tables[c][2][before, w] += 1
+                totals[c][before] += 1
+            before = w
+    for c in (0, 1):
+        for s in {(b, stem(w)) for b, w in seen[c]}:
+            tables[c][1][s[1]] += 1
+    inside = Counter()
+    for c in (0, 1):
+        for w, n in tables[c][0].items():
+            inside[stem(w)] += n
+    known = sum(sum(t[0].values()) for t in tables) + 1
+    kept = [{k for t in tables for k, n in t[level].items() if n > toxicity.RARE} for level in range(3)]
+
+    def off(c, level, n):
+        ones = [sum(m == k for m in tables[c][level].values()) for k in (1, 2, 3, 4)]
+        y = ones[0] / (ones[0] + 2 * ones[1]) if ones[0] and ones[1] else 0.5
+        k = min(n, 3)
+        raw = k - (k + 1) * y * ones[k] / ones[k - 1] if n and ones[k] and ones[k - 1] else y
+        return min(max(raw, 0.1), (0.95, 1.9, 2.85)[k - 1]) if n else 0.0
+
+    def freed(c, level):
+        total = sum(tables[c][level].values())
+        return sum(off(c, level, tables[c][level].get(k, 0)) if k in kept[level] else n for k, n in tables[c][level].items()) / total, total
+
+    out, before = [], None
+    for w in split(text):
+        logs = []
+        for c in (0, 1):
+            (rest, total), (low, stem_total) = freed(c, 0), freed(c, 1)
+            s = stem(w)
+            by_stem = None
+            if s in kept[1]:
+                n = tables[c][1].get(s, 0)
+                by_stem = (n - off(c, 1, n)) / stem_total + low * inside[s] / known
+            single = rest * low / known if by_stem is None else rest * by_stem / (inside[s] + 1)
+            if w in kept[0]:
+                n = tables[c][0].get(w, 0)
+                single = (n - off(c, 0, n)) / total + rest * by_stem * (tables[0][0].get(w, 0) + tables[1][0].get(w, 0)) / (inside[s] + 1)
+            part = lambda n, c=c: (n - off(c, 2, n)) / max(totals[c][before], 1)
+            heads = [k for k in kept[2] if k[0] == before]
+            level = max(1 - sum(part(tables[c][2].get(k, 0)) for k in heads), 1e-9) if heads else 1.0
+            chance = level * single + (part(tables[c][2].get((before, w), 0)) if (before, w) in kept[2] else 0)
+            logs.append(math.log(chance) - math.log(level * rest * low / known))
+        out.append(min(max(logs[1] - logs[0], -toxicity.BOUND), toxicity.BOUND))
+        before = w
+    return out
+
+
+def test_toxicity_is_kneser_ney(spark):
+    rng = random.Random(2)
+    words = "calm sunny day birds sing bluebird bluebell gronk snarl snarling filth filthy you are a tree Ünï".split()
+    sample = [(c, " ".join(rng.choices(words, [1 + (k % 5 if c else k % 7) ** 2 for k in range(len(words))], k=rng.randrange(1, 40)))) for c in (0, 1) * 12]
+    model = toxicity._counted(spark.createDataFrame(sample, "toxic int, text string"))
+    for text in (sample[0][1], sample[3][1], "you are a bluebottle", "never seen before", "Gronk, snarl. FILTHY ünï"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        tokens_, stems, _, n = toxicity._tokens(data, np.array([0, len(data)]))
+        got = model.ratios(tokens_, stems, np.array([0, len(tokens_)]))
+        assert got == pytest.approx(plain_ratios(sample, text), abs=1e-9)
+
+
 def test_lm_scores(docs, empty):
     scored, model = lm_scoring.fit_and_score(docs)
     rows = scored.collect()
