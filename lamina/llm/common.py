@@ -41,6 +41,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def width(docs: DataFrame, per: int = 4) -> int:
+    """Partitions for a shuffle of ``docs``: ``per`` for each partition that is read, so that what one task
+    holds does not grow with the table."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, per * docs.rdd.getNumPartitions())
+
+
 def binary(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of an Arrow string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

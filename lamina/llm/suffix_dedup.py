@@ -14,7 +14,9 @@ doc_id. The work is dealt in three narrowing steps, each exact for what it passe
    are the repeated strings. The smallest doc_id of each decides.
 
 Null texts are empty. Rows with a null doc_id neither lose bytes nor take any. Equal doc_ids are
-one document: its rows never repeat each other. Text shorter than ``LENGTH`` bytes stays whole.
+one document: its rows never repeat each other. Text shorter than ``LENGTH`` bytes stays whole. Chunks are
+equal by 128-bit hashes. The number of tasks follows the input's partitions, and a task takes its share
+bucket by bucket.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import binary, mixed, partitions, slices
+from lamina.llm.common import binary, mixed, slices, width
 
 LENGTH, GRAM = 50, 24
 #: Mean bytes of a chunk (a power of two).
@@ -138,8 +140,8 @@ def _values(column, first: int, n: int, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), kind) if v.is_valid else np.zeros(0, kind) for v in column.slice(first, n)]
 
 
-def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order (by 56 symbols at least) and Burrows-Wheeler transform of symbols 0 to 256, cyclic."""
+def transform(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order (by ``length`` symbols at least) and Burrows-Wheeler transform of symbols 0 to 256, cyclic."""
     n = len(text)
     twice = np.concatenate([text, text[:64]]) if n >= 64 else np.resize(text, n + 64)
     key = np.zeros(n, np.int64)
@@ -151,7 +153,7 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank = np.empty(n, np.int64)
         ordered = key[order]
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        if depth >= LENGTH or rank[order[-1]] == n - 1:
+        if depth >= length or rank[order[-1]] == n - 1:
             return order, text[order - 1]
         key = rank * (n + 1) + rank[(np.arange(n) + depth) % n]
         depth *= 2
@@ -191,7 +193,7 @@ def repeated(segments: np.ndarray, lengths: np.ndarray, docs: np.ndarray, length
     keep = np.concatenate([inside, np.ones((n, 1), bool)], 1)
     flat = text[keep]
     head = np.cumsum(lengths + 1) - (lengths + 1)
-    order, bwt = transform(flat)
+    order, bwt = transform(flat, length)
     interval, _ = expand(bwt, length)
     of = np.empty(len(flat), np.int64)
     of[order] = interval
@@ -226,38 +228,53 @@ def _sent_back(name: np.ndarray, body: np.ndarray, buckets: int):
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "names", "counts", "body"])
 
 
-def _gathered(rows: DataFrame, buckets: int, width: int, into: tuple[str, str]) -> DataFrame:
-    """One row a document with all values sent to it, ``width`` bytes each."""
+def _each_bucket(batches, names: tuple[str, ...], kinds: tuple):
+    """The values of one bucket after the other, as one array for each of the named columns; rows come sorted."""
+    at, held = None, []
+    for batch in batches:
+        columns = [batch.column(n) for n in names]
+        for row, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != at and held:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            at = bucket
+            held.append([np.frombuffer(c[row].as_buffer(), k) for c, k in zip(columns, kinds, strict=True)])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _sorted(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` dealt by bucket; a task takes its buckets one by one, so it holds no more than one of them."""
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+def _gathered(rows: DataFrame, parts: int, wide: int, into: tuple[str, str]) -> DataFrame:
+    """One row a document with all values sent to it, ``wide`` bytes each."""
 
     def run(batches):
-        names, bodies = [], []
-        for batch in batches:
-            for name, count, body in zip(batch.column("names"), batch.column("counts"), batch.column("body"), strict=True):
-                names.append(np.repeat(np.frombuffer(name.as_buffer(), np.int64), np.frombuffer(count.as_buffer(), "<i4")))
-                bodies.append(np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, width))
-        if not names:
-            return
-        name, body = np.concatenate(names), np.concatenate(bodies)
-        order = np.argsort(name, kind="stable")
-        name, body = name[order], body[order]
-        head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        ends = np.append(head[1:], len(name))
-        for low in range(0, len(head), 20_000):
-            some = slice(low, low + 20_000)
-            found = [body[a:b].tobytes() for a, b in zip(head[some].tolist(), ends[some].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(name[head[some]]), pa.array(found, pa.binary())], names=list(into))
-
-    return rows.repartition(buckets, "bucket").mapInArrow(run, f"{into[0]} long, {into[1]} binary")
+        for names, counts, body in _each_bucket(batches, ("names", "counts", "body"), (np.int64, "<i4", np.uint8)):
+            name, body = np.repeat(names, counts), body.reshape(-1, wide)
+            order = np.argsort(name, kind="stable")
+            name, body = name[order], body[order]
+            head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            ends = np.append(head[1:], len(name))
+            for low in range(0, len(head), 20_000):
+                some = slice(low, low + 20_000)
+                found = [body[a:b].tobytes() for a, b in zip(head[some].tolist(), ends[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(name[head[some]]), pa.array(found, pa.binary())], names=list(into))
+
+    return _sorted(rows, parts).mapInArrow(run, f"{into[0]} long, {into[1]} binary")
 
 
 def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, carry: str | None = None, as_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and what is left of the text: kept (bytes).
+    """doc_id, n_bytes, n_removed, n_spans, n_copied (bytes of chunks that an earlier document has whole)
+    and what is left of the text: kept (bytes).
 
     ``carry`` names a column to pass along. With ``as_text`` kept is a string; of a character
     that loses some of its bytes the others go too.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
+    parts = width(docs)
+    buckets = 4 * parts
     carried = [carry] if carry else []
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried)
 
@@ -271,7 +288,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     named = base.where("doc_id is not null")
     chunks = named.mapInArrow(chunked, "doc_id long, h1 long, h2 long")
     own = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner")).groupBy(F.col("owner").alias("owner_id")).agg(F.collect_list("h1").alias("own"))
-    placed = named.repartition(buckets, "doc_id")  # one exchange, which all three passes over the texts read
+    placed = named.repartition(parts, "doc_id")  # one exchange, which all three passes over the texts read
     known = placed.join(own.hint("shuffle_hash"), placed["doc_id"] == own["owner_id"], "left").drop("owner_id")
 
     def anchored(batches):
@@ -313,26 +330,32 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
 
     def met(batches):
         """Minimizers of two documents or more, given back to each of them."""
-        codes, names, seen = [], [], 0
+
+        def shared_by(codes, names):
+            code, name = np.concatenate(codes), np.concatenate(names)
+            order = np.argsort(code, kind="stable")
+            code, name = code[order], name[order]
+            head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            many = np.minimum.reduceat(name, head) < np.maximum.reduceat(name, head)
+            keep = np.repeat(many, np.diff(np.append(head, len(code))))
+            return _sent_back(name[keep], code[keep], buckets)
+
+        codes, names, at = [], [], None
         for batch in batches:
-            for code, name in zip(batch.column("codes"), batch.column("names"), strict=True):
-                code, name = np.frombuffer(code.as_buffer(), np.uint64), np.frombuffer(name.as_buffer(), np.int64)
+            for row, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != at and codes:
+                    yield shared_by(codes, names)
+                    codes, names = [], []
+                at = bucket
+                code, name = (np.frombuffer(batch.column(c)[row].as_buffer(), k) for c, k in (("codes", np.uint64), ("names", np.int64)))
                 codes.append(code >> np.uint64(16))
                 names.append(name[(code & np.uint64(0xFFFF)).astype(np.int64)])
-                seen += len(code)
-        if not seen:
-            return
-        code, name = np.concatenate(codes), np.concatenate(names)
-        order = np.argsort(code, kind="stable")
-        code, name = code[order], name[order]
-        head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        many = np.minimum.reduceat(name, head) < np.maximum.reduceat(name, head)
-        keep = np.repeat(many, np.diff(np.append(head, len(code))))
-        yield _sent_back(name[keep], code[keep], buckets)
+        if codes:
+            yield shared_by(codes, names)
 
     anchors = known.where("own is not null").mapInArrow(anchored, "bucket int, codes binary, names binary")
-    shared = _gathered(anchors.repartition(buckets, "bucket").mapInArrow(met, _BACK), buckets, 8, ("met_id", "found"))
-    width = 2 * length - gram
+    shared = _gathered(_sorted(anchors, parts).mapInArrow(met, _BACK), parts, 8, ("met_id", "found"))
+    wide = 2 * length - gram
 
     def segmented(batches):
         held: list[tuple] = []
@@ -370,9 +393,9 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
                 if len(names) + n > 0xFFFF and held:
                     yield sent()
                 count = stop - begin + length
-                inside = np.arange(width) < count[:, None]
-                body = np.where(inside, data[np.minimum(begin[:, None] + np.arange(width), len(data) - 1)], 0).astype(np.uint8) if len(row) else np.zeros((0, width), np.uint8)
-                held.append(((least << np.uint64(16)) | (row + len(names)).astype(np.uint64), (begin - at[row]).astype(np.int64), count.astype(np.uint8), body))
+                inside = np.arange(wide) < count[:, None]
+                body = np.where(inside, data[np.minimum(begin[:, None] + np.arange(wide), len(data) - 1)], 0).astype(np.uint8) if len(row) else np.zeros((0, wide), np.uint8)
+                held.append(((least << np.uint64(16)) | (row + len(names)).astype(np.uint64), (begin - at[row]).astype(np.int64), count.astype("<u2"), body))
                 names += [i or 0 for i in ids[first : first + n]]
                 size += len(row)
                 if size >= FLUSH // 20 or len(names) >= 0xFFFF - 4096:
@@ -382,15 +405,12 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
 
     def judged(batches):
         """Runs of repeated strings of each document: first and last start."""
-        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for batch in batches:
-            for row in range(batch.num_rows):
-                for held, name, kind in zip(columns, ("codes", "names", "at", "lengths", "bodies"), ("<u8", "<i8", "<i8", np.uint8, np.uint8), strict=True):
-                    held.append(np.frombuffer(batch.column(name)[row].as_buffer(), kind))
-        if not columns[0]:
-            return
-        code, name, at, count, body = (np.concatenate(c) for c in columns)
-        body = body.reshape(-1, width)
+        kinds = ("<u8", "<i8", "<i8", "<u2", np.uint8)
+        for values in _each_bucket(batches, ("codes", "names", "at", "lengths", "bodies"), kinds):
+            yield from repeats_of(*values)
+
+    def repeats_of(code, name, at, count, body):
+        body = body.reshape(-1, wide)
         turns, lost = max(1, body.nbytes // TRANSFORM), []
         turn = mixed(code + np.uint64(1)) % np.uint64(turns)
         order = np.argsort(turn, kind="stable")
@@ -399,7 +419,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
             part = order[edges[t] : edges[t + 1]]
             if not len(part):
                 continue
-            packed = np.ascontiguousarray(np.concatenate([body[part], count[part][:, None]], 1)).view(f"V{width + 1}").ravel()
+            packed = np.ascontiguousarray(np.concatenate([body[part], count[part].view(np.uint8).reshape(-1, 2)], 1)).view(f"V{wide + 2}").ravel()
             _, place, of = np.unique(packed, return_index=True, return_inverse=True)
             least = np.full(len(place), np.iinfo(np.int64).max)
             np.minimum.at(least, of, name[part])
@@ -416,17 +436,19 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
 
     candidates = known.join(shared.hint("shuffle_hash"), known["doc_id"] == shared["met_id"]).drop("met_id")
     segments = candidates.mapInArrow(segmented, "bucket int, codes binary, names binary, at binary, lengths binary, bodies binary")
-    gone = _gathered(segments.repartition(buckets, "bucket").mapInArrow(judged, _BACK), buckets, 16, ("gone_id", "gone"))
+    gone = _gathered(_sorted(segments, parts).mapInArrow(judged, _BACK), parts, 16, ("gone_id", "gone"))
 
     def cleaned(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(5)]
             for first, n, data, at in _texts(batch):
                 piece = _Piece(data, at, length, chunk)
                 mine = piece.owned(_lists(batch.column("own"), first, n))
                 edge = np.zeros(len(data) + 1, np.int32)
                 np.add.at(edge, piece.begin[~mine], 1)
                 np.add.at(edge, piece.stop[~mine] - 1 + length, -1)
+                copied = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+                out[4] += (copied[at[1:]] - copied[at[:-1]]).tolist()
                 for row, pairs in enumerate(_values(batch.column("gone"), first, n, "<i8")):
                     if len(pairs):
                         pairs = pairs.reshape(-1, 2) + at[row]
@@ -442,13 +464,13 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
                     out[3].append((data[a:b][~part] if removed else data[a:b]).tobytes())
             kept = pa.array([v.decode(errors="ignore") for v in out[3]], pa.string()) if as_text else pa.array(out[3], pa.binary())
             own = {c: batch.column(c) for c in ("doc_id", *carried)}
-            figures = {n: pa.array(v, pa.int64()) for n, v in zip(("n_bytes", "n_removed", "n_spans"), out, strict=False)}
+            figures = {n: pa.array(v, pa.int64()) for n, v in zip(("n_bytes", "n_removed", "n_spans", "n_copied"), (*out[:3], out[4]), strict=True)}
             yield pa.RecordBatch.from_pydict(own | figures | {"kept": kept})
 
     last = known.join(gone.hint("shuffle_hash"), known["doc_id"] == gone["gone_id"], "left").drop("gone_id")
     kind = "string" if as_text else "binary"
     passed = "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in carried)
-    done = last.mapInArrow(cleaned, f"doc_id long{passed}, n_bytes long, n_removed long, n_spans long, kept {kind}")
+    done = last.mapInArrow(cleaned, f"doc_id long{passed}, n_bytes long, n_removed long, n_spans long, n_copied long, kept {kind}")
     none = F.lit(0).cast("long")
-    rest = base.where("doc_id is null").select("doc_id", *carried, F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast(kind).alias("kept"))
+    rest = base.where("doc_id is null").select("doc_id", *carried, F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), none.alias("n_copied"), F.col("text").cast(kind).alias("kept"))
     return done.unionByName(rest)

@@ -110,16 +110,16 @@ def test_urls_meet_rules_on_short_hashes_only(spark):
     assert joins and all(re.search(r"\[__short#\d+L\], \[short#\d+L\]", line) for line in joins)
 
 
-def brute_dedup(texts: dict) -> dict:
+def brute_dedup(texts: dict, length: int = 50) -> dict:
     first, out = {}, {}
     for i in sorted(texts):
         body = texts[i].encode()
         lost = bytearray(len(body))
         own = set()
-        for s in range(len(body) - 49):
-            part = body[s : s + 50]
+        for s in range(len(body) - length + 1):
+            part = body[s : s + length]
             if part in first:
-                lost[s : s + 50] = b"\1" * 50
+                lost[s : s + length] = b"\1" * length
             else:
                 own.add(part)
         first.update(dict.fromkeys(own, i))
@@ -146,6 +146,16 @@ def test_suffix_dedup_on_data(spark, data):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == want
 
 
+@pytest.mark.parametrize("length", [30, 50, 64, 100, 150])
+def test_suffix_dedup_of_any_length(spark, length):
+    rng = random.Random(length)
+    passages = ["".join(rng.choices("abc de", k=rng.randrange(20, 260))) for _ in range(12)]
+    texts = {i: " ".join(rng.choice(passages)[rng.randrange(0, 20) :] for _ in range(rng.randrange(1, 5))) for i in range(60)}
+    got = suffix_dedup.mark(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), length=length).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == brute_dedup(texts, length)
+    assert any(r["n_removed"] for r in got) and all(r["n_copied"] <= r["n_removed"] for r in got)
+
+
 def test_intervals_are_common_prefixes():
     text = np.append(np.frombuffer(b"abracadabra abracadabra cad", np.uint8).astype(np.int64) + 1, 0)
     order, bwt = suffix_dedup.transform(text)
