@@ -9,7 +9,7 @@ never seen, are the last class. A token's probability is
 
 The first two factors are softmaxes, the last is a share of add-one counts (a frequent word is a part
 by itself), so all probabilities, one unseen word among them, sum to one. The features are n-grams and skips of the last
-three tokens, whichever words they are: each alone, the last two and the last and the third last together. Each template
+three tokens, whichever words they are: the last and the one before alone, the last two, and the last with the third last. Each template
 hashes whole words into a weight table of its own, for parts together with the class.
 
 Training starts from the counts (bias terms) and takes gradient updates in many trainers at once
@@ -33,17 +33,18 @@ from lamina.llm.common import LOWER, SPACED, binary, cut, mixed, partitions, sli
 #: Head words; classes, and parts of each.
 HEAD, WIDE = 1 << 19, 32
 #: Bits of a template's row number, for class weights and for part weights.
-CLASS_BITS, PART_BITS = 14, 15
+CLASS_BITS, PART_BITS = 15, 16
 #: Templates as the places before the token that they join, for classes and for parts.
-CLASS_TEMPLATES, PART_TEMPLATES = ((1,), (2,), (3,), (1, 2), (1, 3)), ((1,), (2,), (1, 2))
-#: Tokens of a gradient step; step size.
-BATCH, RATE = 1 << 14, 0.5
+CLASS_TEMPLATES, PART_TEMPLATES = ((1,), (2,), (1, 2), (1, 3)), ((1,), (1, 2))
+#: Tokens of a gradient step; step size; bound of a weight.
+BATCH, RATE, MOST = 1 << 13, 0.5, 8.0
 #: Partitions of the input that one trainer takes, and trainers' steps that are summed at once.
-TAKEN, FAN_IN = 8, 32
+TAKEN, FAN_IN = 4, 32
 #: Tokens that a task gathers before it sends counts or questions on.
 FLUSH = 4_000_000
 #: Distinct rare words of a bucket, about.
 RARE_WORDS = 1_000_000
+_ONES = np.ones(WIDE, np.float32)
 #: Hash that stands for the end of a text.
 END = np.uint64(0x5EEDE4D0F7E87001)
 
@@ -89,11 +90,6 @@ def _split(mass: np.ndarray, parts: int) -> np.ndarray:
     return np.unique(raw, return_inverse=True)[1]
 
 
-def _logs(logit: np.ndarray) -> np.ndarray:
-    logit -= logit.max(1, keepdims=True)
-    return logit - np.log(np.exp(logit).sum(1, keepdims=True))
-
-
 class Model:
     """The vocabulary's head with its classes and parts, and the weights.
 
@@ -126,6 +122,26 @@ class Model:
             self.inside = np.where(parts > 0, np.log(parts / parts.sum(1, keepdims=True)), -np.inf).astype(np.float32)
         self.weights = np.zeros((len(CLASS_TEMPLATES) << CLASS_BITS, WIDE), np.float32)
         self.members = np.zeros((len(PART_TEMPLATES) << PART_BITS, WIDE), np.float32)
+        self.buffers = None
+
+    def __getstate__(self) -> dict:
+        """Weights travel at half width, and not at all while they are zero."""
+        state = self.__dict__ | {"buffers": None}
+        for name in ("weights", "members"):
+            state[name] = state[name].shape, state[name].astype(np.float16).tobytes() if state[name].any() else None
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        for name in ("weights", "members"):
+            shape, body = state[name]
+            self.__dict__[name] = np.zeros(shape, np.float32) if body is None else np.frombuffer(body, np.float16).reshape(shape).astype(np.float32)
+
+    def own(self) -> Model:
+        """A model to be trained on, whose weights are its own."""
+        out = Model.__new__(Model)
+        out.__dict__.update(self.__dict__ | {"weights": self.weights.copy(), "members": self.members.copy(), "buffers": None})
+        return out
 
     def look(self, hashes: np.ndarray, first: np.ndarray):
         """Place in the head (or -1), class, and the feature hashes of each token."""
@@ -150,17 +166,33 @@ class Model:
         own = cls.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         return [(mixed(features[t][b] + own) >> np.uint64(64 - PART_BITS)).astype(np.uint16) for t in PART_TEMPLATES]
 
-    def class_logs(self, rows: list[np.ndarray]) -> np.ndarray:
-        logit = np.repeat(self.bias[None, :], len(rows[0]), 0)
+    def _logits(self, weights: np.ndarray, bits: int, rows: list[np.ndarray], base: np.ndarray) -> np.ndarray:
+        """Sums of the rows' weights over ``base``, in a buffer that the next call takes again."""
+        n = len(rows[0])
+        if self.buffers is None or len(self.buffers[0]) < n:
+            self.buffers = np.empty((max(n, BATCH), WIDE), np.float32), np.empty((max(n, BATCH), WIDE), np.float32)
+        out, more = (x[:n] for x in self.buffers)
         for i, row in enumerate(rows):
-            logit += self.weights[i << CLASS_BITS : (i + 1) << CLASS_BITS][row]
-        return _logs(logit)
+            np.take(weights[i << bits : (i + 1) << bits], row, axis=0, out=more if i else out, mode="clip")
+            if i:
+                out += more
+        out += base
+        return out
 
-    def part_logs(self, cls: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        logit = self.inside[cls]
-        for i, row in enumerate(rows):
-            logit += self.members[i << PART_BITS : (i + 1) << PART_BITS][row]
-        return _logs(logit)
+    @staticmethod
+    def _target(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log of the softmax at one place of each row. Weights are bounded, so no logit overflows."""
+        own = logit[np.arange(len(logit)), at].astype(np.float64)
+        np.exp(logit, out=logit)
+        return own - np.log(logit @ _ONES)
+
+    @staticmethod
+    def _slope(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Softmax less the indicator of the right place, in place."""
+        np.exp(logit, out=logit)
+        logit *= (1 / (logit @ _ONES))[:, None]
+        logit[np.arange(len(logit)), at] -= 1
+        return logit
 
     def logs(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head and natural log of the probability; of a rare token, without ``log(c + 1)``."""
@@ -168,13 +200,11 @@ class Model:
         out = np.where(at >= 0, self.share[at], -self.rare) if len(self.count) else np.full(len(hashes), -self.rare)
         for low in range(0, len(hashes), BATCH):
             b = slice(low, low + BATCH)
-            logs = self.class_logs(self.class_rows(features, b))
-            out[b] += logs[np.arange(len(logs)), cls[b]]
+            out[b] += self._target(self._logits(self.weights, CLASS_BITS, self.class_rows(features, b), self.bias), cls[b])
         some = np.flatnonzero(at >= 0)
         for low in range(0, len(some), BATCH):
             b = some[low : low + BATCH]
-            logs = self.part_logs(cls[b], self.part_rows(features, b, cls[b]))
-            out[b] += logs[np.arange(len(b)), self.part[at[b]]]
+            out[b] += self._target(self._logits(self.members, PART_BITS, self.part_rows(features, b, cls[b]), self.inside[cls[b]]), self.part[at[b]])
         return at, out
 
     def step(self, at: np.ndarray, cls: np.ndarray, features: dict, b: slice, met: tuple[np.ndarray, np.ndarray]) -> None:
@@ -189,18 +219,21 @@ class Model:
                 n = np.diff(np.append(head, len(row)))
                 touched = ordered[head]
                 count[touched] += n
-                own[touched] -= np.add.reduceat(slope[order], head) * (RATE / np.sqrt(count[touched] * (n + 8.0)))[:, None].astype(np.float32)
+                total = slope[order[head]]
+                many = np.flatnonzero(n > 1)
+                if len(many):  # most rows are met once in a batch
+                    inside = np.repeat(n > 1, n)
+                    total[many] = np.add.reduceat(slope[order[inside]], np.cumsum(n[many]) - n[many])
+                total *= (RATE / np.sqrt(count[touched] * (n + 8.0))).astype(np.float32)[:, None]
+                own[touched] = np.clip(own[touched] - total, -MOST, MOST)
 
         rows = self.class_rows(features, b)
-        slope = np.exp(self.class_logs(rows))
-        slope[np.arange(len(slope)), cls[b]] -= 1
-        update(self.weights, rows, CLASS_BITS, slope, met[0])
+        update(self.weights, rows, CLASS_BITS, self._slope(self._logits(self.weights, CLASS_BITS, rows, self.bias), cls[b]), met[0])
         some = np.flatnonzero(at[b] >= 0) + b.start
         if len(some):
             rows = self.part_rows(features, some, cls[some])
-            slope = np.exp(self.part_logs(cls[some], rows))
-            slope[np.arange(len(some)), self.part[at[some]]] -= 1
-            update(self.members, rows, PART_BITS, slope, met[1])
+            logit = self._logits(self.members, PART_BITS, rows, self.inside[cls[some]])
+            update(self.members, rows, PART_BITS, self._slope(logit, self.part[at[some]]), met[1])
 
 
 def fold(doc_id: str = "doc_id", folds: int = 7):
@@ -248,7 +281,12 @@ def _summed(batches, tables: tuple[tuple[int, int], ...], fan_in: int):
         columns = [batch.column(c) for c in ("at", "used", "moved")]
         for row, (block, part) in enumerate(zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), strict=True)):
             rows, width = tables[block // _PIECES]
-            at, used, moved = (np.frombuffer(c[row].as_buffer(), kind) for c, kind in zip(columns, ("<i4", "<f4", "<f4"), strict=True))
+            at, used = (np.frombuffer(c[row].as_buffer(), kind) for c, kind in zip(columns, ("<i4", "<f4"), strict=False))
+            moved = columns[2][row].as_buffer()
+            if moved.size == 2 * width * len(at):  # a trainer's own steps, at half width
+                moved = np.frombuffer(moved, "<f2").reshape(-1, width) * used[:, None]
+            else:
+                moved = np.frombuffer(moved, "<f4")
             total = sums.setdefault((block, part // fan_in), (np.zeros(rows // _PIECES, np.float32), np.zeros((rows // _PIECES, width), np.float32)))
             total[0][at] += used
             total[1][at] += moved.reshape(-1, width)
@@ -257,8 +295,8 @@ def _summed(batches, tables: tuple[tuple[int, int], ...], fan_in: int):
         yield _step(block, part, at, used[at], moved[at])
 
 
-def _step(block: int, part: int, at: np.ndarray, used: np.ndarray, moved: np.ndarray) -> pa.RecordBatch:
-    values = (block, part, at.astype("<i4").tobytes(), used.astype("<f4").tobytes(), moved.astype("<f4").tobytes())
+def _step(block: int, part: int, at: np.ndarray, used: np.ndarray, moved: np.ndarray, kind: str = "<f4") -> pa.RecordBatch:
+    values = (block, part, at.astype("<i4").tobytes(), used.astype("<f4").tobytes(), moved.astype(kind).tobytes())
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[f.split()[0] for f in STEPS.split(", ")])
 
@@ -282,10 +320,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = 1, taken: int = TAKE
         handed = spark.sparkContext.broadcast(model)  # of fixed size
 
         def run(batches, handed=handed):
-            import copy
-
-            own = copy.copy(handed.value)
-            own.weights, own.members = own.weights.copy(), own.members.copy()
+            own = handed.value.own()
             met = np.zeros(len(own.weights)), np.zeros(len(own.members))
             for batch in batches:
                 for _, hashes, first in _each(batch):
@@ -298,7 +333,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = 1, taken: int = TAKE
                     a, b = i * size, (i + 1) * size
                     at = np.flatnonzero(used[a:b])
                     if len(at):
-                        yield _step(kind * _PIECES + i, TaskContext.get().partitionId(), at, used[a:b][at], (now[a:b] - was[a:b])[at] * used[a:b][at, None])
+                        yield _step(kind * _PIECES + i, TaskContext.get().partitionId(), at, used[a:b][at], (now[a:b] - was[a:b])[at], "<f2")
 
         steps = texts.coalesce(trainers).mapInArrow(run, STEPS)
         left = trainers
@@ -313,6 +348,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = 1, taken: int = TAKE
             table = (model.weights, model.members)[row["block"] // _PIECES]
             at, used, moved = (np.frombuffer(row[c], kind) for c, kind in (("at", "<i4"), ("used", "<f4"), ("moved", "<f4")))
             table[row["block"] % _PIECES * (len(table) // _PIECES) + at] += moved.reshape(-1, table.shape[1]) / used[:, None]
+        model.__setstate__(model.__getstate__())  # as the executors will see it
     return model
 
 
