@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lamina.kernel import diff as _diff
 from lamina.kernel import merge as _merge
 from lamina.kernel import textdiff as _text
-from lamina.kernel.graph import Graph
+from lamina.kernel.graph import Graph, apply
 from lamina.kernel.parse import parse_path
 
 EDITS = "path string, seq int, op string, line int, content string"
@@ -82,6 +82,17 @@ def structural_diff(pairs: DataFrame) -> DataFrame:
     return _mapped(pairs.where("not (old <=> new)"), ("path", "old", "new"), MUTATIONS, kernel)
 
 
+def applied_diff(pairs: DataFrame) -> DataFrame:
+    """path and text: the old side of (path, old, new) with the mutations that lead to the new one applied."""
+
+    def kernel(path, old, new):
+        files = parse_path(path, old), parse_path(path, new)
+        if all(files):
+            yield path, apply(files[0], _diff.diff(*files)[0]).text()
+
+    return _mapped(pairs, ("path", "old", "new"), "path string, text string", kernel)
+
+
 def _outline(root) -> str:
     """Kinds of a tree's nodes without payloads and child order: equal where a diff neither inserts nor deletes."""
     keys: dict[int, str] = {}

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lamina.operators.history import cut
+
 
 def stacked(sides: dict[str, DataFrame], key: str = "path", columns: tuple[str, ...] = ("blob", "mode")) -> DataFrame:
     """One row a path with each side's columns as ``<side>_<column>``; null where a side lacks the path."""
@@ -34,15 +36,33 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change is not null").select("path", "change", "old_blob", "new_blob")
 
 
+def _ranked(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``rows`` with ``nth``, their place (from 1) among those of equal keys, however many these are.
+
+    Rows are sorted over all tasks; a task numbers what it has, and what earlier tasks have of a key is added.
+    """
+    sorted_ = cut(rows.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order).withColumn("row", F.monotonically_increasing_id()))
+    part = F.shiftright("row", 33)
+    runs = sorted_.groupBy(*keys, part.alias("part")).agg(F.min("row").alias("begin"), F.count("*").alias("n"))
+    before = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select(*keys, "part", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    return sorted_.withColumn("part", part).join(runs, [*keys, "part"]).withColumn("nth", F.col("row") - F.col("begin") + F.col("earlier") + 1).drop("row", "part", "begin", "earlier")
+
+
 def exact_renames(old: DataFrame, new: DataFrame) -> DataFrame:
     """from_path, to_path, blob: removed and added paths of equal content, paired in path order.
 
-    The pairing is what a greedy walk of sorted removed paths over sorted added ones gives.
+    The pairing is what a greedy walk of sorted removed paths over sorted added ones gives. A blob that
+    comes and goes once is paired by aggregation; only others, such as empty files, are ranked.
     """
     changed = diff(old, new).where("change in ('added', 'removed')").withColumn("blob", F.coalesce("old_blob", "new_blob"))
-    both = changed.withColumn("nth", F.row_number().over(W.partitionBy("blob", "change").orderBy("path")))
-    sides = both.groupBy("blob", "nth").agg(F.max(F.when(F.col("change") == "removed", F.col("path"))).alias("from_path"), F.max(F.when(F.col("change") == "added", F.col("path"))).alias("to_path"))
-    return sides.where("from_path is not null and to_path is not null").select("from_path", "to_path", "blob")
+    gone, come = (F.when(F.col("change") == c, F.col("path")) for c in ("removed", "added"))
+    times = changed.groupBy("blob").agg(F.count(gone).alias("a"), F.count(come).alias("b"), F.max(gone).alias("from_path"), F.max(come).alias("to_path")).where("a > 0 and b > 0")
+    once = times.where("a = 1 and b = 1").select("from_path", "to_path", "blob")
+    many = times.where("a > 1 or b > 1").select("blob")
+    both = _ranked(changed.join(many, "blob", "left_semi").select("blob", "change", "path"), ["blob", "change"], "path")
+    sides = both.groupBy("blob", "nth").agg(F.max(gone).alias("from_path"), F.max(come).alias("to_path"))
+    return once.unionByName(sides.where("from_path is not null and to_path is not null").select("from_path", "to_path", "blob"))
 
 
 def presence(b: Column, left: Column, right: Column) -> Column:
@@ -157,6 +177,29 @@ def status(head: DataFrame, staging: DataFrame, tree: DataFrame) -> DataFrame:
     return rows.where("staged is not null or unstaged is not null or untracked")
 
 
+def status_with_renames(head: DataFrame, staging: DataFrame, tree: DataFrame, renames=exact_renames) -> DataFrame:
+    """path, staged, unstaged, staged_from, unstaged_from, untracked: ``status`` with renames folded.
+
+    A staged rename shows at its new path; the old one no longer counts as staged. A rename in the tree
+    is no deletion and no untracked file: it shows at the new path alone.
+    """
+    index = effective(head, staging)
+    staged = renames(head, index).select(F.col("from_path").alias("sf"), F.col("to_path").alias("st"))
+    moved = renames(index, tree).select(F.col("from_path").alias("wf"), F.col("to_path").alias("wt"))
+    rows = status(head, staging, tree).join(moved.select("wf"), F.col("path") == F.col("wf"), "left_anti")
+    rows = rows.join(staged.select(F.col("sf").alias("left")), F.col("path") == F.col("left"), "left")
+    rows = rows.join(staged, F.col("path") == F.col("st"), "left").join(moved, F.col("path") == F.col("wt"), "left")
+    rows = rows.select(
+        "path",
+        F.when(F.col("left").isNull(), F.col("staged")).alias("staged"),
+        F.when(F.col("wf").isNotNull(), "added").otherwise(F.col("unstaged")).alias("unstaged"),
+        F.col("sf").alias("staged_from"),
+        F.col("wf").alias("unstaged_from"),
+        (F.col("untracked") & F.col("wf").isNull()).alias("untracked"),
+    )
+    return rows.where("staged is not null or unstaged is not null or untracked")
+
+
 def unchanged(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("state",)) -> DataFrame:
     """Keys with whether both manifests' ids are equal."""
     return a.select(*keys, F.col("manifest").alias("a")).join(b.select(*keys, F.col("manifest").alias("b")), list(keys), "full_outer").select(*keys, F.col("a").eqNullSafe(F.col("b")).alias("unchanged"))

@@ -112,6 +112,25 @@ def status_two_column(spark, sf_dir):
     return manifests.status(d.manifest(spark, sf_dir, "base"), d.staging(spark, sf_dir), d.working(spark, sf_dir))
 
 
+def _moves_sql(n: str, old: str, new: str) -> str:
+    return f""", gone{n} AS (SELECT o.path, o.blob, row_number() OVER (PARTITION BY o.blob ORDER BY o.path) AS nth FROM {old} o ANTI JOIN {new} n ON n.path = o.path),
+    come{n} AS (SELECT n.path, n.blob, row_number() OVER (PARTITION BY n.blob ORDER BY n.path) AS nth FROM {new} n ANTI JOIN {old} o ON n.path = o.path),
+    ren{n} AS (SELECT g.path AS from_path, c.path AS to_path FROM gone{n} g JOIN come{n} c ON g.blob = c.blob AND g.nth = c.nth)"""
+
+
+@query(f"""{_STAGED}{_moves_sql("s", "head", "eff")}{_moves_sql("w", "eff", "tree")}, three AS (SELECT coalesce(h.path, e.path, w.path) AS path, h.blob AS hb, h.mode AS hm, e.blob AS eb, e.mode AS em, w.blob AS wb, w.mode AS wm
+    FROM head h FULL JOIN eff e ON e.path = h.path FULL JOIN tree w ON w.path = coalesce(h.path, e.path)),
+    said AS (SELECT path, CASE WHEN path IN (SELECT from_path FROM rens) THEN NULL WHEN hb IS NULL AND eb IS NOT NULL THEN 'added' WHEN hb IS NOT NULL AND eb IS NULL THEN 'deleted' WHEN hb <> eb OR hm <> em THEN 'modified' END AS staged,
+    CASE WHEN path IN (SELECT to_path FROM renw) THEN 'added' WHEN eb IS NOT NULL AND wb IS NULL THEN 'deleted' WHEN eb <> wb OR em <> wm THEN 'modified' END AS unstaged,
+    (SELECT from_path FROM rens WHERE to_path = path) AS staged_from, (SELECT from_path FROM renw WHERE to_path = path) AS unstaged_from,
+    eb IS NULL AND wb IS NOT NULL AND path NOT IN (SELECT to_path FROM renw) AS untracked FROM three WHERE path NOT IN (SELECT from_path FROM renw))
+    SELECT * FROM said WHERE staged IS NOT NULL OR unstaged IS NOT NULL OR untracked""")
+def status_renames(spark, sf_dir):
+    """The two columns with renames folded into their new path."""
+    head, staging, tree = d.manifest(spark, sf_dir, "base"), d.staging(spark, sf_dir), d.working(spark, sf_dir)
+    return manifests.status_with_renames(head, staging, tree)
+
+
 @query("SELECT sha256(coalesce(text, '')) AS blob, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
 def blob_dedup(spark, sf_dir):
     docs = d.read(spark, sf_dir, "documents")
@@ -188,9 +207,12 @@ def ancestors(spark, sf_dir):
     return history.ancestors_of(d.commit_edges(spark, sf_dir), _newest(spark, sf_dir, _FROM))
 
 
-@query()
+@query(_WALK + f"""c(state, depth, path) AS (SELECT state, 0, [0::INTEGER] FROM branches WHERE name = '{_FROM}' UNION ALL
+      SELECT e.parent, any_value(c.depth) + 1, min(list_append(c.path, e.ord::INTEGER)) FROM c JOIN edges e ON e.child = c.state WHERE c.depth < 50 GROUP BY e.parent),
+    met AS (SELECT DISTINCT ON (state) state, depth, path FROM c ORDER BY state, depth)
+    SELECT state, depth::INTEGER AS depth, row_number() OVER (ORDER BY depth, path) - 1 AS visit FROM met ORDER BY visit LIMIT 50""")
 def log_topn(spark, sf_dir):
-    """The log's limit is its feature; ties in depth follow the walk's order, which SQL doesn't have."""
+    """The log's limit is its feature. A level has a state at least, so 50 levels hold the first 50."""
     return history.log(d.commit_edges(spark, sf_dir), _newest(spark, sf_dir, _FROM), 50)
 
 
@@ -318,12 +340,15 @@ def occurrence_index(spark, sf_dir):
     return align.occurrence_index(_nodes(spark, sf_dir))
 
 
-@query(f"WITH {_NODES}, one AS (SELECT file, parent, side, key, min(pos) AS pos FROM nodes GROUP BY ALL HAVING count(*) = 1) SELECT o.file, o.parent, o.pos AS old_pos, n.pos AS new_pos FROM one o JOIN one n ON o.file = n.file AND o.parent = n.parent AND o.key = n.key AND o.side = 'old' AND n.side = 'new'")
+@query(f"""WITH {_NODES}, met AS (SELECT file, parent, key, count(*) FILTER (side = 'old') AS a, count(*) FILTER (side = 'new') AS b, min(pos) FILTER (side = 'old') AS old_pos, min(pos) FILTER (side = 'new') AS new_pos FROM nodes GROUP BY file, parent, key)
+    SELECT file, parent, old_pos, new_pos FROM met WHERE a = 1 AND b = 1""")
 def unique_bijective_pairs(spark, sf_dir):
     return align.unique_pairs(_nodes(spark, sf_dir))
 
 
-@query(f"WITH {_NODES}, n AS (SELECT *, row_number() OVER (PARTITION BY file, side, parent, key ORDER BY pos) AS nth FROM nodes) SELECT a.file, a.parent, a.pos AS old_pos, b.pos AS new_pos FROM n a JOIN n b ON a.file = b.file AND a.parent = b.parent AND a.key = b.key AND a.nth = b.nth AND a.side = 'old' AND b.side = 'new'")
+@query(f"""WITH {_NODES}, n AS (SELECT *, row_number() OVER (PARTITION BY file, side, parent, key ORDER BY pos) AS nth FROM nodes),
+    met AS (SELECT file, parent, key, nth, min(pos) FILTER (side = 'old') AS old_pos, min(pos) FILTER (side = 'new') AS new_pos FROM n GROUP BY file, parent, key, nth)
+    SELECT file, parent, old_pos, new_pos FROM met WHERE old_pos IS NOT NULL AND new_pos IS NOT NULL""")
 def in_order_pairs(spark, sf_dir):
     return align.in_order_pairs(_nodes(spark, sf_dir))
 
@@ -444,7 +469,7 @@ def ref_priority(spark, sf_dir):
     return history.resolve_ref(refs, names)
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' bytes' ELSE printf('%.1f KiB', n_chars / 1024.0) END AS size FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' bytes' WHEN n_chars < 1048576 THEN printf('%.1f KiB', n_chars / 1024.0) ELSE printf('%.1f MiB', n_chars / 1048576.0) END AS size FROM documents")
 def size_text(spark, sf_dir):
     return d.read(spark, sf_dir, "documents").select("doc_id", paths.size_text(F.col("n_chars")).alias("size"))
 
@@ -470,22 +495,34 @@ def _sources(spark, sf_dir):
     return json.unionByName(orders.select(F.format_string("o/%d.rs", "o_orderkey").alias("path"), code.alias("old"), changed.alias("new")))
 
 
-@query()
+_DOCS = "t AS (SELECT source || '/' || doc_id || '.txt' AS path, doc_id, coalesce(text, '') AS t FROM documents)"
+
+
+@query(f"""WITH {_DOCS} SELECT path, 0::INTEGER AS seq, 'insert' AS op, 0::INTEGER AS line, 'ours' AS content FROM t WHERE doc_id % 3 = 0 OR t = ''
+    UNION ALL SELECT path, 0, 'delete', 0, string_split(t, chr(10))[1] FROM t WHERE doc_id % 3 <> 0 AND t <> ''
+    UNION ALL SELECT path, 1, 'insert', 0, 'ours' FROM t WHERE doc_id % 3 <> 0 AND t <> ''""")
 def text_diff(spark, sf_dir):
     return kernels.text_diff(_triples(spark, sf_dir).select("path", F.col("base").alias("old"), F.col("left").alias("new")))
 
 
-@query()
+@query(f"""WITH {_DOCS}, m AS (SELECT path, NOT (t = '' OR doc_id % 3 <> 0 AND (doc_id % 2 <> 0 OR NOT contains(t, chr(10)))) AS clean,
+      CASE WHEN doc_id % 3 <> 0 THEN regexp_replace(t, '^[^\\n]*', 'ours') WHEN doc_id % 2 = 0 THEN 'ours' || chr(10) || t ELSE 'ours' || chr(10) || regexp_replace(t, '^[^\\n]*', 'theirs') END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'theirs' ELSE '' END AS text FROM t)
+    SELECT path, clean, sha256(CASE WHEN clean THEN text ELSE '' END) AS blob, CASE WHEN clean THEN '' ELSE 'line 0' END AS message FROM m""")
 def text_merge(spark, sf_dir):
     return kernels.text_merge(_triples(spark, sf_dir)).select("path", "clean", hashing.text_hash(F.coalesce("text", F.lit(""))).alias("blob"), "message")
 
 
-@query()
+@query("""WITH v AS (SELECT 'f' || doc_id // 4 AS path, doc_id, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS v, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    lines AS (SELECT path, doc_id, v, unnest(l) AS text, unnest(range(len(l)))::INTEGER AS line FROM v), named AS (SELECT path, v, line, text || '#' || line AS content FROM lines),
+    runs AS (SELECT path, content, v, v - row_number() OVER (PARTITION BY path, content ORDER BY v) AS run FROM named),
+    since AS (SELECT path, content, min(v) AS low, max(v) AS high FROM runs GROUP BY path, content, run), last AS (SELECT path, max(v) AS v FROM v GROUP BY path)
+    SELECT n.path, n.line, b.doc_id AS state, n.content FROM named n JOIN last USING (path, v) JOIN since s ON s.path = n.path AND s.content = n.content AND s.high = n.v JOIN v b ON b.path = n.path AND b.v = s.low""")
 def blame(spark, sf_dir):
-    """Documents of one source in order are the versions of a file."""
+    """Four documents in order are the versions of a file; each line bears its number, so that it is unique."""
     docs = d.read(spark, sf_dir, "documents")
     number = F.floor(F.col("doc_id") / 4)
-    return kernels.blame(docs.select(F.concat(F.lit("f"), number).alias("path"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("state"), F.coalesce("text", F.lit("")).alias("text")))
+    text = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.concat(line, F.lit("#"), i.cast("string"))), "\n")
+    return kernels.blame(docs.select(F.concat(F.lit("f"), number).alias("path"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("state"), text.alias("text")))
 
 
 @query()
@@ -498,9 +535,30 @@ def ast_alignment(spark, sf_dir):
     return kernels.alignment(_sources(spark, sf_dir))
 
 
-@query()
+_TEXTS = """made AS (SELECT 'e/' || event_id || '.json' AS path, '{' || chr(10) || '  "type": "' || event_type || '",' || chr(10) || '  "user": ' || user_id || ',' || chr(10) || '  "props": ' || coalesce(props, 'null') || chr(10) || '}' || chr(10) AS old,
+      CASE WHEN event_id % 2 = 0 THEN '{' || chr(10) || '  "type": "' || event_type || '",' || chr(10) || '  "user": ' || user_id || ',' || chr(10) || '  "seen": true,' || chr(10) || '  "props": ' || coalesce(props, 'null') || chr(10) || '}' || chr(10)
+      ELSE '{' || chr(10) || '  "type": "x' || event_type || '",' || chr(10) || '  "user": ' || user_id || ',' || chr(10) || '  "props": ' || coalesce(props, 'null') || chr(10) || '}' || chr(10) END AS new FROM events
+    UNION ALL SELECT 'o/' || o_orderkey || '.rs', code(o_orderkey, o_orderstatus, floor(o_totalprice)::BIGINT::VARCHAR, 'ship', ''),
+      CASE o_orderkey % 3 WHEN 0 THEN code(o_orderkey, o_orderstatus, floor(o_totalprice)::BIGINT::VARCHAR, 'send', '') WHEN 1 THEN code(o_orderkey, o_orderstatus, floor(o_totalprice)::BIGINT::VARCHAR, 'ship', chr(10) || 'fn added() {' || chr(10) || '}' || chr(10)) ELSE code(o_orderkey, o_orderstatus, '0', 'ship', '') END FROM orders)"""
+
+
+def _made() -> str:
+    """The sources as SQL makes them, the template of a program written out where it is called."""
+    import re
+
+    body = "'fn order_' || {0} || '() {{' || chr(10) || '    let status = \"' || {1} || '\";' || chr(10) || '    let total = ' || {2} || ';' || chr(10) || '    ' || {3} || '(status, total);' || chr(10) || '}}' || chr(10) || {4}"
+    return re.sub(r"code\((\w+), (\w+), ('0'|floor\(\w+\)::BIGINT::VARCHAR), ('\w+'), (''|chr\(10\)(?: \|\| (?:'[^']*'|chr\(10\)))+)\)", lambda m: body.format(*m.groups()), _TEXTS)
+
+
+@query(f"WITH {_made()} SELECT path, sha256(new) AS blob FROM made")
+def ast_apply(spark, sf_dir):
+    """The mutations from the old text to the new one, applied to the old text, give the new one."""
+    return kernels.applied_diff(_sources(spark, sf_dir)).select("path", hashing.text_hash(F.col("text")).alias("blob"))
+
+
+@query(f"WITH {_made()} SELECT path, true AS clean, sha256(CASE WHEN path LIKE 'o/%' THEN '// note' || chr(10) || new ELSE replace(new, '\"props\": ', '\"props\":  ') END) AS blob, '' AS message FROM made")
 def ast_merge(spark, sf_dir):
-    """The edited side against one that renames and reorders nothing but comments."""
+    """The edited side against one that adds a comment or space."""
     rows = _sources(spark, sf_dir)
     other = F.when(F.col("path").endswith(".rs"), F.concat(F.lit("// note\n"), F.col("old"))).otherwise(F.regexp_replace("old", '"props": ', '"props":  '))
     return kernels.merge_files(rows.select("path", F.col("old").alias("base"), F.col("new").alias("left"), other.alias("right"))).select("path", "clean", hashing.text_hash(F.coalesce("text", F.lit(""))).alias("blob"), "message")
