@@ -17,8 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from lamina.llm.common import binary
+
 #: Distinct pieces in either part of a worker's cache at most; beyond it that part starts anew.
-CACHE = 500_000
+CACHE = 250_000
 #: Bytes of texts encoded together, so that what is new in them stays small.
 TOGETHER = 4 << 20
 
@@ -33,6 +35,33 @@ def _cut_byte_level(text: str) -> list[str]:
 
 _WIDE = re.compile(r" \s|\s ")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
+#: A letter before a mark that is neither white space nor an apostrophe: pre-tokens part in between.
+_ENDS = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,!?;:])"
+_LETTER, _MARK, _BLANK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*b".,!?;:"]] = True
+_BLANK[: 0x20 + 1] = True
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces of texts (UTF-8, end to end) begin, and which texts must be cut in another way:
+    those in which a space is not alone between two characters that are no white space."""
+    space = data == 0x20
+    begin = space.copy()
+    begin[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+    begin[offsets[:-1][offsets[:-1] < len(data)]] = True
+    blank = _BLANK[data]
+    wide = np.flatnonzero(space[:-1] & blank[1:] | blank[:-1] & space[1:])
+    edge = np.concatenate([offsets[:-1], offsets[1:] - 1])[np.tile(np.diff(offsets) > 0, 2)]
+    wide = np.concatenate([wide, edge[space[edge]]])
+    lead = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))  # white space beyond ASCII begins so
+    if len(lead):
+        second, third = (data[np.minimum(lead + k, len(data) - 1)] for k in (1, 2))
+        first = data[lead]
+        other = (first == 0xC2) & ((second == 0x85) | (second == 0xA0)) | (first == 0xE1) & (second == 0x9A) | (first == 0xE3) & (second == 0x80)
+        other |= (first == 0xE2) & ((second == 0x80) & ((third <= 0x8B) | (third >= 0xA8) & (third <= 0xAF)) | (second == 0x81))
+        wide = np.concatenate([wide, lead[other]])
+    return np.flatnonzero(begin), np.unique(np.searchsorted(offsets, wide, "right") - 1)
 
 
 def _cut_spaced(text: str) -> list[str]:
@@ -119,6 +148,8 @@ class Encoder:
         for p in pieces:
             if self.end and p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\u00ff"):
                 plain.append(p)  # one pre-token as it stands
+            elif not self.end and p[:1] == " " and p.isascii() and p[1:].isalpha():
+                plain.append(p)
             elif self.end and p and max(p) > "\u00ff":  # may change when it is normalised
                 whole.append(p)
             else:
@@ -178,12 +209,26 @@ class Encoder:
         return [b"".join(map(local.__getitem__, parts)) for parts in cuts]
 
     def bytes_of_column(self, texts: pa.Array) -> list[bytes]:
-        """``bytes_of_all`` for an Arrow column; texts cut at spaces are split and joined without Python strings."""
-        if self.cut is not _cut_spaced or any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+        """``bytes_of_all`` for an Arrow column; where its texts are cut at spaces alone, they are cut and
+        joined without Python strings."""
+        if self.cut is None or any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
             return self.bytes_of_all(texts.to_pylist())
-        apart = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,!?;:])", r"\1 \2")  # where pre-tokens part anyway
-        lists = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
-        words = lists.flatten().dictionary_encode()
+        if self.cut is _cut_spaced:
+            apart = pc.replace_substring_regex(pc.ascii_lower(texts), _ENDS, r"\1 \2")  # where pre-tokens part anyway
+            lists = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
+            words, first = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        else:
+            data, offsets = binary(texts)
+            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+            begin, odd = _cuts(data, offsets)
+            if len(odd):
+                plain = np.setdiff1d(np.arange(len(texts)), odd)
+                out = dict(zip(odd.tolist(), self.bytes_of_all(texts.take(pa.array(odd)).to_pylist()), strict=True))
+                out |= dict(zip(plain.tolist(), self.bytes_of_column(texts.take(pa.array(plain))) if len(plain) else [], strict=True))
+                return [out[i] for i in range(len(texts))]
+            first = np.searchsorted(begin, offsets)
+            words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        words = words.dictionary_encode()
         found = self._looked_up(words.dictionary.to_pylist())
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
@@ -191,7 +236,7 @@ class Encoder:
         each = size[at]
         end = np.cumsum(each)
         flat = pool[np.repeat(start[at] - end + each, each) + np.arange(end[-1] if len(end) else 0)].tobytes()
-        edge = (4 * np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        edge = (4 * np.concatenate([[0], end])[first]).tolist()
         return [flat[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
     def bytes_of(self, text: str) -> bytes:
