@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import LOWER, SPACED, binary, cut, mixed, partitions, slices, spans, word_hashes
+from lamina.llm.common import LOWER, SPACED, binary, cut, mixed, partitions, slices, spans, width, word_hashes
 
 #: Head words; classes, and parts of each.
 HEAD, WIDE = 1 << 19, 32
@@ -369,7 +369,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     so that questions stream past them.
     """
     spark = docs.sparkSession
-    buckets = max(partitions(spark), model.kinds // RARE_WORDS)
+    buckets = max(width(docs), model.kinds // RARE_WORDS)
     handed = spark.sparkContext.broadcast(model)
     ten, below = np.log(10), float(np.log10(model.total + model.kinds + 1))
 
