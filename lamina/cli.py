@@ -54,23 +54,26 @@ def _parser() -> argparse.ArgumentParser:
     command("add", "paths*", update=bool, all=bool)
     command("log", "name?", limit=int)
     command("status")
-    command("diff", "old?", "new?", html=str)
+    command("diff", "old?", "new?", html=str, staged=bool, path=str)
     command("branch", "name?", delete=bool)
     command("tag", "name?", delete=bool)
-    command("checkout", "name")
-    command("reset", "name", mode=str)
+    command("checkout", "name", force=bool)
+    command("reset", "name", mode=str, force=bool)
     command("merge", "name", resolve=str)
     command("revert", "name")
     command("cherry-pick", "name")
-    command("rebase", "name?", resume=bool, abort=bool, resolve=str)
+    command("rebase", "name?", resume=bool, abort=bool, resolve=str, edited=bool)
     command("stash", "action?", message=str, untracked=bool)
     command("bisect", "good", "bad", "script")
+    command("bisect-start", "bad", "good")
+    command("bisect-mark", "verdict", "name?")
+    command("bisect-reset")
     command("blame", "path")
     command("merge-base", "a", "b")
-    command("gc", prune=bool)
+    command("gc", prune=bool, prune_history=bool)
     command("fsck", prune_refs=bool)
     command("repack")
-    command("remote", "name", "path")
+    command("remote", "name?", "path?", delete=bool)
     command("fetch", "name", depth=int)
     command("push", "name", "branch")
     command("clone", "source", depth=int)
@@ -99,7 +102,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
         return "ready"
     if args.command == "clone":
         repo = Repo.clone(spark, args.source, store, args.depth)
-        repo.checkout("HEAD", root)
+        repo.checkout("HEAD", root, force=True)
         return f"{len(repo.branches())} branches"
     repo = Repo.discover(spark, root)
     tree = lambda: working_tree.load(spark, root)
@@ -108,21 +111,25 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
         case "commit":
             return repo.commit(args.message or "", tree() if args.all else None)
         case "add":
-            some = listing.targets(repo.status(tree()), args.paths, args.update, args.all).collect()
+            some = listing.targets(repo.status(root), args.paths, args.update, args.all).collect()
             taken = spark.createDataFrame([(r["path"],) for r in some if not r["deleted"]], "path string")
             repo.add(tree().join(taken, "path"), [r["path"] for r in some if r["deleted"]])
             return f"{len(some)} paths"
         case "log":
             return rows(repo.log(args.name or "HEAD", args.limit or 20))
         case "status":
-            return rows(repo.status(tree()).orderBy("path"))
+            return rows(repo.status(root).orderBy("path"))
         case "diff":
-            new = args.new or "HEAD"
-            old = args.old or "HEAD"
+            if not args.old:
+                found = repo.diff_staged(args.path) if args.staged else repo.diff_tree(root, args.path)
+                return _told(found)
+            new, old = args.new or "HEAD", args.old
+            if args.path:
+                return _told(repo.diff_states(old, new, args.path))
             if args.html:
                 pairs = repo.texts(repo.diff(old, new), old="old_blob", new="new_blob")
                 return f"{html_view.write_html(pairs.select('path', 'old', 'new'), args.html)} files"
-            return rows(listing.state_diff(repo.manifest(old), repo.manifest(new)).drop("seq"))
+            return rows(listing.state_diff(repo.manifest(old), repo.manifest(new)).orderBy("seq", "path").drop("seq"))
         case "branch" | "tag":
             branch = args.command == "branch"
             if not args.name:
@@ -133,24 +140,27 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
                 (repo.create_branch if branch else repo.tag)(args.name)
             return args.name
         case "checkout":
-            return repo.checkout(args.name, root)
+            return repo.checkout(args.name, root, args.force)
         case "reset":
-            repo.reset(args.name, args.mode or "hard", root)
+            repo.reset(args.name, args.mode or "hard", root, args.force)
             return repo.head()
         case "merge":
+            was = _written(repo, root)
             state = repo.merge(args.name, resolutions=_resolutions(args.resolve))
-            return repo.checkout(_branch(repo) or state, root)
+            return _follow(repo, root, was, state)
         case "revert" | "cherry-pick":
+            was = _written(repo, root)
             getattr(repo, args.command.replace("-", "_"))(args.name)
-            return repo.checkout(_branch(repo) or repo.head(), root)
+            return _follow(repo, root, was, repo.head())
         case "rebase":
+            was = _written(repo, root, clean=not (args.abort or args.resume))
             if args.abort:
                 repo.rebase_abort()
             elif args.resume:
-                repo.rebase_continue(_resolutions(args.resolve))
+                repo.rebase_continue(_resolutions(args.resolve), tree() if args.edited else None)
             else:
                 repo.rebase(args.name)
-            return repo.head()
+            return _follow(repo, root, was, repo.head())
         case "stash":
             if args.action in ("apply", "pop"):
                 entries = repo.stash_apply(drop=args.action == "pop")
@@ -159,31 +169,45 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
                 repo.stash_drop(0 if args.action == "drop" else None)
             elif args.action != "list":
                 repo.stash(tree(), args.message or "", args.untracked)
-                repo.reset("HEAD", "hard", root)
+                repo.reset("HEAD", "hard", root, force=True)
             return "\n".join(f"{i}\t{m}" for i, _, m in repo.stashes())
         case "bisect":
 
             def test(state: str) -> int:
-                repo.checkout(state, root)
+                repo.checkout(state, root, force=True)
                 return subprocess.run(args.script, shell=True, cwd=root).returncode
 
+            _written(repo, root)
             was = _branch(repo) or repo.head()
             try:
                 return repo.bisect(args.good, args.bad, test) or "only skipped states are left"
             finally:
-                repo.checkout(was, root)
+                repo.checkout(was, root, force=True)
+        case "bisect-start" | "bisect-mark":
+            _written(repo, root)
+            after = (repo.bisect_start(args.bad, args.good), repo.bisect_next())[1] if args.command == "bisect-start" else repo.bisect_mark(args.verdict, args.name or "HEAD")
+            if after is None:
+                return "\n".join(repo.bisect_found())
+            return repo.checkout(after, root, force=True)
+        case "bisect-reset":
+            return repo.bisect_reset(root)
         case "blame":
             return "\n".join(f"{owner[:8]} {line + 1} {text}" for line, owner, text in repo.blame(args.path))
         case "merge-base":
             return repo.merge_base(args.a, args.b)
         case "gc":
-            return "\n".join(f"{k}\t{n}\t{b}" for k, n, b in repo.gc(args.prune))
+            return "\n".join(f"{k}\t{n}\t{b}" for k, n, b in repo.gc(args.prune, args.prune_history))
         case "fsck":
             return "\n".join(repo.prune_refs()) if args.prune_refs else "\n".join(f"{k}\t{d}" for k, d in repo.fsck())
         case "repack":
             return f"{repo.repack()} blobs"
         case "remote":
-            repo.add_remote(args.name, args.path)
+            if not args.name:
+                return "\n".join(f"{k}\t{v}" for k, v in repo.remotes().items())
+            if args.delete:
+                repo.remove_remote(args.name)
+            else:
+                repo.add_remote(args.name, args.path)
             return args.name
         case "fetch":
             return f"{repo.fetch(args.name, args.depth)} states"
@@ -202,6 +226,27 @@ def _branch(repo: Repo) -> str | None:
     return repo.refs()["head"].get("branch")
 
 
+def _written(repo: Repo, root: str, clean: bool = True) -> list[str]:
+    """Paths of HEAD's files, once it is sure that the tree has nothing else (unless not ``clean``)."""
+    repo._guard(root, not clean)
+    return [r["path"] for r in repo.manifest("HEAD").select("path").collect()]
+
+
+def _follow(repo: Repo, root: str, was: list[str], state: str) -> str:
+    """Write HEAD's files after a verb that moved it; files of before that it lacks are deleted."""
+    working_tree.materialize(repo.files(repo.manifest("HEAD")), root, was)
+    return state
+
+
+def _told(changes) -> str:
+    """Described changes as text, by path."""
+    out = []
+    for r in changes.orderBy("path").toLocalIterator():
+        start = f"{r['from_path']} -> " if r["from_path"] else ""
+        out += [f"{r['change']} {start}{r['path']}", *[f"  {line}" for line in r["lines"]]]
+    return "\n".join(out)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     if args.command == "merge-driver":

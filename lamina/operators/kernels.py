@@ -19,6 +19,8 @@ from lamina.kernel import textdiff as _text
 from lamina.kernel.graph import Graph, apply
 from lamina.kernel.parse import parse_path
 
+#: Characters of a new file that a description shows.
+PREVIEW = 200
 EDITS = "path string, seq int, op string, line int, content string"
 MUTATIONS = "path string, seq int, op string, intent string, node string, parent string, before int, payload string"
 ALIGNED = "path string, old_id string, new_id string, kind string, method string, parent_old string, parent_new string"
@@ -82,6 +84,26 @@ def structural_diff(pairs: DataFrame) -> DataFrame:
     return _mapped(pairs.where("not (old <=> new)"), ("path", "old", "new"), MUTATIONS, kernel)
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """path, from_path, change and lines for people, of (path, from_path, change, old, new).
+
+    Intents where both sides parse, line edits elsewhere; the beginning of what is new.
+    """
+
+    def kernel(path, start, change, old, new):
+        if change == "added":
+            lines = [new[:PREVIEW] + "..." * (len(new) > PREVIEW)]
+        elif change == "removed":
+            lines = []
+        else:
+            lines = _merge.file_intents(path, old, new)
+            if lines is None:
+                lines = [f"{'-' if e.op == 'delete' else '+'}{e.line + 1} {e.content}" for e in _text.diff_text(old, new)]
+        yield path, start or None, change, lines
+
+    return _mapped(rows, ("path", "from_path", "change", "old", "new"), "path string, from_path string, change string, lines array<string>", kernel)
+
+
 def applied_diff(pairs: DataFrame) -> DataFrame:
     """path and text: the old side of (path, old, new) with the mutations that lead to the new one applied."""
 

@@ -1,8 +1,8 @@
-"""Listings for people: path specs, previews, ordered diffs of states."""
+"""Listings for people: path specs and diffs of states."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators import manifests
@@ -20,23 +20,23 @@ def matching(paths: DataFrame, specs: list[str]) -> DataFrame:
 
 
 def targets(status: DataFrame, specs: list[str], update: bool = False, everything: bool = False) -> DataFrame:
-    """Paths that an add takes from a status: ``update`` leaves untracked ones out, ``everything`` needs no specs."""
-    rows = status.where("unstaged is not null" + ("" if update else " or untracked"))
-    return (rows if everything or (update and not specs) else matching(rows, specs)).select("path", (F.col("unstaged") == "deleted").alias("deleted"))
-
+    """Paths that an add takes from a status: ``update`` leaves untracked ones out, ``everything`` needs no specs.
 
-def preview(text: Column, length: int = 200) -> Column:
-    """The first characters of a text, and dots where there are more."""
-    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
+    Of a renamed file the old path goes with the new one.
+    """
+    rows = status.where("unstaged is not null" + ("" if update else " or untracked"))
+    rows = rows if everything or (update and not specs) else matching(rows, specs)
+    left = rows.where("unstaged_from is not null").select(F.col("unstaged_from").alias("path"), F.lit(True).alias("deleted"))
+    return rows.select("path", F.coalesce(F.col("unstaged") == "deleted", F.lit(False)).alias("deleted")).unionByName(left)
 
 
 def state_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Renames first, then other changes, each by path: seq, change, path, to_path."""
+    """Renames (seq 0) and other changes (seq 1): seq, change, path, to_path; whoever shows them sorts by seq and path."""
     moved = manifests.exact_renames(old, new)
     changed = manifests.diff(old, new)
     gone = moved.select(F.col("from_path").alias("path")).unionByName(moved.select(F.col("to_path").alias("path")))
     rest = changed.join(gone, "path", "left_anti").select(F.lit(1).alias("seq"), "change", "path", F.lit(None).cast("string").alias("to_path"))
-    return moved.select(F.lit(0).alias("seq"), F.lit("renamed").alias("change"), F.col("from_path").alias("path"), "to_path").unionByName(rest).orderBy("seq", "path")
+    return moved.select(F.lit(0).alias("seq"), F.lit("renamed").alias("change"), F.col("from_path").alias("path"), "to_path").unionByName(rest)
 
 
 def three_way_listing(base: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

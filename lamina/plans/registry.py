@@ -525,8 +525,28 @@ def blame(spark, sf_dir):
     return kernels.blame(docs.select(F.concat(F.lit("f"), number).alias("path"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("state"), text.alias("text")))
 
 
-@query()
+def _node_sql(kind: str, payload: str, *children: str) -> str:
+    """The id of a node whose payload is an SQL expression."""
+    below = " || ".join(f"unhex({c})" for c in children) or "''::BLOB"
+    return f"sha256(encode('{kind}') || '\\x00'::BLOB || encode({payload}) || '\\x00'::BLOB || {below})"
+
+
+def _token(text: str, kind: str = "Token") -> str:
+    return _node_sql(kind, f"'{text}'")
+
+
+_SEEN = _node_sql("Field", "''", _token('"seen"', "Literal"), _token(":"), _token("true", "Literal"))
+_ADDED = _node_sql("Function", "''", _token("fn"), _token("added", "Identifier"), _node_sql("group", "''", _token("("), _token(")")), _node_sql("group", "''", _token("{"), _token("}")))
+
+
+@query(f"""SELECT 'e/' || event_id || '.json' AS path, 0::INTEGER AS seq, 'insert_subtree' AS op, 'insert_subtree' AS intent, {_SEEN} AS node, '' AS payload FROM events WHERE event_id % 2 = 0
+    UNION ALL SELECT 'e/' || event_id || '.json', 1, 'insert_subtree', 'insert_subtree', {_token(",")}, '' FROM events WHERE event_id % 2 = 0
+    UNION ALL SELECT 'e/' || event_id || '.json', 0, 'edit_payload', 'edit_literal', {_node_sql("Literal", "'\"' || event_type || '\"'")}, '"x' || event_type || '"' FROM events WHERE event_id % 2 <> 0
+    UNION ALL SELECT 'o/' || o_orderkey || '.rs', 0, 'rename_identifier', 'rename_identifier', {_token("ship", "Identifier")}, 'send' FROM orders WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT 'o/' || o_orderkey || '.rs', 0, 'insert_subtree', 'insert_subtree', {_ADDED}, '' FROM orders WHERE o_orderkey % 3 = 1
+    UNION ALL SELECT 'o/' || o_orderkey || '.rs', 0, 'edit_payload', 'edit_literal', {_node_sql("Literal", "floor(o_totalprice)::BIGINT::VARCHAR")}, '0' FROM orders WHERE o_orderkey % 3 = 2 AND floor(o_totalprice) <> 0""")
 def ast_diff(spark, sf_dir):
+    """Each edit of the sources is one mutation, or a field and its comma."""
     return kernels.structural_diff(_sources(spark, sf_dir)).select("path", "seq", "op", "intent", "node", "payload")
 
 

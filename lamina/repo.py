@@ -31,6 +31,7 @@ BLOBS = "blob string, kind string, bytes binary"
 MANIFESTS = "manifest string, path string, blob string, mode string"
 STATES = "state string, manifest string, message string, timestamp string, author_name string, author_email string"
 EDGES = "child string, parent string, ord int"
+SCAN = "path string, size long, mtime long, ctime long, mode string, blob string"
 _TABLES = {"blobs": BLOBS, "manifests": MANIFESTS, "states": STATES, "edges": EDGES}
 
 
@@ -137,30 +138,28 @@ class Repo:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, _TABLES[name])
         df.write.mode("append").option("compression", "zstd").parquet(str(self.root / name))
 
-    def write_blobs(self, files: DataFrame) -> DataFrame:
-        """Store (path, content, mode) contents that aren't there yet; gives path, blob, mode."""
+    def hashed(self, files: DataFrame) -> DataFrame:
+        """path, mode, blob, kind, content of (path, content, mode); stores nothing."""
 
-        def hashed(batches):
+        def run(batches):
             for pdf in batches:
                 content = [bytes(c) for c in pdf["content"]]
                 pdf["kind"] = [content_kind(c, m) for c, m in zip(content, pdf["mode"], strict=True)]
                 pdf["blob"] = [hashlib.sha256(content_json(k, c)).hexdigest() for k, c in zip(pdf["kind"], content, strict=True)]
                 yield pdf[["path", "mode", "blob", "kind", "content"]]
 
-        named = history.cut(files.select("path", "content", "mode").mapInPandas(hashed, "path string, mode string, blob string, kind string, content binary"))
+        return files.select("path", "content", "mode").mapInPandas(run, "path string, mode string, blob string, kind string, content binary")
+
+    def write_blobs(self, files: DataFrame) -> DataFrame:
+        """Store (path, content, mode) contents that aren't there yet; gives path, blob, mode."""
+        named = history.cut(self.hashed(files))
         fresh = named.dropDuplicates(["blob"]).join(self.table("blobs").select("blob"), "blob", "left_anti")
         self._append("blobs", fresh.select("blob", "kind", F.col("content").alias("bytes")))
         return named.select("path", "blob", "mode")
 
     def import_blobs(self, blobs: DataFrame) -> None:
         """Store (blob, kind, bytes) from elsewhere; ids that don't fit their bytes are refused."""
-
-        def checked(batches):
-            for pdf in batches:
-                good = [hashlib.sha256(content_json(k, bytes(b))).hexdigest() == i for i, k, b in zip(pdf["blob"], pdf["kind"], pdf["bytes"], strict=True)]
-                yield pdf[[not g for g in good]][["blob"]]
-
-        bad = blobs.select("blob", "kind", "bytes").mapInPandas(checked, "blob string").first()
+        bad = self._corrupt(blobs).first()
         if bad:
             raise RepoError("corrupt", f"blob {bad['blob']} doesn't fit its id")
         self._append("blobs", blobs.select("blob", "kind", "bytes").join(self.table("blobs").select("blob"), "blob", "left_anti"))
@@ -297,10 +296,11 @@ class Repo:
             refs["staging"] = {}
         return state
 
-    def checkout(self, name: str, root: str | None = None) -> str:
-        """HEAD to a branch or state; with ``root`` its files are written there too."""
+    def checkout(self, name: str, root: str | None = None, force: bool = False) -> str:
+        """HEAD to a branch or state; with ``root`` its files are written there too, over a clean tree."""
         state = self.resolve(name)
         if root:
+            self._guard(root, force)
             known = [r["path"] for r in self.manifest("HEAD").select("path").collect()]
             working_tree.materialize(self.files(self.manifest(state)), root, known)
         with self._changing() as refs:
@@ -308,10 +308,11 @@ class Repo:
             refs["staging"] = {}
         return state
 
-    def reset(self, name: str, mode: str = "hard", root: str | None = None) -> None:
-        """Move the branch; mixed and hard drop what is staged, hard writes the files."""
+    def reset(self, name: str, mode: str = "hard", root: str | None = None, force: bool = False) -> None:
+        """Move the branch; mixed and hard drop what is staged, hard writes the files over a clean tree."""
         state = self.resolve(name)
         if root and mode == "hard":
+            self._guard(root, force)
             known = [r["path"] for r in self.manifest("HEAD").select("path").collect()]
             working_tree.materialize(self.files(self.manifest(state)), root, known)
         with self._changing() as refs:
@@ -319,10 +320,62 @@ class Repo:
             if mode != "soft":
                 refs["staging"] = {}
 
-    def status(self, tree: DataFrame) -> DataFrame:
-        """Two columns on every path that isn't clean; ``tree``: path, content, mode."""
-        hashed = self.write_blobs(tree)
-        return manifests.status(self.manifest("HEAD"), self.staging(), hashed)
+    def scan(self, root: str, full: bool = False) -> tuple[DataFrame, DataFrame, int]:
+        """Entries (path, blob, mode) of a working tree, the files that were read (path, blob, kind, bytes), their number.
+
+        A file whose size, times and mode are those of the last scan is not read: its blob is known. The
+        listing is walked by the driver, which bounds this verb to trees of people's size.
+        """
+        now = working_tree.scan(self.spark, root)
+        known = self.root / "scan"
+        before = self.spark.read.schema(SCAN).parquet(str(known)) if known.exists() and not full else self.spark.createDataFrame([], SCAN)
+        keys = ["path", "size", "mtime", "ctime", "mode"]
+        kept = history.cut(now.join(before, keys).select(*keys, "blob"))
+        changed = [r["path"] for r in working_tree.changed_since(now, before).select("path").collect()]
+        fresh = history.cut(self.hashed(working_tree.load(self.spark, root, set(changed))))
+        read = now.join(fresh.select("path", "blob"), "path").select(*keys, "blob")
+        entries = history.cut(kept.unionByName(read))
+        if changed or kept.count() != before.count():
+            entries.coalesce(1).write.mode("overwrite").parquet(f"{known}.part")
+            shutil.rmtree(known, ignore_errors=True)
+            (self.root / "scan.part").rename(known)
+            self.spark.catalog.refreshByPath(str(known))
+        return entries.select("path", "blob", "mode"), fresh.select("path", "blob", "kind", F.col("content").alias("bytes")), len(changed)
+
+    def _seen(self, tree: DataFrame | str) -> tuple[DataFrame, DataFrame]:
+        """Entries of a tree, given as (path, content, mode) or as its folder, and contents the store may lack."""
+        if isinstance(tree, str):
+            entries, fresh, _ = self.scan(tree)
+            lost = entries.join(self.table("blobs").select("blob"), "blob", "left_anti").join(fresh.select("blob"), "blob", "left_anti").select("path").collect()
+            if lost:  # read by an earlier scan, never stored
+                paths = {r["path"] for r in lost}
+                more = self.hashed(working_tree.load(self.spark, tree, paths)).select("path", "blob", "kind", F.col("content").alias("bytes"))
+                fresh = history.cut(fresh.unionByName(more))
+            return entries, fresh.select("blob", "kind", "bytes")
+        named = history.cut(self.hashed(tree))
+        return named.select("path", "blob", "mode"), named.select("blob", "kind", F.col("content").alias("bytes"))
+
+    def status(self, tree: DataFrame | str) -> DataFrame:
+        """Two columns on every path that isn't clean, renames folded; stores nothing.
+
+        ``tree``: (path, content, mode), or the folder, of which only changed files are read.
+        """
+        if isinstance(tree, str):
+            entries = self.scan(tree)[0]
+            clean = manifests.diff(manifests.effective(self.manifest("HEAD"), self.staging()), entries).isEmpty()
+            if clean:
+                return manifests.status_with_renames(self.manifest("HEAD"), self.staging(), entries)
+        entries, contents = self._seen(tree)
+        return manifests.status_with_renames(self.manifest("HEAD"), self.staging(), entries, renames=lambda old, new: self._moves(old, new, contents).select("from_path", "to_path"))
+
+    def is_clean(self, tree: DataFrame | str) -> bool:
+        entries = self.scan(tree)[0] if isinstance(tree, str) else self.hashed(tree)
+        return manifests.status(self.manifest("HEAD"), self.staging(), entries).isEmpty()
+
+    def _guard(self, root: str, force: bool) -> None:
+        """Nothing that isn't committed is overwritten unless ``force`` says so."""
+        if not force and not self.is_clean(root):
+            raise RepoError("dirty", "the working tree has changes that aren't committed")
 
     # Reading
 
@@ -333,11 +386,37 @@ class Repo:
     def diff(self, old: str, new: str) -> DataFrame:
         return manifests.diff(self.manifest(old), self.manifest(new))
 
+    def _described(self, old: DataFrame, new: DataFrame, contents: DataFrame | None = None, path: str | None = None) -> DataFrame:
+        """path, from_path, change and lines on what changed between two sets of entries, renames as one change."""
+        moves = history.cut(self._moves(old, new, contents).select("from_path", "to_path"))
+        came = moves.join(old.select(F.col("path").alias("from_path"), F.col("blob").alias("old_blob")), "from_path").join(new.select(F.col("path").alias("to_path"), F.col("blob").alias("new_blob")), "to_path")
+        came = came.select(F.col("to_path").alias("path"), "from_path", F.lit("renamed").alias("change"), "old_blob", "new_blob")
+        ends = moves.select(F.col("from_path").alias("path")).unionByName(moves.select(F.col("to_path").alias("path")))
+        rest = manifests.diff(old, new).join(ends, "path", "left_anti").withColumn("from_path", F.lit(None).cast("string"))
+        rows = came.unionByName(rest.select(*came.columns))
+        if path is not None:
+            rows = rows.where((F.col("path") == path) | (F.col("from_path") == path))
+        return kernels.described(self.texts(rows, contents, old="old_blob", new="new_blob"))
+
+    def diff_tree(self, tree: DataFrame | str, path: str | None = None) -> DataFrame:
+        """What a working tree, or one path of it, has that isn't staged."""
+        entries, contents = self._seen(tree)
+        return self._described(manifests.effective(self.manifest("HEAD"), self.staging()), entries, contents, path)
+
+    def diff_staged(self, path: str | None = None) -> DataFrame:
+        """What is staged against HEAD, all of it or one path."""
+        head = self.manifest("HEAD")
+        return self._described(head, manifests.effective(head, self.staging()), None, path)
+
+    def diff_states(self, old: str, new: str, path: str | None = None) -> DataFrame:
+        """What changed from one state to another, all of it or one path."""
+        return self._described(self.manifest(old), self.manifest(new), None, path)
+
     def renames(self, old: str, new: str) -> DataFrame:
         """from_path, to_path, the new blob and kind: exact, or with_edits where a source file's structure is kept."""
         return self._moves(self.manifest(old), self.manifest(new))
 
-    def _moves(self, old: DataFrame, new: DataFrame) -> DataFrame:
+    def _moves(self, old: DataFrame, new: DataFrame, contents: DataFrame | None = None) -> DataFrame:
         exact = history.cut(manifests.exact_renames(old, new).withColumn("kind", F.lit("exact")))
 
         def rest(side: DataFrame, other: DataFrame, end: str) -> DataFrame:
@@ -345,13 +424,15 @@ class Repo:
             return history.cut(own.join(exact.select(F.col(end).alias("path")), "path", "left_anti").select("path", "blob"))
 
         gone, come = rest(old, new, "from_path"), rest(new, old, "to_path")
-        read = [self.texts(rows, text="blob").where("text is not null").select("path", "text") for rows in (gone, come)]
+        read = [self.texts(rows, contents, text="blob").where("text is not null").select("path", "text") for rows in (gone, come)]
         edited = kernels.edited_renames(*read).join(come.withColumnRenamed("path", "to_path"), "to_path")
         return exact.unionByName(history.cut(edited.select("from_path", "to_path", "blob", F.lit("with_edits").alias("kind"))))
 
-    def texts(self, rows: DataFrame, **columns: str) -> DataFrame:
-        """The texts of blob columns: ``texts(df, old='old_blob')`` adds ``old``."""
-        blobs = self.table("blobs").where("kind = 'text'")
+    def texts(self, rows: DataFrame, contents: DataFrame | None = None, **columns: str) -> DataFrame:
+        """The texts of blob columns: ``texts(df, old='old_blob')`` adds ``old``; ``contents`` holds blobs that aren't stored."""
+        blobs = self.table("blobs").select("blob", "kind", "bytes").where("kind = 'text'")
+        if contents is not None:
+            blobs = blobs.unionByName(contents.where("kind = 'text'")).dropDuplicates(["blob"])
         for name, blob in columns.items():
             one = blobs.select(F.col("blob").alias(blob), F.col("bytes").cast("string").alias(name))
             rows = rows.join(one, blob, "left")
@@ -372,7 +453,20 @@ class Repo:
         return blame([(r["state"], r["text"] or "") for r in rows])
 
     def merge_base(self, a: str, b: str) -> str:
-        row = history.merge_base(self.edges(), self._one(self.resolve(a)), self._one(self.resolve(b))).first()
+        """The nearest common state. Where history is cut short, a base that may lie beyond the cut is an error."""
+        left, right = self.resolve(a), self.resolve(b)
+        shallow = self.refs()["shallow"]
+        if left == right:
+            return left
+        edges = self.edges()
+        if shallow:
+            if left in shallow or right in shallow:
+                raise RepoError("shallow", "history is cut short; fetch more of it")
+            there = self.table("states").select(F.col("state").alias("parent"))
+            edges = edges.join(there, "parent", "left_semi").join(self.spark.createDataFrame([(s,) for s in shallow], "child string"), "child", "left_anti").select("child", "parent", "ord")
+        row = history.merge_base(edges, self._one(left), self._one(right)).first()
+        if row is None and shallow:
+            raise RepoError("shallow", "history is cut short; fetch more of it")
         if row is None:
             raise RepoError("unrelated", f"{a} and {b} share nothing")
         return row["state"]
@@ -470,13 +564,18 @@ class Repo:
             self._advance(refs, goal)
         return self.rebase_continue()
 
-    def rebase_continue(self, resolutions: dict[str, str] | None = None) -> str:
+    def rebase_continue(self, resolutions: dict[str, str] | None = None, files: DataFrame | None = None) -> str:
+        """Go on; the state that stopped is settled by choices, or is the given (path, content, mode)."""
         work = self.refs()["work"].get("rebase")
         if not work:
             raise RepoError("no_work", "no rebase is under way")
         while work["todo"]:
-            self.cherry_pick(work["todo"][0], resolutions)
-            resolutions = None
+            if files is not None:
+                row = self.state(work["todo"][0])
+                self._committed(self.write_blobs(files), row["message"], (row["author_name"], row["author_email"]))
+            else:
+                self.cherry_pick(work["todo"][0], resolutions)
+            resolutions = files = None
             with self._changing() as refs:
                 refs["work"]["rebase"]["todo"].pop(0)
                 work = refs["work"]["rebase"]
@@ -546,6 +645,60 @@ class Repo:
                 high = middle
         return chain[low] if chain else None
 
+    def bisect_start(self, bad: str, good: str) -> int:
+        """Begin a kept search between two states; gives the number of candidates."""
+        was = {"branch": b} if (b := self.refs()["head"].get("branch")) else {"state": self.head()}
+        if self.refs()["work"].get("bisect"):
+            raise RepoError("exists", "a bisect is under way")
+        return self._bisect_kept({"head": was, "bad": self.resolve(bad), "good": self.resolve(good), "skipped": []})
+
+    def _bisect_kept(self, work: dict) -> int:
+        chain = self._between(work["good"], work["bad"])
+        if not chain:
+            raise RepoError("nothing", "no states lie between good and bad")
+        with self._changing() as refs:
+            refs["work"]["bisect"] = work
+        return len(chain)
+
+    def _between(self, good: str, bad: str) -> list[str]:
+        return [r["state"] for r in history.bisect_candidates(self.edges(), self._one(good), self._one(bad)).orderBy("step").collect()]
+
+    def _bisecting(self) -> dict:
+        if not (work := self.refs()["work"].get("bisect")):
+            raise RepoError("no_work", "no bisect is under way")
+        return work
+
+    def bisect_mark(self, verdict: str, name: str = "HEAD") -> str | None:
+        """Mark a state good, bad or skip; gives the next to test, or None once ``bisect_found`` knows the first bad one."""
+        work, state = self._bisecting(), self.resolve(name)
+        if verdict == "skip":
+            work["skipped"].append(state)
+        elif verdict in ("good", "bad"):
+            work[verdict] = state
+        else:
+            raise RepoError("bad_verdict", f"{verdict!r} is neither good, bad nor skip")
+        self._bisect_kept(work)
+        return self.bisect_next()
+
+    def bisect_next(self) -> str | None:
+        """The untested state nearest to the middle; the last candidate is known to be bad."""
+        work = self._bisecting()
+        chain = self._between(work["good"], work["bad"])[:-1]
+        some = [i for i, s in enumerate(chain) if s not in work["skipped"]]
+        return chain[min(some, key=lambda i: abs(i - len(chain) // 2))] if some else None
+
+    def bisect_found(self) -> list[str]:
+        """The states of which one is the first bad: one, if none was skipped before it."""
+        work = self._bisecting()
+        return self._between(work["good"], work["bad"])
+
+    def bisect_reset(self, root: str | None = None) -> str:
+        """End the search and go back to where it began."""
+        head = self._bisecting()["head"]
+        with self._changing() as refs:
+            del refs["work"]["bisect"]
+        return self.checkout(head.get("branch") or head["state"], root, force=True)
+
     # Upkeep
 
     def _tips(self) -> DataFrame:
@@ -560,8 +713,11 @@ class Repo:
         states, blobs = integrity.reachable(self.edges(), self._tips(), kept, self.spark.createDataFrame(extra, "blob string"))
         return kept, states, blobs
 
-    def gc(self, prune: bool = False) -> list[tuple[str, int, int]]:
-        """(kind, items, bytes) that nothing reaches; staging and stashes count as roots."""
+    def gc(self, prune: bool = False, prune_history: bool = False) -> list[tuple[str, int, int]]:
+        """(kind, items, bytes) that nothing reaches; staging and stashes count as roots.
+
+        ``prune`` drops such blobs, ``prune_history`` such states with their edges and manifests.
+        """
         kept, states, blobs = self._reachable()
         loose = self.table("blobs").join(blobs, "blob", "left_anti")
         dead = self.table("states").join(states, "state", "left_anti").where(F.col("state") != ROOT)
@@ -569,6 +725,12 @@ class Repo:
         out = [("state", dead.count(), 0), ("blob", sums["n"], int(sums["b"]))]
         if prune:
             self._rewrite("blobs", self.table("blobs").join(blobs, "blob", "left_semi"))
+        if prune_history and out[0][1]:
+            held = history.cut(states.unionByName(self._one(ROOT)).distinct())
+            kept_states = history.cut(self.table("states").join(held, "state", "left_semi"))
+            self._rewrite("edges", self.edges().join(held.select(F.col("state").alias("child")), "child", "left_semi").select("child", "parent", "ord"))
+            self._rewrite("manifests", self.table("manifests").join(kept_states.select("manifest").distinct(), "manifest", "left_semi").select("manifest", "path", "blob", "mode"))
+            self._rewrite("states", kept_states.select(*[f.split()[0] for f in STATES.split(", ")]))
         return out
 
     def _rewrite(self, name: str, rows: DataFrame) -> None:
@@ -606,7 +768,26 @@ class Repo:
                 good = [commit_id(r.manifest, list(r.parents) if r.parents is not None else [], r.message, r.timestamp, r.author_name, r.author_email) == r.state for r in pdf.itertuples()]
                 yield pdf[[not g for g in good]][["state"]]
 
-        return sorted(out + [("wrong_id", r["state"]) for r in rows.drop("child").mapInPandas(wrong, "state string").collect()])
+        out += [("wrong_id", r["state"]) for r in rows.drop("child").mapInPandas(wrong, "state string").collect()]
+        out += [("corrupt_blob", r["blob"]) for r in self._corrupt(self.table("blobs")).collect()]
+        gone = [p for p, e in refs["staging"].items() if e is None]
+        if gone:
+            asked = self.spark.createDataFrame([(p,) for p in gone], "path string")
+            out += [("staged_delete_of_unknown", r["path"]) for r in asked.join(self.manifest("HEAD"), "path", "left_anti").collect()] if not lost else []
+        staged = self.spark.createDataFrame([(e["blob"],) for e in refs["staging"].values() if e], "blob string")
+        out += [("staged_blob_missing", r["blob"]) for r in staged.distinct().join(self.table("blobs").select("blob"), "blob", "left_anti").collect()]
+        out += [("orphan_temporary", p.name) for p in self.root.iterdir() if p.suffix in (".part", ".new", ".old")]
+        return sorted(out)
+
+    def _corrupt(self, blobs: DataFrame) -> DataFrame:
+        """Blobs (blob, kind, bytes) whose canonical bytes don't hash to their id."""
+
+        def wrong(batches):
+            for pdf in batches:
+                good = [hashlib.sha256(content_json(k, bytes(b))).hexdigest() == i for i, k, b in zip(pdf["blob"], pdf["kind"], pdf["bytes"], strict=True)]
+                yield pdf[[not g for g in good]][["blob"]]
+
+        return blobs.select("blob", "kind", "bytes").mapInPandas(wrong, "blob string")
 
     def prune_refs(self) -> list[str]:
         """Drop refs whose state isn't there."""
@@ -624,6 +805,16 @@ class Repo:
         with self._changing() as refs:
             refs["urls"][name] = root
 
+    def remotes(self) -> dict[str, str]:
+        return dict(sorted(self.refs()["urls"].items()))
+
+    def remove_remote(self, name: str) -> None:
+        """Forget a remote and what was fetched of its branches; states stay until they are collected."""
+        with self._changing() as refs:
+            if refs["urls"].pop(name, None) is None:
+                raise RepoError("unknown_ref", f"no remote {name}")
+            refs["remotes"] = {k: v for k, v in refs["remotes"].items() if not k.startswith(f"{name}/")}
+
     def fetch(self, name: str, depth: int | None = None) -> int:
         """Bring a remote's missing states, manifests, blobs, branches and tags; gives the number of states.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Folders that hold metadata, not content.
 SKIPPED = (".git", ".lamina")
 IGNORE_FILES = (".gitignore", ".laminaignore")
-STAT = "path string, size long, mtime double, mode string"
+STAT = "path string, size long, mtime long, ctime long, mode string"
 
 
 def _rules(folder: Path) -> list[tuple[str, bool]]:
@@ -38,8 +38,8 @@ def _ignored(rules: list[tuple[str, bool]], path: str, folder: bool) -> bool:
     return out
 
 
-def walk(root: str) -> list[tuple[str, int, float, str]]:
-    """(path, size, mtime, mode) of all files; symlinks are listed, not followed."""
+def walk(root: str) -> list[tuple[str, int, int, int, str]]:
+    """(path, size, mtime, ctime, mode) of all files, times in nanoseconds; symlinks are listed, not followed."""
     top, out = Path(root), []
     rules: dict[str, list[tuple[str, bool]]] = {}
     for folder, names, files in os.walk(top):
@@ -54,29 +54,29 @@ def walk(root: str) -> list[tuple[str, int, float, str]]:
                 continue
             stat = os.lstat(os.path.join(folder, name))
             mode = "symlink" if os.path.islink(os.path.join(folder, name)) else "executable" if stat.st_mode & 0o111 else "regular"
-            out.append((own + name, stat.st_size, stat.st_mtime, mode))
+            out.append((own + name, stat.st_size, stat.st_mtime_ns, stat.st_ctime_ns, mode))
     return sorted(out)
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, mtime, mode; reads no content."""
+    """path, size, mtime, ctime, mode; reads no content."""
     return spark.createDataFrame(walk(root), STAT)
 
 
 def changed_since(now: DataFrame, before: DataFrame) -> DataFrame:
-    """Files of a scan whose size, time or mode an earlier scan doesn't have: what must be read again."""
-    return now.join(before, ["path", "size", "mtime", "mode"], "left_anti")
+    """Files of a scan whose size, times or mode an earlier scan doesn't have: what must be read again."""
+    return now.join(before, ["path", "size", "mtime", "ctime", "mode"], "left_anti")
 
 
-def load(spark: SparkSession, root: str) -> DataFrame:
-    """path, content, mode: contents by Spark's file reader, a symlink's content is its target.
+def load(spark: SparkSession, root: str, only: set[str] | None = None) -> DataFrame:
+    """path, content, mode of all files or of ``only`` some: contents by Spark's file reader, a symlink's content is its target.
 
     That reader passes over names that begin with a dot or an underscore; those are opened by the executors.
     """
-    stats = walk(root)
-    links = [(p, bytearray(os.readlink(os.path.join(root, p)).encode()), m) for p, _, _, m in stats if m == "symlink"]
-    hidden = [(p, m) for p, _, _, m in stats if m != "symlink" and any(x[0] in "._" for x in p.split("/"))]
-    files = [(p, m) for p, _, _, m in stats if m != "symlink" and (p, m) not in set(hidden)]
+    stats = [(s[0], s[-1]) for s in walk(root) if only is None or s[0] in only]
+    links = [(p, bytearray(os.readlink(os.path.join(root, p)).encode()), m) for p, m in stats if m == "symlink"]
+    hidden = [(p, m) for p, m in stats if m != "symlink" and any(x[0] in "._" for x in p.split("/"))]
+    files = [(p, m) for p, m in stats if m != "symlink" and (p, m) not in set(hidden)]
     out = spark.createDataFrame(links, "path string, content binary, mode string")
     top = Path(root).resolve().as_posix()
     if hidden:

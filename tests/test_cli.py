@@ -15,7 +15,8 @@ def test_commands(spark, tmp_path, capsys):
     first = said("commit", "--message", "one", "--all")
     said("branch", "side")
     file.write_text("fn a() {}\nfn b() {}\n")
-    assert said("status") == "a.rs\t\tmodified\tFalse"
+    assert said("status") == "a.rs\t\tmodified\t\t\tFalse"
+    assert said("diff") == "modified a.rs\n  insert Function"
     assert said("add", ".") == "1 paths"
     second = said("commit", "--message", "two")
     said("checkout", "side")
@@ -40,7 +41,8 @@ def test_commands(spark, tmp_path, capsys):
     assert said("fsck") == "" and said("gc").splitlines()[0] == "state\t0\t0"
     assert len(said("blame", "a.rs").splitlines()) == 2
     said("merge", "side", code=2)
-    said("reset", first)
+    said("reset", first, code=2)
+    said("reset", first, "--force")
     assert file.read_text() == "fn a() {}\n"
 
 
