@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions import hashing, paths
-from lamina.operators import align, history, integrity, intents, kernels, manifests, sync
+from lamina.operators import align, history, integrity, intents, kernels, listing, manifests, sync
 from lamina.plans import derived as d
 
 QUERIES: dict = {}
@@ -592,3 +592,94 @@ def json_roundtrip(spark, sf_dir):
 @query()
 def syntax_nodes(spark, sf_dir):
     return kernels.syntax_nodes(_sources(spark, sf_dir).select("path", F.col("old").alias("text")))
+
+
+@query(f"WITH {_NODES}, n AS (SELECT file, parent, count(*) FILTER (side = 'old') * count(*) FILTER (side = 'new') AS \"cross\" FROM nodes GROUP BY file, parent) SELECT file, parent, \"cross\" FROM n WHERE \"cross\" > 16")
+def wide_lists(spark, sf_dir):
+    """Orders have too few lines for the usual limit, so it is lowered."""
+    return align.wide(_nodes(spark, sf_dir), 16)
+
+
+@query(f"WITH {_NAMED} SELECT doc_id, CASE WHEN regexp_matches(regexp_extract(path, '[^/]*$'), '^.+\\.[^.]*$') THEN regexp_extract(regexp_extract(path, '[^/]*$'), '^.+\\.([^.]*)$', 1) END AS extension FROM named")
+def path_extension(spark, sf_dir):
+    return _named(spark, sf_dir).select("doc_id", paths.extension(F.col("path")).alias("extension"))
+
+
+_TEXTY = f"regexp_extract(path, '[^/]*$') IN {paths.TEXT_NAMES} OR regexp_matches(regexp_extract(path, '[^/]*$'), '^\\..*ignore$') OR string_split(path, '.')[-1] IN {paths.TEXT_EXTENSIONS}"
+
+
+@query(f"WITH {_NAMED} SELECT doc_id, ({_LANG}) IS NULL AND ({_TEXTY}) AS text_only FROM named")
+def text_only_paths(spark, sf_dir):
+    return _named(spark, sf_dir).select("doc_id", paths.is_text_only(F.col("path")).alias("text_only"))
+
+
+@query(f"""WITH {_NAMED}, given AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(path, '/', chr(92)) WHEN 1 THEN '../' || path WHEN 2 THEN replace(path, '/', '/../') ELSE path END AS path FROM named)
+    SELECT doc_id, CASE WHEN NOT list_contains(string_split(replace(path, chr(92), '/'), '/'), '..') THEN replace(path, chr(92), '/') END AS path FROM given""")
+def normalized_path(spark, sf_dir):
+    """Back slashes in a quarter of the paths, steps up in half of them."""
+    by, path = F.col("doc_id") % 4, F.col("path")
+    given = F.when(by == 0, F.regexp_replace(path, "/", "\\\\")).when(by == 1, F.concat(F.lit("../"), path)).when(by == 2, F.regexp_replace(path, "/", "/../")).otherwise(path)
+    return _named(spark, sf_dir).withColumn("path", given).select("doc_id", paths.normalized(F.col("path")).alias("path"))
+
+
+_IDS = "given AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN sha256(source || doc_id) WHEN 1 THEN upper(sha256(source || doc_id)) WHEN 2 THEN substr(sha256(source || doc_id), 2) ELSE 'g' || substr(sha256(source || doc_id), 2) END AS id FROM documents)"
+
+
+@query(f"WITH {_IDS} SELECT doc_id, length(id) = 64 AND regexp_full_match(lower(id), '[0-9a-f]*') AS is_id, substr(id, 1, 12) AS short FROM given")
+def state_ids(spark, sf_dir):
+    """Ids in both cases, too short ones and such that are no hexadecimal."""
+    whole, by = hashing.text_hash(F.concat("source", "doc_id")), F.col("doc_id") % 4
+    made = F.when(by == 0, whole).when(by == 1, F.upper(whole)).when(by == 2, F.substring(whole, 2, 64)).otherwise(F.concat(F.lit("g"), F.substring(whole, 2, 64)))
+    return d.read(spark, sf_dir, "documents").select("doc_id", made.alias("id")).select("doc_id", hashing.is_state_id(F.col("id")).alias("is_id"), hashing.short_id(F.col("id")).alias("short"))
+
+
+@query("""WITH q AS (SELECT event_id, '?user=' || user_id || '&kind=' || event_type || '&flag&=x&user=' || (user_id + 1) || CASE WHEN event_id % 2 = 0 THEN '&a=b=c' ELSE '' END AS q FROM events),
+    parts AS (SELECT event_id, unnest(string_split(substr(q, 2), '&')) AS part, generate_subscripts(string_split(substr(q, 2), '&'), 1) AS i FROM q),
+    named AS (SELECT event_id, i, string_split(part, '=')[1] AS name, CASE WHEN contains(part, '=') THEN substr(part, instr(part, '=') + 1) ELSE '' END AS value FROM parts WHERE part <> '' AND part[1] <> '=')
+    SELECT event_id, name, arg_max(value, i) AS value FROM named GROUP BY event_id, name""")
+def query_parameters(spark, sf_dir):
+    """A name alone, a value without a name, a name twice and a value with an equals sign."""
+    user = F.col("user_id")
+    text = F.concat(F.lit("?user="), user, F.lit("&kind="), F.col("event_type"), F.lit("&flag&=x&user="), user + 1, F.when(F.col("event_id") % 2 == 0, "&a=b=c").otherwise(""))
+    return d.read(spark, sf_dir, "events").select("event_id", F.explode(paths.query_parameters(text)).alias("name", "value"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 100 >= user_id % 200 THEN 1 ELSE floor(log2(user_id % 200 - event_id % 100)) + 1 END::INTEGER AS steps FROM events")
+def bisect_steps(spark, sf_dir):
+    return d.read(spark, sf_dir, "events").select("event_id", paths.bisect_steps(F.col("event_id") % 100, F.col("user_id") % 200).alias("steps"))
+
+
+@query(_TWO + _RENAMES.format(n="", s="side") + """, moved AS (SELECT from_path AS path FROM ren UNION SELECT to_path FROM ren)
+    SELECT 0::INTEGER AS seq, 'renamed' AS change, from_path AS path, to_path FROM ren UNION ALL
+    SELECT 1, CASE WHEN b.path IS NULL THEN 'added' WHEN s.path IS NULL THEN 'removed' WHEN b.blob <> s.blob THEN 'modified' ELSE 'mode' END, coalesce(b.path, s.path), NULL
+    FROM base b FULL JOIN side s ON s.path = b.path WHERE (b.path IS NULL OR s.path IS NULL OR b.blob <> s.blob OR b.mode <> s.mode) AND coalesce(b.path, s.path) NOT IN (SELECT path FROM moved)""")
+def state_diff(spark, sf_dir):
+    base, left, _ = _sides(spark, sf_dir)
+    return listing.state_diff(base, left)
+
+
+_DID = "CASE WHEN b_blob IS NULL AND {s}_blob IS NOT NULL THEN 'added' WHEN b_blob IS NOT NULL AND {s}_blob IS NULL THEN 'removed' WHEN b_blob <> {s}_blob OR b_mode <> {s}_mode THEN 'modified' END"
+
+
+@query(f"""{_THREE}, did AS (SELECT path, {_DID.format(s="l")} AS "left", {_DID.format(s="r")} AS "right" FROM three) SELECT * FROM did WHERE "left" IS NOT NULL OR "right" IS NOT NULL""")
+def three_way_listing(spark, sf_dir):
+    return listing.three_way_listing(*_sides(spark, sf_dir))
+
+
+@query(f"WITH base AS ({d.MANIFESTS_SQL['base']}), s AS (SELECT min(split_part(path, '/', 1)) AS low, max(split_part(path, '/', 1)) AS high, min(path) AS file FROM base) SELECT path FROM base, s WHERE starts_with(path, low || '/') OR path = file OR starts_with(path, high || '/')")
+def matching_paths(spark, sf_dir):
+    """Two folders, one with a slash at its end, and one file."""
+    base = d.manifest(spark, sf_dir, "base")
+    folder = F.substring_index("path", "/", 1)
+    specs = base.agg(F.min(folder).alias("low"), F.max(folder).alias("high"), F.min("path").alias("file")).first()
+    return listing.matching(base, [specs["low"], f"{specs['high']}/", specs["file"]]).select("path")
+
+
+@query(_WALK + _CLOSURE.format(n="c", tip=_FROM) + " SELECT state, min(depth)::INTEGER AS depth FROM c GROUP BY state HAVING min(depth) <= 20")
+def limited_ancestry(spark, sf_dir):
+    return history.closure(d.commit_edges(spark, sf_dir), _newest(spark, sf_dir, _FROM)).where("depth <= 20").select("state", "depth")
+
+
+@query(_WALK + _CLOSURE.format(n="c", tip=_FROM) + f" SELECT count(*) > 0 AS fast_forward FROM branches WHERE name = '{_OTHER}' AND state IN (SELECT state FROM c)")
+def fast_forward(spark, sf_dir):
+    return sync.fast_forward(d.commit_edges(spark, sf_dir), _newest(spark, sf_dir, _FROM), _newest(spark, sf_dir, _OTHER))
