@@ -120,15 +120,15 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
         case "status":
             return rows(repo.status(root).orderBy("path"))
         case "diff":
+            what = (args.old, args.new or "HEAD") if args.old else "staged" if args.staged else "tree"
+            if args.html:
+                return f"{html_view.write_views(repo.views(what, root, args.path), args.html)} files"
             if not args.old:
                 found = repo.diff_staged(args.path) if args.staged else repo.diff_tree(root, args.path)
                 return _told(found)
             new, old = args.new or "HEAD", args.old
             if args.path:
                 return _told(repo.diff_states(old, new, args.path))
-            if args.html:
-                pairs = repo.texts(repo.diff(old, new), old="old_blob", new="new_blob")
-                return f"{html_view.write_html(pairs.select('path', 'old', 'new'), args.html)} files"
             return rows(listing.state_diff(repo.manifest(old), repo.manifest(new)).orderBy("seq", "path").drop("seq"))
         case "branch" | "tag":
             branch = args.command == "branch"

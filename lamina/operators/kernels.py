@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.functions.paths import language_of
 from lamina.kernel import diff as _diff
 from lamina.kernel import merge as _merge
 from lamina.kernel import textdiff as _text
@@ -98,7 +99,9 @@ def described(rows: DataFrame) -> DataFrame:
         else:
             lines = _merge.file_intents(path, old, new)
             if lines is None:
-                lines = [f"{'-' if e.op == 'delete' else '+'}{e.line + 1} {e.content}" for e in _text.diff_text(old, new)]
+                parsed = ["ast" if parse_path(path, t) else "text" for t in (old, new)] if language_of(path) else []
+                lines = [f"parse mode: {parsed[0]} (left), {parsed[1]} (right)"] if parsed else []
+                lines += [f"{'-' if e.op == 'delete' else '+'}{e.line + 1} {e.content}" for e in _text.diff_text(old, new)]
         yield path, start or None, change, lines
 
     return _mapped(rows, ("path", "from_path", "change", "old", "new"), "path string, from_path string, change string, lines array<string>", kernel)

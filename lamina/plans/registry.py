@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions import hashing, paths
-from lamina.operators import align, history, integrity, intents, kernels, listing, manifests, sync
+from lamina.operators import align, history, integrity, intents, kernels, listing, manifests, packs, sync
 from lamina.plans import derived as d
 
 QUERIES: dict = {}
@@ -683,3 +683,11 @@ def limited_ancestry(spark, sf_dir):
 @query(_WALK + _CLOSURE.format(n="c", tip=_FROM) + f" SELECT count(*) > 0 AS fast_forward FROM branches WHERE name = '{_OTHER}' AND state IN (SELECT state FROM c)")
 def fast_forward(spark, sf_dir):
     return sync.fast_forward(d.commit_edges(spark, sf_dir), _newest(spark, sf_dir, _FROM), _newest(spark, sf_dir, _OTHER))
+
+
+@query("SELECT DISTINCT sha256(coalesce(text, '')) AS blob, octet_length(encode(coalesce(text, '')))::BIGINT AS size, true AS same FROM documents")
+def pack_roundtrip(spark, sf_dir):
+    """All documents packed, unpacked and hashed again."""
+    text = F.coalesce("text", F.lit(""))
+    blobs = d.read(spark, sf_dir, "documents").select(hashing.text_hash(text).alias("blob"), text.cast("binary").alias("bytes"))
+    return packs.verified(packs.unpack(packs.pack(blobs)))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.hashing import ROOT
 from lamina.operators import history, integrity, kernels, manifests, sync
-from lamina.sources import working_tree
+from lamina.sources import html_view, working_tree
 
 FORMAT = 1
 BLOBS = "blob string, kind string, bytes binary"
@@ -386,8 +386,8 @@ class Repo:
     def diff(self, old: str, new: str) -> DataFrame:
         return manifests.diff(self.manifest(old), self.manifest(new))
 
-    def _described(self, old: DataFrame, new: DataFrame, contents: DataFrame | None = None, path: str | None = None) -> DataFrame:
-        """path, from_path, change and lines on what changed between two sets of entries, renames as one change."""
+    def _changes(self, old: DataFrame, new: DataFrame, contents: DataFrame | None = None, path: str | None = None) -> DataFrame:
+        """path, from_path, change and both texts and kinds of what differs between two sets of entries, renames as one change."""
         moves = history.cut(self._moves(old, new, contents).select("from_path", "to_path"))
         came = moves.join(old.select(F.col("path").alias("from_path"), F.col("blob").alias("old_blob")), "from_path").join(new.select(F.col("path").alias("to_path"), F.col("blob").alias("new_blob")), "to_path")
         came = came.select(F.col("to_path").alias("path"), "from_path", F.lit("renamed").alias("change"), "old_blob", "new_blob")
@@ -396,21 +396,33 @@ class Repo:
         rows = came.unionByName(rest.select(*came.columns))
         if path is not None:
             rows = rows.where((F.col("path") == path) | (F.col("from_path") == path))
-        return kernels.described(self.texts(rows, contents, old="old_blob", new="new_blob"))
+        return self.texts(rows, contents, old="old_blob", new="new_blob")
+
+    def _compared(self, what: str | tuple[str, str], tree: DataFrame | str | None = None, path: str | None = None) -> DataFrame:
+        """Changes of the ``tree``, of what is ``staged``, or from one state to another."""
+        head = self.manifest("HEAD")
+        if what == "tree":
+            entries, contents = self._seen(tree)
+            return self._changes(manifests.effective(head, self.staging()), entries, contents, path)
+        if what == "staged":
+            return self._changes(head, manifests.effective(head, self.staging()), None, path)
+        return self._changes(self.manifest(what[0]), self.manifest(what[1]), None, path)
+
+    def views(self, what: str | tuple[str, str], tree: DataFrame | str | None = None, path: str | None = None) -> DataFrame:
+        """Views, one row a file, of the same changes as ``diff_tree``, ``diff_staged`` and ``diff_states`` tell."""
+        return html_view.views(self._compared(what, tree, path))
 
     def diff_tree(self, tree: DataFrame | str, path: str | None = None) -> DataFrame:
         """What a working tree, or one path of it, has that isn't staged."""
-        entries, contents = self._seen(tree)
-        return self._described(manifests.effective(self.manifest("HEAD"), self.staging()), entries, contents, path)
+        return kernels.described(self._compared("tree", tree, path))
 
     def diff_staged(self, path: str | None = None) -> DataFrame:
         """What is staged against HEAD, all of it or one path."""
-        head = self.manifest("HEAD")
-        return self._described(head, manifests.effective(head, self.staging()), None, path)
+        return kernels.described(self._compared("staged", path=path))
 
     def diff_states(self, old: str, new: str, path: str | None = None) -> DataFrame:
         """What changed from one state to another, all of it or one path."""
-        return self._described(self.manifest(old), self.manifest(new), None, path)
+        return kernels.described(self._compared((old, new), path=path))
 
     def renames(self, old: str, new: str) -> DataFrame:
         """from_path, to_path, the new blob and kind: exact, or with_edits where a source file's structure is kept."""
@@ -429,12 +441,14 @@ class Repo:
         return exact.unionByName(history.cut(edited.select("from_path", "to_path", "blob", F.lit("with_edits").alias("kind"))))
 
     def texts(self, rows: DataFrame, contents: DataFrame | None = None, **columns: str) -> DataFrame:
-        """The texts of blob columns: ``texts(df, old='old_blob')`` adds ``old``; ``contents`` holds blobs that aren't stored."""
-        blobs = self.table("blobs").select("blob", "kind", "bytes").where("kind = 'text'")
+        """The texts of blob columns: ``texts(df, old='old_blob')`` adds ``old``, null where it is no text, and
+        ``old_kind``; ``contents`` holds blobs that aren't stored."""
+        blobs = self.table("blobs").select("blob", "kind", "bytes")
         if contents is not None:
-            blobs = blobs.unionByName(contents.where("kind = 'text'")).dropDuplicates(["blob"])
+            blobs = blobs.unionByName(contents).dropDuplicates(["blob"])
         for name, blob in columns.items():
-            one = blobs.select(F.col("blob").alias(blob), F.col("bytes").cast("string").alias(name))
+            text = F.when(F.col("kind") == "text", F.col("bytes").cast("string"))
+            one = blobs.select(F.col("blob").alias(blob), text.alias(name), F.col("kind").alias(f"{name}_kind"))
             rows = rows.join(one, blob, "left")
         return rows
 

@@ -174,3 +174,36 @@ def test_rebase_goes_on_from_edited_files(spark, place):
     repo.rebase_continue(files=working_tree.load(spark, str(folder)))
     assert [bytes(r["content"]) for r in repo.files(repo.manifest("HEAD")).collect()] == [b"AZ\nb\n"]
     assert [r["message"] for r in repo.log().collect()][:2] == ["theirs", "ours"]
+
+
+def test_views_of_every_kind(spark, place, tmp_path):
+    repo, folder, write, commit = place
+    make = lambda files: spark.createDataFrame([(p, bytearray(c), m) for p, (c, m) in files.items()], "path string, content binary, mode string")
+    text = "regular"
+    one = repo.commit("one", make({"a.rs": (CODE.encode(), text), "t.txt": (b"x\n", text), "b": (b"\0a", text), "l": (b"a.rs", "symlink"), "k": (b"k", text), "m.txt": (b"moved\n", text), "gone": (b"g", text), "bad.json": (b"{\"a\": 1}", text)}), "1")
+    two = repo.commit("two", make({"a.rs": (CODE.replace("+ 1", "+ 2").encode(), text), "t.txt": (b"y\n", text), "b": (b"\0b", text), "l": (b"t.txt", "symlink"), "k": (b"\0", text), "n.txt": (b"moved\n", text), "new": (b"n", text), "bad.json": (b"{\"a\": ", text)}), "2")
+    got = {r["path"]: (r["mode"], r["path_from"]) for r in repo.views((one, two)).collect()}
+    assert got == {"a.rs": ("ast", None), "t.txt": ("text", None), "b": ("binary", None), "l": ("symlink", None), "k": ("kind_changed", None), "n.txt": ("rename", "m.txt"), "gone": ("deleted", None), "new": ("added", None), "bad.json": ("text", None)}
+    assert list(repo.diff_states(one, two, "bad.json").first()["lines"])[0] == "parse mode: ast (left), text (right)"
+    from lamina.sources import html_view
+
+    assert html_view.write_views(repo.views((one, two)), str(tmp_path / "v.html")) == 9
+
+
+def test_packs(spark):
+    import random
+
+    from lamina.operators import packs
+
+    rng = random.Random(1)
+    for _ in range(300):
+        base, target = (bytes(rng.choices(b"ab", k=rng.randrange(0, 12))) for _ in range(2))
+        assert packs.apply_delta(base, packs.build_delta(base, target)) == target
+    with pytest.raises(ValueError):
+        packs.apply_delta(b"", packs.build_delta(b"aaaa", b"aaaa"))
+    body = bytes(rng.randbytes(5000))
+    blobs = spark.createDataFrame([(f"00{i:02x}" + "0" * 58 + f"{j:02x}", bytearray(body + bytes([i, j]))) for i in range(4) for j in range(5)], "blob string, bytes binary")
+    made = packs.pack(blobs.unionByName(blobs))
+    kinds = [r["encoding"] for r in made.collect()]
+    assert len(kinds) == 20 and kinds.count("delta") == 8
+    assert {r["blob"]: bytes(r["bytes"]) for r in packs.unpack(made).collect()} == {r["blob"]: bytes(r["bytes"]) for r in blobs.collect()}
