@@ -13,6 +13,9 @@ doc_id. The work is dealt in three narrowing steps, each exact for what it passe
    breadth first, by increasing prefix length, which stops at ``LENGTH``: the intervals that are left
    are the repeated strings. The smallest doc_id of each decides.
 
+What meets in one task is met there first: of a minimizer two documents stand for all that a task saw, and of equal
+segments the smallest document's goes on, so a passage that very many documents share is no heavy key.
+
 Null texts are empty. Rows with a null doc_id neither lose bytes nor take any. Equal doc_ids are
 one document: its rows never repeat each other. Text shorter than ``LENGTH`` bytes stays whole. Chunks are
 equal by 128-bit hashes. The number of tasks follows the input's partitions, and a task takes its share
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import binary, mixed, slices, width
+from lamina.llm.common import binary, lean, mixed, slices, width
 
 LENGTH, GRAM = 50, 24
 #: Mean bytes of a chunk (a power of two).
@@ -209,6 +212,7 @@ def _dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
+SEGMENTS = ["bucket", "codes", "names", "counts", "at", "lengths", "bodies"]
 _BACK = "bucket int, names binary, counts binary, body binary"
 
 
@@ -228,6 +232,33 @@ def _sent_back(name: np.ndarray, body: np.ndarray, buckets: int):
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "names", "counts", "body"])
 
 
+def _here(back: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """Values that go back to their documents without meeting others, in buckets after those that do meet."""
+    shifted = pa.array(back.column("bucket").to_numpy() + buckets, pa.int32())
+    return pa.RecordBatch.from_arrays([shifted, back.column("body"), back.column("names"), back.column("counts")], names=["bucket", "codes", "names", "counts"])
+
+
+def _passed(batch: pa.RecordBatch, row: int, bucket: int) -> pa.RecordBatch:
+    columns = [batch.column(c).slice(row, 1) for c in ("names", "counts", "codes")]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *columns], names=["bucket", "names", "counts", "body"])
+
+
+def _firsts(code: np.ndarray, name: np.ndarray, count: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """Which segments some smaller document has as well, minimizer and all bytes alike."""
+    words = np.zeros((len(code), -(-body.shape[1] // 8) * 8), np.uint8)
+    words[:, : body.shape[1]] = body
+    h = mixed(code + mixed(count.astype(np.uint64)))
+    for column in words.view("<u8").T:
+        h = mixed(h + column * _B)
+    order = np.lexsort((name, h))
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    same = (code[order] == code[first]) & (count[order] == count[first]) & (words[order] == words[first]).all(1)
+    out = np.zeros(len(code), bool)
+    out[order] = same & (name[order] > name[first])
+    return out
+
+
 def _each_bucket(batches, names: tuple[str, ...], kinds: tuple):
     """The values of one bucket after the other, as one array for each of the named columns; rows come sorted."""
     at, held = None, []
@@ -273,7 +304,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     ``carry`` names a column to pass along. With ``as_text`` kept is a string; of a character
     that loses some of its bytes the others go too.
     """
-    parts = width(docs)
+    parts = width(lean(docs))
     buckets = 4 * parts
     carried = [carry] if carry else []
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried)
@@ -296,27 +327,35 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
 
         def sent():
             nonlocal codes, names, size
-            code, name = np.concatenate(codes), np.array(names, np.int64)
+            code, name = np.sort(np.concatenate(codes)), np.array(names, np.int64)
+            codes, names, size = [], [], 0
+            least, owner = code >> np.uint64(16), name[(code & np.uint64(0xFFFF)).astype(np.int64)]
+            head = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+            many = np.repeat(np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head), np.diff(np.append(head, len(code))))
+            yield _here(_sent_back(owner[many], least[many], buckets), buckets)  # met here already
+            # two of its documents stand for such a minimizer elsewhere
+            order = np.lexsort((owner, least))
+            new = np.concatenate([[True], least[order][1:] != least[order][:-1]])
+            code = np.sort(code[order[new | np.append(new[1:], True)]])
             bucket = _dealt(code >> np.uint64(16), buckets)
-            order = np.lexsort((code, bucket))
+            order = np.argsort(bucket, kind="stable")
             code, bucket = code[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            some = [b for b in range(buckets) if edges[b + 1] > edges[b]]
             rows: list[list] = [[], [], []]
-            for b in some:
+            for b in np.unique(bucket).tolist():
                 part = code[edges[b] : edges[b + 1]]
                 used, local = np.unique((part & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True)
                 rows[0].append(b)
                 rows[1].append(((part >> np.uint64(16) << np.uint64(16)) | local.astype(np.uint64)).tobytes())
                 rows[2].append(name[used].tobytes())
-            codes, names, size = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["bucket", "codes", "names"])
+            n = len(rows[0])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()), pa.nulls(n, pa.binary())], names=["bucket", "codes", "names", "counts"])
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for first, n, data, at in _texts(batch):
                 if len(names) + n > 0xFFFF and size:
-                    yield sent()
+                    yield from sent()
                 piece = _Piece(data, at, length, chunk)
                 row, _, _, least = piece.runs(piece.owned(_lists(batch.column("own"), first, n)), gram)
                 code = np.unique((least << np.uint64(16)) | (row + len(names)).astype(np.uint64))
@@ -324,9 +363,9 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
                 codes.append(code)
                 size += len(code)
                 if size >= FLUSH or len(names) >= 0xFFFF - 4096:
-                    yield sent()
+                    yield from sent()
         if size:
-            yield sent()
+            yield from sent()
 
     def met(batches):
         """Minimizers of two documents or more, given back to each of them."""
@@ -343,6 +382,9 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
         codes, names, at = [], [], None
         for batch in batches:
             for row, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket >= buckets:
+                    yield _passed(batch, row, bucket - buckets)
+                    continue
                 if bucket != at and codes:
                     yield shared_by(codes, names)
                     codes, names = [], []
@@ -353,7 +395,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
         if codes:
             yield shared_by(codes, names)
 
-    anchors = known.where("own is not null").mapInArrow(anchored, "bucket int, codes binary, names binary")
+    anchors = known.where("own is not null").mapInArrow(anchored, "bucket int, codes binary, names binary, counts binary")
     shared = _gathered(_sorted(anchors, parts).mapInArrow(met, _BACK), parts, 8, ("met_id", "found"))
     wide = 2 * length - gram
 
@@ -365,18 +407,27 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
         def sent():
             nonlocal held, names, size
             code, at, count, body = (np.concatenate(x) for x in zip(*held, strict=True))
-            name = np.array(names, np.int64)
-            bucket = _dealt(code >> np.uint64(16), buckets)
+            owner = np.array(names, np.int64)[(code & np.uint64(0xFFFF)).astype(np.int64)]
+            held, names, size = [], [], 0
+            code = code >> np.uint64(16)
+            if not len(code):
+                return
+            later = _firsts(code, owner, count, body)
+            gone = np.stack([at[later], at[later] + count[later] - length], 1)  # all of its strings start before
+            back = _here(_sent_back(owner[later], gone, buckets), buckets)
+            none = pa.nulls(back.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([*back.columns, none, none, none], names=SEGMENTS)
+            code, owner, at, count, body = (x[~later] for x in (code, owner, at, count, body))
+            bucket = _dealt(code, buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows: list[list] = [[] for _ in range(6)]
-            for b in range(buckets):
+            for b in np.unique(bucket).tolist():
                 part = order[edges[b] : edges[b + 1]]
-                if len(part):
-                    for column, value in zip(rows, (b, (code[part] >> np.uint64(16)).tobytes(), name[(code[part] & np.uint64(0xFFFF)).astype(np.int64)].tobytes(), at[part].tobytes(), count[part].tobytes(), body[part].tobytes()), strict=True):
-                        column.append(value)
-            held, names, size = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "codes", "names", "at", "lengths", "bodies"])
+                for column, value in zip(rows, (b, code[part].tobytes(), owner[part].tobytes(), at[part].tobytes(), count[part].tobytes(), body[part].tobytes()), strict=True):
+                    column.append(value)
+            kinds = [pa.array(r, pa.binary()) for r in rows[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), kinds[0], kinds[1], pa.nulls(len(rows[0]), pa.binary()), *kinds[2:]], names=SEGMENTS)
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -391,7 +442,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
                         hit[edges[r] : edges[r + 1]] = np.isin(least[edges[r] : edges[r + 1]], values)
                 row, begin, stop, least = row[hit], begin[hit], stop[hit], least[hit]
                 if len(names) + n > 0xFFFF and held:
-                    yield sent()
+                    yield from sent()
                 count = stop - begin + length
                 inside = np.arange(wide) < count[:, None]
                 body = np.where(inside, data[np.minimum(begin[:, None] + np.arange(wide), len(data) - 1)], 0).astype(np.uint8) if len(row) else np.zeros((0, wide), np.uint8)
@@ -399,15 +450,27 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
                 names += [i or 0 for i in ids[first : first + n]]
                 size += len(row)
                 if size >= FLUSH // 20 or len(names) >= 0xFFFF - 4096:
-                    yield sent()
+                    yield from sent()
         if size:
-            yield sent()
+            yield from sent()
 
     def judged(batches):
         """Runs of repeated strings of each document: first and last start."""
         kinds = ("<u8", "<i8", "<i8", "<u2", np.uint8)
-        for values in _each_bucket(batches, ("codes", "names", "at", "lengths", "bodies"), kinds):
+
+        def own():
+            for batch in batches:
+                bucket = batch.column("bucket").to_numpy()
+                for row in np.flatnonzero(bucket >= buckets).tolist():
+                    passed.append(_passed(batch, row, int(bucket[row]) - buckets))
+                yield batch.filter(pa.array(bucket < buckets))
+
+        passed: list[pa.RecordBatch] = []
+        for values in _each_bucket(own(), ("codes", "names", "at", "lengths", "bodies"), kinds):
             yield from repeats_of(*values)
+            while passed:
+                yield passed.pop()
+        yield from passed
 
     def repeats_of(code, name, at, count, body):
         body = body.reshape(-1, wide)
@@ -435,7 +498,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
             yield _sent_back(np.concatenate([n for n, _ in lost]), np.concatenate([x for _, x in lost]), buckets)
 
     candidates = known.join(shared.hint("shuffle_hash"), known["doc_id"] == shared["met_id"]).drop("met_id")
-    segments = candidates.mapInArrow(segmented, "bucket int, codes binary, names binary, at binary, lengths binary, bodies binary")
+    segments = candidates.mapInArrow(segmented, "bucket int, codes binary, names binary, counts binary, at binary, lengths binary, bodies binary")
     gone = _gathered(_sorted(segments, parts).mapInArrow(judged, _BACK), parts, 16, ("gone_id", "gone"))
 
     def cleaned(batches):

@@ -146,6 +146,15 @@ def test_suffix_dedup_on_data(spark, data):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == want
 
 
+def test_suffix_dedup_in_many_small_messages(spark, data, monkeypatch):
+    """What a task meets by itself and what only tasks together meet give one result."""
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 400)
+    want = brute_dedup(texts_of(spark, data))
+    for parts in (1, 7):
+        got = suffix_dedup.mark(spark.read.parquet(f"{data}/documents.parquet").repartition(parts)).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == want
+
+
 @pytest.mark.parametrize("length", [30, 50, 64, 100, 150])
 def test_suffix_dedup_of_any_length(spark, length):
     rng = random.Random(length)
