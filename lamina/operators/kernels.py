@@ -10,6 +10,7 @@ from hashlib import blake2b
 from os.path import splitext
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +29,26 @@ ALIGNED = "path string, old_id string, new_id string, kind string, method string
 MERGED = "path string, clean boolean, text string, message string, overlaps array<string>"
 NODES = "path string, id string, kind string, payload string, children array<string>"
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
 
 def _mapped(rows: DataFrame, columns: tuple[str, ...], schema: str, kernel) -> DataFrame:
     """``kernel(*row)`` yields result tuples; texts of null count as empty.
 
     Kernels take far longer than moving their rows, so these are first spread evenly.
     """
-    names = [f.split()[0] for f in schema.split(", ")]
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            out = [r for row in pdf.itertuples(index=False) for r in kernel(*(x if isinstance(x, str) else "" for x in row))]
-            yield pd.DataFrame(out, columns=names)
+        for batch in batches:
+            given = [["" if v is None else v for v in batch.column(c).to_pylist()] for c in columns]
+            out = [r for row in zip(*given, strict=True) for r in kernel(*row)]
+            made = zip(*out, strict=True) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(made, fields, strict=True)], names=[n for n, _ in fields])
 
     spark = rows.sparkSession
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return rows.select(*columns).repartition(spread, columns[0]).mapInPandas(run, schema)
+    return rows.select(*columns).repartition(spread, columns[0]).mapInArrow(run, schema)
 
 
 def text_diff(pairs: DataFrame) -> DataFrame:
@@ -69,7 +74,10 @@ def merge_files(triples: DataFrame) -> DataFrame:
         merged = _merge.merge_files(path, base, left, right)
         return [(path, merged.clean, merged.text, merged.message, [" / ".join(o) for o in merged.overlaps])]
 
-    return _mapped(triples, ("path", "base", "left", "right"), MERGED, kernel)
+    settled = F.when(F.col("left").eqNullSafe(F.col("right")) | F.col("right").eqNullSafe(F.col("base")), F.col("left")).when(F.col("left").eqNullSafe(F.col("base")), F.col("right"))
+    plain = F.coalesce(F.expr("left <=> right or right <=> base or left <=> base"), F.lit(False))
+    done = triples.where(plain).select("path", F.lit(True).alias("clean"), F.coalesce(settled, F.lit("")).alias("text"), F.lit("").alias("message"), F.array().cast("array<string>").alias("overlaps"))
+    return _mapped(triples.where(~plain), ("path", "base", "left", "right"), MERGED, kernel).unionByName(done)
 
 
 def structural_diff(pairs: DataFrame) -> DataFrame:
