@@ -52,13 +52,13 @@ def _bound(value: Column, body) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words inside a three-word window that occurs twice or more in the text.
 
-    Windows are sorted by hash, then text, then place; neighbours that agree are repeats. Their
-    places, sorted again, cover ``min(3, gap)`` words each.
+    Windows are told apart by two 64-bit hashes and sorted by them, then place; neighbours that agree are
+    repeats. Their places, sorted again, cover ``min(3, gap)`` words each. No window's text is made.
     """
 
     def repeats(ordered: Column) -> Column:
         last = F.size(ordered) - 1
-        same = lambda i, j: (ordered[i]["h"] == ordered[j]["h"]) & (ordered[i]["w"] == ordered[j]["w"])
+        same = lambda i, j: (ordered[i]["h"] == ordered[j]["h"]) & (ordered[i]["g"] == ordered[j]["g"])
         hits = F.filter(ordered, lambda x, i: same(F.greatest(i - 1, F.lit(0)), i) & (i > 0) | same(F.least(i + 1, last), i) & (i < last))
         return F.sort_array(F.transform(hits, lambda x: x["p"]))
 
@@ -70,7 +70,7 @@ def _repeat_words(words: Column) -> Column:
     def windows(w: Column) -> Column:
         made = F.transform(
             F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("w"), i.alias("p")),
+            lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), F.xxhash64(F.lit(1), w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("p")),
         )
         return _bound(_bound(F.sort_array(made), repeats), covered)
 
