@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -10,6 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch that goes to Python.
+ARROW_BYTES = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text worked on at once, so that the eight-byte temporaries stay small.
 SLICE = 1 << 20
 
@@ -37,14 +41,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(docs: DataFrame) -> DataFrame:
+    """``docs``, once the session hands texts to Python in batches of ``ARROW_BYTES`` at most: however long
+    they are, a task holds few of them at once. A smaller setting stays."""
+    conf = docs.sparkSession.conf
+    size, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", conf.get(_BYTES).lower()).groups()
+    now = int(size) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+    if now <= 0 or now > ARROW_BYTES:
+        conf.set(_BYTES, str(ARROW_BYTES))
+    return docs
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def width(docs: DataFrame, per: int = 4) -> int:
-    """Partitions for a shuffle of ``docs``: ``per`` for each partition that is read, so that what one task
-    holds does not grow with the table."""
-    return max(docs.sparkSession.sparkContext.defaultParallelism, per * docs.rdd.getNumPartitions())
+def swept(spark: SparkSession) -> None:
+    """Let Spark drop the shuffles and checkpoints of earlier rounds: it does so once the driver's JVM has
+    found that nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def width(docs: DataFrame) -> int:
+    """Partitions for a shuffle of ``docs``: as many as are read, so that what one task holds does not grow
+    with the table."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
 
 
 def binary(column) -> tuple[np.ndarray, np.ndarray]:

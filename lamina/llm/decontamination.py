@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import LETTERED, LOWER, appended, binary, cut, gram_hashes, slices, spans, word_hashes
+from lamina.llm.common import LETTERED, LOWER, appended, binary, cut, gram_hashes, lean, slices, spans, word_hashes
 
 #: Words of a window, and of a fingerprint.
 WINDOW, GRAM = 13, 5
@@ -141,7 +141,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     """
     added = {"n_words": "long", "hit_spans": "array<struct<first:int,last:int>>", "n_hit": "long", "hit_items": "array<string>", "contaminated": "boolean"}
     kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.int64(), pa.list_(pa.string()), pa.bool_()]
-    own = [f for f in docs.schema.fields if f.name not in added]
+    own = [f for f in lean(docs).schema.fields if f.name not in added]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own], *[f"{k} {v}" for k, v in added.items()]])
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     tests = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import SPACED, binary, cut, gram_hashes, mixed, partitions, slices, spans, word_hashes
+from lamina.llm.common import SPACED, binary, cut, gram_hashes, lean, mixed, partitions, slices, spans, swept, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Trees of the forest, their full depth, and the recall wanted at the threshold.
@@ -190,6 +190,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == tuple(seen):
             return least(now).select(F.col("a").alias("node"), F.col("m").alias("root"))
         mark = tuple(seen)
+        del low, far, large, near
+        swept(edges.sparkSession)
 
 
 def candidates(signed: DataFrame, trees: int, depth: int, floor: int, threshold: float, recall: float) -> DataFrame:
@@ -306,11 +308,15 @@ def _verified(batches, ninth: tuple[int, int]):
         yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some]), pa.array(lead[root][some])], names=["rep", "links", "lead"])
 
 
-def _with_sets(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
-    """``rows`` (first, s1, s2, ...) with the shingles of their sets, read from the texts of ``first``."""
+def _with_sets(docs: DataFrame, text: str, rows: DataFrame, then=None, made: str = "") -> DataFrame:
+    """``rows`` (first, s1, s2, ...) with the shingles of their sets, read from the texts of ``first``; or what
+    ``then`` makes of these batches, of schema ``made``, in the same Python worker."""
     passed = [f for f in rows.schema.fields if f.name not in ("first", "s1", "s2")]
 
     def run(batches):
+        yield from then(found_in(batches)) if then else found_in(batches)
+
+    def found_in(batches):
         for batch in batches:
             get = lambda name, b=batch: b.column(b.schema.get_field_index(name))
             data, offsets = binary(get("text"))
@@ -327,7 +333,7 @@ def _with_sets(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col(text).cast("string").alias("text"))
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in passed) + "shingles binary"
-    return texts.join(rows, "first").select(*[f.name for f in passed], "s1", "s2", "text").mapInArrow(run, schema)
+    return texts.join(rows, "first").select(*[f.name for f in passed], "s1", "s2", "text").mapInArrow(run, made or schema)
 
 
 def _rings(batches, step: float):
@@ -359,11 +365,12 @@ def _blocked(docs: DataFrame, text: str, members: DataFrame, threshold: float, b
     inside = cut(members.join(large, "cluster", "left_semi"))
     pivots = inside.where("rep = cluster")
     heavy = pivots.agg(F.sum("n")).first()[0] > most
-    pivots = _with_sets(docs, text, pivots.select("first", "s1", "s2", "cluster")).dropDuplicates(["cluster"]).withColumnRenamed("shingles", "pivot")
+    pivots = cut(_with_sets(docs, text, pivots.select("first", "s1", "s2", "cluster")).dropDuplicates(["cluster"]).withColumnRenamed("shingles", "pivot"))
     pivots = _spread(pivots) if heavy else F.broadcast(pivots)
     step = max((1 - threshold) / 4, 1e-6)  # four rings reach as far as a link
-    apart = _with_sets(docs, text, inside.select("first", "s1", "s2", "cluster", "rep")).join(pivots, "cluster").select("rep", "shingles", "pivot")
-    rings = cut(apart.mapInArrow(lambda batches: _rings(batches, step), "rep long, ring int").dropDuplicates(["rep"]))
+    asked = inside.select("first", "s1", "s2", "cluster", "rep").join(pivots, "cluster").drop("cluster")
+    rings = _with_sets(docs, text, asked, lambda batches: _rings(batches, step), "rep long, ring int")
+    rings = cut(rings.dropDuplicates(["rep"]))
     scale = math.log(1 / threshold) * 1.0001 if threshold < 1 else 1e-9
     classed = inside.join(rings, "rep").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / scale))
     group = ["cluster", "ring", "class"]
@@ -389,7 +396,7 @@ def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, tree
     rows whose sets are similar by ``threshold`` or more, copies among them; ``kept``: one row of each class,
     of its least doc_id (every row without a doc_id is); ``mark``: xxhash64 of the text.
     """
-    spark = docs.sparkSession
+    spark = lean(docs).sparkSession
     floor = max(depth_for(trees, depth, threshold, recall), depth - 64 // _STEP)
     base = cut(sketches(docs, text, trees, depth, floor))
     named = base.where("doc_id is not null")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import LOWER, SPACED, binary, cut, mixed, partitions, slices, spans, width, word_hashes
+from lamina.llm.common import LOWER, SPACED, binary, cut, lean, mixed, partitions, slices, spans, width, word_hashes
 
 #: Head words; classes, and parts of each.
 HEAD, WIDE = 1 << 19, 32
@@ -486,7 +486,7 @@ PARTS = ["key", "doc_id", "copies", "n_tokens", "n_known", "base", "score"]
 
 def fit_and_score(docs: DataFrame, held_fold: int = 2, folds: int = 7) -> tuple[DataFrame, Model]:
     """Train on all rows outside the held-out fold and score every row."""
-    base = docs.select("doc_id", "text")
+    base = lean(docs).select("doc_id", "text")
     taught = base.where(~F.coalesce(fold(folds=folds) == held_fold, F.lit(False)))
     counts = cut(counted(taught))
     model = train(taught, counts)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import tokens
-from lamina.llm.common import cut
+from lamina.llm.common import cut, lean
 
 #: Tokens of a sequence, and the id that ends a document.
 SIZE, END = 2048, 0
@@ -79,7 +79,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END
             rows = []
             return out
 
-        for batch in batches:
+        for batch in tokens.kept(batches):
             ids = batch.column("doc_id").to_pylist()
             for doc_id, found in zip(ids, tokens.arrays(batch.column("text"), vocabulary), strict=True):
                 whole = np.append(found, np.uint32(end)).astype("<u4")
@@ -125,7 +125,7 @@ def _merged(items: DataFrame, groups: int, turn: int, size: int) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, slack: int = SLACK) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
-    pieces = cut(pieces_of(docs, vocabulary, size, end))
+    pieces = cut(pieces_of(lean(docs), vocabulary, size, end))
     fills = pieces.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < size - slack)
     places, groups = None, 0
     for turn in range(ROUNDS):

@@ -305,7 +305,7 @@ def mark(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     that loses some of its bytes the others go too.
     """
     parts = width(lean(docs))
-    buckets = 4 * parts
+    buckets = 8 * parts
     carried = [carry] if carry else []
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.llm import tokens
-from lamina.llm.common import cut, partitions
+from lamina.llm.common import cut, lean, partitions
 
 #: Ids of a range; ranges of a run of the prefix scan.
 BLOCK, RUN = 1 << 19, 4096
@@ -42,14 +42,14 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, separator: int = SEP
 
     A task writes one file, named by its attempt; files of attempts that failed are named by no row.
     """
-    spark = docs.sparkSession
+    spark = lean(docs).sparkSession
 
     def run(batches):
         store, top = _store(path)
         store.create_dir(f"{top}/ids", recursive=True)
         name, sink, number = f"ids/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}.bin", None, 0
         try:
-            for batch in batches:
+            for batch in tokens.kept(batches):
                 if not batch.num_rows:
                     continue
                 sink = sink or store.open_output_stream(f"{top}/{name}")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import tokens
-from lamina.llm.common import cut, partitions
+from lamina.llm.common import cut, lean, partitions
 
 END = 2
 #: Tokens of one matrix at most (beyond it only a longer single document).
@@ -208,7 +208,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, bits: int
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in FILE.split(", ")])
 
-        for batch in batches:
+        for batch in tokens.kept(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.encoded(batch.column("text"), vocabulary), strict=True):
                 if held and size + len(ids) // 4 >= shard:
                     yield flushed()
@@ -218,7 +218,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = END, bits: int
         if held:
             yield flushed()
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    dealt = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(run, FILE).write.option("compression", "none").parquet(path)
 
 
@@ -228,7 +228,7 @@ def read_back(spark: SparkSession, path: str, end: int = END) -> DataFrame:
     ``first_id`` and ``n_ends`` come from lookups: the id at the document's start, and how often the
     end id stands in its range.
     """
-    files = spark.read.parquet(path)
+    files = lean(spark.read.parquet(path))
     totals = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     heads, total = {}, 0
     for part in sorted(totals):

@@ -19,7 +19,7 @@ import regex
 
 from lamina.llm.common import binary
 
-#: Distinct pieces in either part of a worker's cache at most; beyond it that part starts anew.
+#: Distinct pieces in a worker's cache at most; beyond it the cache starts anew.
 CACHE = 250_000
 #: Bytes of texts encoded together, so that what is new in them stays small.
 TOGETHER = 4 << 20
@@ -112,7 +112,7 @@ class Encoder:
             self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes, or 1 for a last id
             for token, at in vocab.items():
                 self.width[at] = token.endswith(self.end) if self.end else len(token)
-        self.most, self.known, self.young = cache, {}, {}
+        self.most, self.known = cache, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -126,14 +126,17 @@ class Encoder:
             out |= _parts(ids, pieces, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)])
         return out
 
-    def _joined(self, tokens: list[str]) -> dict[str, bytes]:
-        """Each pre-token's ids, from one run over all of them; where they end shows in the ids."""
-        safe = [t for t in tokens if self.end or (t[0] == " " and len(t) > 1 and not t[1].isspace())]
+    def _joined(self, tokens: list[str], plain: bool = False) -> dict[str, bytes]:
+        """Each pre-token's ids, from one run over all of them; where they end shows in the ids.
+
+        ``plain``: all of them are ASCII words with the space before them, which keep apart.
+        """
+        safe = tokens if plain or self.end else [t for t in tokens if t[0] == " " and len(t) > 1 and not t[1].isspace()]
         out = self._marked(list(set(tokens).difference(safe))) if len(safe) < len(tokens) else {}
         if safe:
             ids = np.array(self.plain.encode_batch_fast([(" " if self.end else "").join(safe)], add_special_tokens=False)[0].ids, "<u4")
             reach = np.cumsum(self.width[ids])
-            want = np.arange(1, len(safe) + 1) if self.end else np.cumsum([len(t.encode()) for t in safe])
+            want = np.arange(1, len(safe) + 1) if self.end else np.cumsum(np.fromiter(map(len, safe) if plain else (len(t.encode()) for t in safe), np.int64, len(safe)))
             last = np.searchsorted(reach, want)
             if len(reach) and reach[-1] == want[-1] and (reach[last] == want).all():
                 ends = (last + 1).tolist()
@@ -144,56 +147,39 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """New pieces: their pre-tokens are looked up or encoded, then joined."""
-        known, young, whole, parts, plain = self.known, self.young, [], {}, []
-        for p in pieces:
-            if self.end and p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\u00ff"):
-                plain.append(p)  # one pre-token as it stands
-            elif not self.end and p[:1] == " " and p.isascii() and p[1:].isalpha():
-                plain.append(p)
-            elif self.end and p and max(p) > "\u00ff":  # may change when it is normalised
-                whole.append(p)
-            else:
-                parts[p] = self.pattern.findall(p.lower() if self.end else p)
-        done = self._joined(plain) if plain else {}
-        needed = {t for tokens in parts.values() for t in tokens}
-        found = {t: known[t] for t in needed if t in known}
-        again = {t: young.pop(t) for t in needed if t in young}
-        known.update(again)
-        found.update(again)
-        found.update({t: done[t] for t in needed if t in done})
+        known, whole = self.known, []
+        if self.end:
+            plain = [p for p in pieces if p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\u00ff")]  # one pre-token as it stands
+        else:
+            plain = [p for p in pieces if p.isascii() and p[1:].isalpha() and p[0] == " "]
+        out = self._joined(plain, plain=not self.end) if plain else {}
+        rest = [p for p in pieces if p not in out] if len(out) < len(pieces) else []
+        if self.end:
+            whole = [p for p in rest if p and max(p) > "\u00ff"]  # may change when it is normalised
+            odd = set(whole)
+            parts = {p: self.pattern.findall(p.lower()) for p in rest if p not in odd}
+        else:
+            parts = dict(zip(rest, map(self.pattern.findall, rest), strict=True))
+        needed = set(chain.from_iterable(parts.values()))
+        found = {t: ids for t in needed if (ids := known.get(t) or out.get(t)) is not None}
         if new := [t for t in needed if t not in found]:
             fresh = self._joined(new)
-            young.update(fresh)
+            known.update(fresh)
             found.update(fresh)
-        out = {p: found[tokens[0]] if len(tokens) == 1 else b"".join([found[t] for t in tokens]) for p, tokens in parts.items()}
-        return done | out | (self._marked(whole) if whole else {})
+        out.update({p: found[tokens[0]] if len(tokens) == 1 else b"".join([found[t] for t in tokens]) for p, tokens in parts.items()})
+        return out | self._marked(whole) if whole else out
 
     def _looked_up(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces, from the cache or by one run for all new ones.
-
-        What is met a second time moves to the lasting part of the cache; the rest, mostly never met
-        again, is dropped whenever there is too much of it.
-        """
-        known, young = self.known, self.young
-        out = list(map(known.get, pieces))
-        lacking = [i for i, ids in enumerate(out) if ids is None]
-        new = []
-        for i in lacking:
-            p = pieces[i]
-            if (ids := young.pop(p, None)) is not None:
-                known[p] = out[i] = ids
-            else:
-                new.append(i)
-        if new:
-            fresh = self._pieces([pieces[i] for i in new])
-            young.update(fresh)
-            for i in new:
-                out[i] = fresh[pieces[i]]
-        if len(young) > self.most:
-            young.clear()
-        if len(known) > self.most:
-            known.clear()
-        return out
+        """The ids of distinct pieces, from the cache or by one run for all new ones; a full cache starts anew."""
+        out = list(map(self.known.get, pieces))
+        new = [p for p, ids in zip(pieces, out, strict=True) if ids is None]
+        if not new:
+            return out
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+        fresh = self._pieces(new)
+        self.known.update(fresh)
+        return [fresh[p] if ids is None else ids for p, ids in zip(pieces, out, strict=True)]
 
     def bytes_of_all(self, texts: list[str]) -> list[bytes]:
         """``bytes_of`` for many texts, which share one run for their new pieces."""
@@ -266,6 +252,15 @@ def encoded(column: pa.Array, path: str):
         row = end
 
 
+def kept(batches):
+    """Batches of a task, after which the worker's encoders forget their pieces: an idle worker holds none."""
+    try:
+        yield from batches
+    finally:
+        for worker in _ENCODERS.values():
+            worker.known.clear()
+
+
 def arrays(column: pa.Array, path: str):
     """``encoded``, each as an array of unsigned 32-bit integers."""
     for ids in encoded(column, path):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import LETTERED, LOWER, appended, binary, cut, gram_hashes, slices, spans, word_hashes
+from lamina.llm.common import LETTERED, LOWER, appended, binary, cut, gram_hashes, lean, slices, spans, word_hashes
 
 SAMPLE_DOCS = 3000
 #: Ordinary texts for each toxic one, so that a word's absence from them means something.
@@ -213,6 +213,7 @@ def remainder(doc_id: str = "doc_id", fold: int = 3):
 
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on labelled rows whose fold is not 1. Two thirds of the sample are counted, one third fits the curve."""
+    lean(docs)
     usable = labels.where(F.col("toxic").isin(0, 1) & (remainder() != 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     drawn = None
     for value in (0, 1):
@@ -238,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS) -> M
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the score as a column, which replaces one of the same name."""
-    handed = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    handed = lean(docs).sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):
         for batch in batches:
