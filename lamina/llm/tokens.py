@@ -19,8 +19,8 @@ import regex
 
 from lamina.llm.common import binary
 
-#: Distinct pieces in a worker's cache at most; beyond it the cache starts anew.
-CACHE = 250_000
+#: Distinct pieces in either part of a worker's cache at most; beyond it that part starts anew.
+CACHE = 300_000
 #: Bytes of texts encoded together, so that what is new in them stays small.
 TOGETHER = 4 << 20
 
@@ -112,7 +112,7 @@ class Encoder:
             self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes, or 1 for a last id
             for token, at in vocab.items():
                 self.width[at] = token.endswith(self.end) if self.end else len(token)
-        self.most, self.known = cache, {}
+        self.most, self.known, self.young = cache, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -147,7 +147,7 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """New pieces: their pre-tokens are looked up or encoded, then joined."""
-        known, whole = self.known, []
+        known, young, whole = self.known, self.young, []
         if self.end:
             plain = [p for p in pieces if p.isalpha() and p.islower() and (p.isascii() or max(p) <= "\u00ff")]  # one pre-token as it stands
         else:
@@ -161,24 +161,32 @@ class Encoder:
         else:
             parts = dict(zip(rest, map(self.pattern.findall, rest), strict=True))
         needed = set(chain.from_iterable(parts.values()))
-        found = {t: ids for t in needed if (ids := known.get(t) or out.get(t)) is not None}
+        found = {t: ids for t in needed if (ids := known.get(t) or out.get(t) or young.get(t)) is not None}
         if new := [t for t in needed if t not in found]:
             fresh = self._joined(new)
-            known.update(fresh)
+            young.update(fresh)
             found.update(fresh)
         out.update({p: found[tokens[0]] if len(tokens) == 1 else b"".join([found[t] for t in tokens]) for p, tokens in parts.items()})
         return out | self._marked(whole) if whole else out
 
     def _looked_up(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces, from the cache or by one run for all new ones; a full cache starts anew."""
-        out = list(map(self.known.get, pieces))
-        new = [p for p, ids in zip(pieces, out, strict=True) if ids is None]
-        if not new:
+        """The ids of distinct pieces, from the cache or by one run for all new ones.
+
+        What is met a second time moves to the lasting part of the cache; the rest, mostly never met
+        again, is dropped whenever there is too much of it.
+        """
+        known, young = self.known, self.young
+        out = list(map(known.get, pieces))
+        lacking = [p for p, ids in zip(pieces, out, strict=True) if ids is None]
+        if not lacking:
             return out
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-        fresh = self._pieces(new)
-        self.known.update(fresh)
+        again = {p: young.pop(p) for p in lacking if p in young}
+        fresh = self._pieces([p for p in lacking if p not in again])
+        for part, more in ((known, again), (young, fresh)):
+            if len(part) + len(more) > self.most:
+                part.clear()
+            part.update(more)
+        fresh |= again
         return [fresh[p] if ids is None else ids for p, ids in zip(pieces, out, strict=True)]
 
     def bytes_of_all(self, texts: list[str]) -> list[bytes]:
@@ -259,6 +267,7 @@ def kept(batches):
     finally:
         for worker in _ENCODERS.values():
             worker.known.clear()
+            worker.young.clear()
 
 
 def arrays(column: pa.Array, path: str):
