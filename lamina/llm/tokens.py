@@ -261,12 +261,11 @@ def encoded(column: pa.Array, path: str):
 
 
 def kept(batches):
-    """Batches of a task, after which the worker's encoders forget their pieces: an idle worker holds none."""
+    """Batches of a task, after which the worker's encoders forget the pieces that were met once."""
     try:
         yield from batches
     finally:
         for worker in _ENCODERS.values():
-            worker.known.clear()
             worker.young.clear()
 
 
