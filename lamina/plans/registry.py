@@ -547,7 +547,7 @@ _ADDED = _node_sql("Function", "''", _token("fn"), _token("added", "Identifier")
     UNION ALL SELECT 'o/' || o_orderkey || '.rs', 0, 'edit_payload', 'edit_literal', {_node_sql("Literal", "floor(o_totalprice)::BIGINT::VARCHAR")}, '0' FROM orders WHERE o_orderkey % 3 = 2 AND floor(o_totalprice) <> 0""")
 def ast_diff(spark, sf_dir):
     """Each edit of the sources is one mutation, or a field and its comma."""
-    return kernels.structural_diff(_sources(spark, sf_dir)).select("path", "seq", "op", "intent", "node", "payload")
+    return kernels.structural_diff(_sources(spark, sf_dir), parents=False).select("path", "seq", "op", "intent", "node", "payload")
 
 
 @query()
