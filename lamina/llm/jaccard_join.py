@@ -27,10 +27,10 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import SPACED, binary, cut, gram_hashes, lean, mixed, partitions, slices, spans, swept, word_hashes
+from lamina.llm.common import SPACED, binary, gathered, gram_hashes, lean, mixed, partitions, slices, spans, swept, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Trees of the forest, their full depth, and the recall wanted at the threshold.
@@ -39,6 +39,8 @@ TREES, DEPTH, RECALL = 20, 10, 0.995
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 #: Rows of large clusters up to which their table may be broadcast.
 BROADCAST_CLUSTERS = 50_000
+#: Edges of a graph that one task contracts at once (32 MB); a larger graph goes through rounds of joins first.
+TASK_EDGES = 2_000_000
 #: Bits of a MinHash below the least depth.
 _STEP = 16
 
@@ -155,7 +157,7 @@ def _contracted(batches):
     for batch in batches:
         held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
         size += batch.num_rows
-        if size >= 2_000_000:
+        if size >= TASK_EDGES:
             yield sent()
             held, size = [], 0
     if size:
@@ -168,28 +170,34 @@ def _spread(small: DataFrame) -> DataFrame:
     return small.repartition(partitions(small.sparkSession))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = TASK_EDGES, held: bool = False) -> DataFrame:
     """(node, root): the least node of the component of each node of the edges (a, b).
 
-    Tasks contract what they hold; then large-star and small-star contraction alternate until the
-    edges no longer change. Each round is written to the checkpoint folder, and nothing but two
-    sums reaches the driver.
+    Tasks contract what they hold (not so few edges that are ``held`` in the checkpoint folder). What is left, the
+    forests of all tasks, is contracted by one task once it is ``most`` edges or fewer (``TASK_EDGES`` at most).
+    Above that large-star and small-star contraction alternate,
+    until so few are left or the edges no longer change. Each round is written to the checkpoint folder,
+    and nothing but two sums reaches the driver.
     """
     least = lambda some: some.groupBy("a").agg(F.min("b").alias("m"))
     tied = lambda some: some.where("a <> b").distinct()
-    now = cut(tied(edges.select("a", "b").mapInArrow(_contracted, "a long, b long")))
-    mark = None
+    contracted = lambda some: some.mapInArrow(_contracted, "a long, b long")
+    now, most, mark = edges.select("a", "b"), min(most, TASK_EDGES), None
+    if not held or now.count() > most:
+        now = gathered(contracted(now))
     while True:
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if seen[0] <= most:
+            return gathered(contracted(now.coalesce(1))).toDF("node", "root")
+        if mark == tuple(seen):
+            return least(now).select(F.col("a").alias("node"), F.col("m").alias("root"))
+        mark = tuple(seen)
         low = least(now)
         far = now.join(_spread(low.withColumnRenamed("a", "b")), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         large = tied(far.unionByName(low.withColumnRenamed("m", "b")))
         low = least(large)
         near = large.join(_spread(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(tied(near.unionByName(low.withColumnRenamed("m", "b"))))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == tuple(seen):
-            return least(now).select(F.col("a").alias("node"), F.col("m").alias("root"))
-        mark = tuple(seen)
+        now = gathered(tied(near.unionByName(low.withColumnRenamed("m", "b"))))
         del low, far, large, near
         swept(edges.sparkSession)
 
@@ -198,20 +206,19 @@ def candidates(signed: DataFrame, trees: int, depth: int, floor: int, threshold:
     """Ties (a, b) between members (rep, labels, tails) that share a node some member still searches."""
     each = signed.select("rep", F.posexplode(F.arrays_zip("labels", "tails")).alias("tree", "x")).select("rep", "tree", F.col("x.labels").alias("label"), F.col("x.tails").alias("tail"))
     shared = each.groupBy("tree", "label").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    met = cut(each.join(_spread(shared), ["tree", "label"]))  # whoever is alone at the least depth is alone below it
+    met = gathered(each.join(_spread(shared), ["tree", "label"]))  # whoever is alone at the least depth is alone below it
     prefix = lambda d: F.lit(0).cast("long") if d == floor else F.col("tail").bitwiseAND(F.lit((1 << _STEP * (d - floor)) - 1 if d - floor < 64 // _STEP else -1).cast("long"))
     node = ["tree", "label", "depth", "prefix"]
     levels = met.select("rep", "tree", "label", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(d).alias("prefix")) for d in range(floor, depth + 1)])).alias("x")).select("rep", "tree", "label", "x.*")
     sizes = levels.groupBy(*node).agg(F.count("*").alias("size")).where("size > 1")
-    known = cut(levels.join(_spread(sizes), node))
-    found = known.groupBy("rep").agg(*[(F.coalesce(F.max(F.when(F.col("depth") == d, F.col("size"))), F.lit(1)) - 1).alias(f"f{d}") for d in range(floor, depth + 1)])
+    known, own = levels.join(_spread(sizes), node), Window.partitionBy("rep")  # a member has a row for each tree and depth at most
+    found = lambda d: F.coalesce(F.max(F.when(F.col("depth") == d, F.col("size"))).over(own), F.lit(1)) - 1
     stop = F.lit(floor)
     for d in range(floor + 1, depth + 1):
-        stop = F.when(F.col(f"f{d}") >= enough(d, trees, threshold, recall), F.lit(d)).otherwise(stop)
-    stops = found.select("rep", stop.alias("stop"))
-    searching = known.join(stops, "rep").select("rep", *node, (F.col("depth") >= F.col("stop")).alias("live"))
+        stop = F.when(found(d) >= enough(d, trees, threshold, recall), F.lit(d)).otherwise(stop)
+    searching = gathered(known.select("rep", *node, (F.col("depth") >= stop).alias("live")))
     leads = searching.groupBy(*node).agg(F.min(F.when(F.col("live"), F.col("rep"))).alias("lead")).where("lead is not null")
-    return known.join(_spread(leads), node).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    return searching.join(_spread(leads), node).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
 
 
 def _grouped(batches, keys: tuple[str, ...]):
@@ -355,26 +362,27 @@ def _blocked(docs: DataFrame, text: str, members: DataFrame, threshold: float, b
     distance is a metric, so two sets near the pivot are linked for certain and two at very different
     distances are not, nor are two of very different sizes; only blocks of other sets meet.
     """
-    spread = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    large = cut(spread.where((F.col("size") > block) | (F.col("total") > most)).select("cluster"))
-    count, none = large.count(), F.lit(0).cast("long")
+    spread = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.max(F.when(F.col("rep") == F.col("cluster"), F.col("n"))).alias("pivot"))
+    large = gathered(spread.where((F.col("size") > block) | (F.col("total") > most)).select("cluster", "pivot"))
+    (count, held), none = large.agg(F.count("*"), F.sum("pivot")).first(), F.lit(0).cast("long")
     one = members.select("*", none.alias("block"), F.array(none).alias("others"))
     if not count:
         return one, None
+    large = large.select("cluster")
     large = F.broadcast(large) if count <= BROADCAST_CLUSTERS else _spread(large)
-    inside = cut(members.join(large, "cluster", "left_semi"))
-    pivots = inside.where("rep = cluster")
-    heavy = pivots.agg(F.sum("n")).first()[0] > most
-    pivots = cut(_with_sets(docs, text, pivots.select("first", "s1", "s2", "cluster")).dropDuplicates(["cluster"]).withColumnRenamed("shingles", "pivot"))
-    pivots = _spread(pivots) if heavy else F.broadcast(pivots)
+    inside = gathered(members.join(large, "cluster", "left_semi"))
+    pivots = inside.where("rep = cluster").select("first", "s1", "s2", "cluster")
+    pivots = _with_sets(docs, text, F.broadcast(pivots) if count <= BROADCAST_CLUSTERS else pivots)
+    pivots = gathered(pivots.dropDuplicates(["cluster"]).withColumnRenamed("shingles", "pivot"))
+    pivots = _spread(pivots) if held > most else F.broadcast(pivots)
     step = max((1 - threshold) / 4, 1e-6)  # four rings reach as far as a link
     asked = inside.select("first", "s1", "s2", "cluster", "rep").join(pivots, "cluster").drop("cluster")
     rings = _with_sets(docs, text, asked, lambda batches: _rings(batches, step), "rep long, ring int")
-    rings = cut(rings.dropDuplicates(["rep"]))
+    rings = gathered(rings.dropDuplicates(["rep"]))
     scale = math.log(1 / threshold) * 1.0001 if threshold < 1 else 1e-9
     classed = inside.join(rings, "rep").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / scale))
     group = ["cluster", "ring", "class"]
-    groups = cut(classed.groupBy(*group).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / most)).alias("blocks"), F.sum("copies").alias("weight")))
+    groups = gathered(classed.groupBy(*group).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / most)).alias("blocks"), F.sum("copies").alias("weight")))
     code = F.shiftleft((F.col("ring2") * 4096 + F.col("class2")).cast("long"), 32)
     beside = groups.select("cluster", F.col("ring").alias("ring2"), F.col("class").alias("class2"), "weight", F.transform(F.sequence(none, F.col("blocks") - 1), lambda k: code + k).alias("codes"))
     certain = F.col("ring") + F.col("ring2") + 2 <= 4
@@ -398,15 +406,15 @@ def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, tree
     """
     spark = lean(docs).sparkSession
     floor = max(depth_for(trees, depth, threshold, recall), depth - 64 // _STEP)
-    base = cut(sketches(docs, text, trees, depth, floor))
+    base = gathered(sketches(docs, text, trees, depth, floor))
     named = base.where("doc_id is not null")
     key = ["s1", "s2", "n"]
-    reps = cut(named.where("n > 0").groupBy(*key).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    reps = gathered(named.where("n > 0").groupBy(*key).agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first"), F.min_by("rid", "doc_id").alias("head"), F.count("*").alias("copies")))
     signed = base.select("rid", "labels", "tails").join(reps.select(F.col("rep").alias("rid"), "rep"), "rid")
     roots = components(candidates(signed, trees, depth, floor, threshold, recall))
     ties = roots.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     members = ties.unionByName(ties.select(F.col("cluster").alias("rep"), "cluster").distinct())
-    members = cut(members.join(reps, "rep").select("cluster", "rep", "n", "copies", "first", "s1", "s2"))
+    members = gathered(members.join(reps, "rep").select("cluster", "rep", "n", "copies", "first", "s1", "s2"))
 
     blocked, sure = _blocked(docs, text, members, threshold, block, block_shingles)
     held = _with_sets(docs, text, blocked.select("first", "s1", "s2", "cluster", "rep", "copies", "block", "others"))
@@ -414,15 +422,14 @@ def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, tree
     dealt = dealt.repartition(partitions(spark), "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     part = round(threshold * 1000)
     found = dealt.mapInArrow(lambda batches: _verified(batches, (part, 1000)), "rep long, links long, lead long")
-    found = cut(found if sure is None else found.unionByName(sure))
+    found = gathered(found if sure is None else found.unionByName(sure))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    final = components(found.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
+    final = components(found.select(F.col("rep").alias("a"), F.col("lead").alias("b")), held=True)
     placed = reps.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least = placed.groupBy("root").agg(F.min("first").alias("class_id"))
-    placed = placed.join(_spread(least), "root").select(*key, "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = placed.groupBy("root").agg(F.min(F.struct("first", "head")).alias("least"))
+    placed = placed.join(_spread(least), "root").select(*key, F.col("least.first").alias("class_id"), F.col("least.head").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     judged = named.drop("labels", "tails").join(placed, key, "left")
+    kept = F.col("head").isNull() | (F.col("head") == F.col("rid"))
+    judged = judged.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), kept.alias("kept"), "mark")
     alone = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "mark")
-    judged = cut(judged.select("rid", "root", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "mark"))
-    heads = judged.where("doc_id = class_id and root is not null").groupBy("root").agg(F.min("rid").alias("head"))
-    kept = judged.join(heads.select(F.col("head").alias("rid"), F.lit(True).alias("leads")), "rid", "left")
-    return kept.select("doc_id", "class_id", "n_links", (F.col("root").isNull() | F.col("leads").isNotNull()).alias("kept"), "mark").unionByName(alone)
+    return judged.unionByName(alone)
